@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash, urls
+from . import fingerprints, media, packing, quality, simhash, urls
 from .common import table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = quality.trusted_ids(table(spark, sf_dir, "labels"))
+    return quality.classify(table(spark, sf_dir, "documents"), trusted).drop("h").withColumnRenamed("id", "doc_id")
+
+
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(media.to_avi(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -20,14 +29,21 @@ def op4_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op5_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_versions(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge(pages, urls.rule_table(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op2_media_columns": op2_media_columns,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_length_buckets": op4_length_buckets,
+    "op5_iblt_fingerprints": op5_iblt_fingerprints,
     "op10_url_filter": op10_url_filter,
 }
 

@@ -16,7 +16,7 @@ from .common import small
 
 #: Bits per listed key; a block has four 64-bit words and each key sets one bit in each of them.
 BITS_PER_KEY, WORDS = 16, 4
-#: Up to so many blocks (32 bytes each) the filter travels with the plan as one broadcast row.
+#: Up to so many blocks (32 bytes each) the filter is one value, from a scalar subquery; larger ones are joined by block.
 MAX_BLOCKS = 1 << 18
 
 #: The rules of the production list. Fixed values.
@@ -103,10 +103,11 @@ def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
     named = rules.select(F.col("key").alias("rule"))
     asked = with_parts.select("host", "path").distinct().withColumn("keys", keys())
     filt = bloom(named, blocks)
-    if blocks <= MAX_BLOCKS:  # all blocks as one row of at most MAX_BLOCKS * 40 bytes
+    if blocks <= MAX_BLOCKS:  # all blocks as one value of at most MAX_BLOCKS * 40 bytes
         one = filt.agg(F.map_from_entries(F.collect_list(F.struct("block", F.array(*[f"w{i}" for i in range(WORDS)])))).alias("bloom"))
-        hit = lambda k: _passes(k, F.try_element_at("bloom", _block(k, blocks)))
-        possible = asked.join(F.broadcast(one)).select("host", "path", F.explode(F.filter("keys", hit)).alias("key"))
+        words = one.scalar()
+        hit = lambda k: _passes(k, F.try_element_at(words, _block(k, blocks)))
+        possible = asked.select("host", "path", F.explode("keys").alias("key")).where(hit(F.col("key")))
     else:
         each = asked.select("host", "path", F.explode("keys").alias("key")).withColumn("block", _block(F.col("key"), blocks))
         words = filt.select("block", F.array(*[f"w{i}" for i in range(WORDS)]).alias("words"))
