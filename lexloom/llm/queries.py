@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, media, packing, quality, simhash, toxicity, urls
+from . import fingerprints, media, mixing, packing, quality, simhash, toxicity, urls, warc
 from .common import table
 
 
@@ -40,6 +40,16 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "hits")
 
 
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("cell_source", "cell_lang", "cell_topic", "tokens", "weight", "probability", "selected")])
+
+
+def op8_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.lookup(warc.write(pages), pages)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge(pages, urls.rule_table(spark)).select("page_id", "host", "path", "rule", "verdict")
@@ -52,10 +62,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_length_buckets": op4_length_buckets,
     "op5_iblt_fingerprints": op5_iblt_fingerprints,
     "op6_toxicity": op6_toxicity,
+    "op7_mix_sources": op7_mix_sources,
+    "op8_warc_capture_index": op8_warc_capture_index,
     "op10_url_filter": op10_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_warc_capture_index": """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), k AS (
+  SELECT payload_digest, max(page_id) AS keeper FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, p.payload_digest,
+       CASE WHEN keeper IS NOT NULL AND keeper IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN keeper IS DISTINCT FROM page_id THEN keeper END AS refers_to
+FROM p LEFT JOIN k ON p.payload_digest = k.payload_digest AND payload_bytes >= 1000
+""",
     "op10_url_filter": r"""
 WITH u AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
