@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, media, mixing, packing, quality, simhash, toxicity, urls, warc
+from . import chat, fingerprints, media, mixing, packing, quality, simhash, toxicity, urls, warc
 from .common import table
 
 
@@ -50,6 +50,12 @@ def op8_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.lookup(warc.write(pages), pages)
 
 
+def op9_chat_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    model = chat.train(chat.transcripts(turns, with_truth=True))
+    return chat.parse(chat.transcripts(turns), model).withColumnRenamed("id", "conv_id")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge(pages, urls.rule_table(spark)).select("page_id", "host", "path", "rule", "verdict")
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_mix_sources": op7_mix_sources,
     "op8_warc_capture_index": op8_warc_capture_index,
+    "op9_chat_transcripts": op9_chat_transcripts,
     "op10_url_filter": op10_url_filter,
 }
 
