@@ -60,3 +60,19 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
 def text_of(name: str) -> Column:
     """A text column where null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def row_hash(id_col: str, text_col: str) -> Column:
+    """A hash of id and text, which tells rows with the same id apart."""
+    return F.xxhash64(F.col(id_col), text_of(text_col))
+
+
+def with_hash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return docs.withColumn("_h", row_hash(id_col, text_col))
+
+
+def without(docs: DataFrame, rejected: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows whose id and row hash are in rejected(id, h). Texts are shuffled only if the list is long."""
+    listed = small(written(rejected.select(F.col("id").alias("_id"), F.col("h").alias("_rh")).distinct(), "rejected"))
+    marked = with_hash(docs, id_col, text_col)
+    return marked.join(listed, (F.col("_h") == F.col("_rh")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_anti").drop("_h")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import text_of, written
+from .common import row_hash, text_of, written
 
 BUCKETS, TOKEN_BUDGET, ROWS_PER_SHARD = 16, 65_536, 4_096
 #: Lengths up to EXACT have a bin each; longer ones share a bin with those in the same 1/STEPS of a power of two.
@@ -70,7 +70,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens
     Repeated rows are packed as often as they occur. An empty table gives no rows.
     """
     n = F.greatest(F.coalesce(word_tokens(text_of(text_col)) if tokens is None else tokens.cast("long"), F.lit(1).cast("long")), F.lit(1).cast("long"))
-    lengths = written(docs.select(F.col(id_col).alias("id"), n.alias("n_tokens"), F.xxhash64(F.col(id_col), text_of(text_col)).alias("h")), "packing")
+    lengths = written(docs.select(F.col(id_col).alias("id"), n.alias("n_tokens"), row_hash(id_col, text_col).alias("h")), "packing")
     hist = lengths.groupBy(length_bin(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("top"), F.count("*").alias("n"), F.sum("n_tokens").alias("t"))
     rows = sorted(hist.select("top", "n", "t").collect())  # bounded by the grid
     cuts = boundaries(*(np.array([r[i] for r in rows], np.int64) for i in range(3)), buckets)

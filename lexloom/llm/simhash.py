@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import row_hash, text_of, with_hash, without, written
 from .components import components
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -106,7 +106,7 @@ def simhash(text: str | None) -> int:
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fp = np.fromiter((simhash(t.as_py()) for t in b.column("text")), np.uint64, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fp.view(np.int64))], ["id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("h"), pa.array(fp.view(np.int64))], ["id", "h", "fp"])
 
 
 def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,9 +119,11 @@ def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): one row per input row; fp is the fingerprint as a signed long. Null text counts as empty."""
+    """(id, h, fp): one row per input row; fp is the fingerprint as a signed long, h a hash of id and text.
+    Null text counts as empty."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).mapInArrow(_fingerprint_batches, f"id {kind}, fp long")
+    rows = docs.select(F.col(id_col).alias("id"), row_hash(id_col, text_col).alias("h"), text_of(text_col).alias("text"))
+    return rows.mapInArrow(_fingerprint_batches, f"id {kind}, h long, fp long")
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -150,7 +152,8 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component): one row per input row; component is the least id that links reach, itself included.
+    """(id, h, fp, component, root): one row per input row; component is the least id that links reach, itself
+    included, and root names the component (its least fingerprint).
 
     Links: fingerprints that differ in at most 2 of 64 bits. Empty and null texts have fingerprint 0 and link
     like others. Null ids are never the least while another id is there. An empty table gives no rows.
@@ -160,6 +163,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links(distinct))
     grouped = distinct.join(roots, distinct["fp"] == roots["node"]).select("fp", "root", "least")
     least = grouped.groupBy("root").agg(F.min("least").alias("of_root"))
-    named = grouped.join(least.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).select("fp", "of_root")
-    classes = distinct.join(named.withColumnRenamed("fp", "f"), F.col("fp") == F.col("f"), "left").select(F.col("fp").alias("class_fp"), F.coalesce("of_root", "least").alias("component"))
-    return fps.join(classes, F.col("fp") == F.col("class_fp")).select("id", "fp", "component")
+    named = grouped.join(least.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).select("fp", "root", "of_root")
+    classes = distinct.join(named.withColumnRenamed("fp", "f"), F.col("fp") == F.col("f"), "left")
+    classes = classes.select(F.col("fp").alias("class_fp"), F.when(F.col("f").isNull(), F.col("least")).otherwise(F.col("of_root")).alias("component"), F.coalesce("root", "fp").alias("root"))
+    return fps.join(classes, F.col("fp") == F.col("class_fp")).select("id", "h", "fp", "component", "root")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each component: that with the least id, of rows with that id one.
+
+    A component whose ids are all null keeps one row too.
+    """
+    found = written(near_duplicates(docs, id_col, text_col), "simhash-classes")
+    first = found.where(F.col("id").eqNullSafe(F.col("component"))).groupBy("root").agg(F.min("h").alias("first_h"), F.count("*").alias("c"))
+    first = first.withColumnRenamed("root", "r")
+    beside = found.join(first, F.col("root") == F.col("r"))
+    stays = F.col("id").eqNullSafe(F.col("component")) & (F.col("h") == F.col("first_h"))
+    left = without(docs, beside.where(~stays).select("id", "h"), id_col, text_col)
+    several = written(beside.where(stays & (F.col("c") > 1)).groupBy("id", "h").agg(F.count("*").alias("n")).where("n > 1").select("id", "h"), "simhash-repeated")
+    if several.isEmpty():
+        return left
+    again = with_hash(left, id_col, text_col).join(several, F.col(id_col).eqNullSafe(F.col("id")) & (F.col("_h") == F.col("h")), "left_semi")
+    return without(left, several, id_col, text_col).union(again.dropDuplicates(["_h"]).drop("_h"))

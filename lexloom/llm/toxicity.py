@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import by_text, code_points, mixed, slices, tokens
-from .common import small, text_of, written
+from .common import row_hash, small, text_of, written
 
 #: Bounds of the sample that the lexicon is fitted on: labelled documents, and candidate terms.
 TRAIN_DOCS, CANDIDATES, TERMS = 40_000, 50_000, 500
@@ -312,5 +312,5 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
                 values, hits = _scores(part.column("text"), trie, model)
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h"), pa.array(values), pa.array(hits)], ["id", "h", "score", "hits"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text_of(text_col)).alias("h"), text_of(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), row_hash(id_col, text_col).alias("h"), text_of(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {kind}, h long, score double, hits long")
