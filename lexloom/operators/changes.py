@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..shared import checkpointed
+
 
 def unknown(new: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of new that stored has not, by all keys; null equals null."""
@@ -28,10 +30,10 @@ def replaced(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def numbered(rows: DataFrame, order: Sequence[str], name: str, after: int = 0) -> DataFrame:
     """rows with ids from after + 1 on, in order. Rows are counted by range partition first, so no task gets them all.
 
-    Sorting by range is repeated for the count and the numbers, from the same plan: the order must tell rows apart
-    for the numbers to be the same on every run.
+    The ranges are checkpointed, so that the counts and the numbers are of the same ranges; the order must tell rows
+    apart for the numbers to be the same on every run.
     """
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    ordered = checkpointed(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     counts = sorted(ordered.groupBy("_p").count().collect())  # a row for each partition
     total, starts = after, {}
     for p, n in counts:

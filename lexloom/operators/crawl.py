@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import absolute_url, links, url_stem
+from ..shared import checkpointed
 
 
 #: Start pages whose stems bound a crawl.
@@ -20,7 +21,7 @@ def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return each.select("url", absolute_url(F.col("_l"), F.col("url")).alias("link")).distinct()
 
 
-def find_links(start: DataFrame, fetch: Callable[[DataFrame], DataFrame], depth: int = 0, children_only: bool = False, url_filter: Callable[[Column], Column] | None = None, checkpoint: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint()) -> tuple[DataFrame, DataFrame]:
+def find_links(start: DataFrame, fetch: Callable[[DataFrame], DataFrame], depth: int = 0, children_only: bool = False, url_filter: Callable[[Column], Column] | None = None, checkpoint: Callable[[DataFrame], DataFrame] = checkpointed) -> tuple[DataFrame, DataFrame]:
     """(links(url), problems(link, problem)) reached from start(url) over pages up to `depth` steps away.
 
     fetch turns urls(url) into pages(url, html); a URL without a page is a problem. children_only keeps links below

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
-from ..functions.vector import METRICS
+from ..embedders import Embedder, with_embeddings
 from ..operators import bm25, changes, chunk, crawl, knn, nearby, retrieve
+from ..sources.readers import pages_as_markdown
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -417,7 +418,7 @@ def links_crawl_depth1(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("url", "html")
     start = table(spark, sf_dir, "pages").where("page_id = 0").select("url")
     fetch = lambda urls: pages.join(urls, "url", "left_semi")
-    return crawl.find_links(start, fetch, depth=1, checkpoint=lambda df: df)[0]
+    return crawl.find_links(start, fetch, depth=1)[0]
 
 
 @query(f"SELECT url, link FROM (SELECT DISTINCT url, {_ABSOLUTE} AS link FROM ({_LINKS}))")
@@ -461,4 +462,17 @@ def split_recursive(spark, sf_dir):
     return chunk.split_text(table(spark, sf_dir, "documents").select("doc_id", "text"), 800)
 
 
-METHODS = tuple(METRICS)
+@query()
+def html_to_markdown(spark, sf_dir):
+    return pages_as_markdown(table(spark, sf_dir, "pages"), extract=("article",))
+
+
+@query()
+def embed_hashing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return with_embeddings(docs, Embedder(settings={"dims": 32})).select("doc_id", "embedding")
+
+
+@query()
+def tool_json(spark, sf_dir):
+    return _top(_scored(spark, sf_dir)).select(F.to_json(F.struct("query_id", "doc_id", "rank", "score"), {"ignoreNullFields": "false"}).alias("json"))

@@ -1 +1 @@
-
+"""Files and pages as Markdown documents."""

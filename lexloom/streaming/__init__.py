@@ -1 +1 @@
-
+"""Structured Streaming into a store."""
