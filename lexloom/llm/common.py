@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only if it was counted and has at most so many rows of a few fixed-size columns.
 BROADCAST_ROWS = 2_000_000
+#: Column of the row hash while rows are told apart; documents are not expected to have one of this name.
+ROW_HASH = "__row_hash"
 
 
 def ready(spark: SparkSession) -> None:
@@ -68,11 +70,25 @@ def row_hash(id_col: str, text_col: str) -> Column:
 
 
 def with_hash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.withColumn("_h", row_hash(id_col, text_col))
+    return docs.withColumn(ROW_HASH, row_hash(id_col, text_col))
 
 
 def without(docs: DataFrame, rejected: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose id and row hash are in rejected(id, h). Texts are shuffled only if the list is long."""
-    listed = small(written(rejected.select(F.col("id").alias("_id"), F.col("h").alias("_rh")).distinct(), "rejected"))
+    listed = small(written(_listed(rejected), "rejected"))
     marked = with_hash(docs, id_col, text_col)
-    return marked.join(listed, (F.col("_h") == F.col("_rh")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_anti").drop("_h")
+    return marked.join(listed, _same_row(id_col), "left_anti").drop(ROW_HASH)
+
+
+def only(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose id and row hash are in wanted(id, h), one for each pair."""
+    marked = with_hash(docs, id_col, text_col)
+    return marked.join(_listed(wanted), _same_row(id_col), "left_semi").dropDuplicates([ROW_HASH]).drop(ROW_HASH)
+
+
+def _listed(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("id").alias("__listed_id"), F.col("h").alias("__listed_h")).distinct()
+
+
+def _same_row(id_col: str) -> Column:
+    return (F.col(ROW_HASH) == F.col("__listed_h")) & F.col(id_col).eqNullSafe(F.col("__listed_id"))

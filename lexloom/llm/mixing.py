@@ -81,12 +81,13 @@ def probabilities(tokens: np.ndarray, shares: np.ndarray, budget: float) -> np.n
     return np.minimum(1, hi * ratio).reshape(tokens.shape)
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, seed: int = 42) -> DataFrame:
-    """All columns of docs with _cell_source, _cell_lang, _cell_topic, _tokens, _weight, _probability, _selected.
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, seed: int = 42, prefix: str = "_") -> DataFrame:
+    """All columns of docs with cell_source, cell_lang, cell_topic, tokens, weight, probability, selected after the
+    prefix; input columns with these names are replaced.
 
     targets: for source, lang and topic, category -> weight; a category that isn't named there has weight 0
     (``(rest)`` stands for those without a list place, ``(none)`` for null). Without targets for one of them, its
-    weights are its tokens to the power POWER. _weight is the raked share over the share of tokens. A document is
+    weights are its tokens to the power POWER. weight is the raked share over the share of tokens. A document is
     selected if a hash of its id and text is below its probability, so equal rows go together; null and empty
     texts count one token. An empty table gives no rows.
     """
@@ -115,14 +116,15 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, kee
     total = max(table.sum(), 1.0)
     cells = [(*(names[i][j] for i, j in enumerate(ix)), float(shares[ix] / (table[ix] / total)), float(drawn[ix])) for ix in zip(*np.nonzero(table))]
     spark = docs.sparkSession
-    known = spark.createDataFrame(cells, "_s string, _l string, _t string, _weight double, _probability double")
-    named = docs.select("*", *[c.alias(f"_raw_{k}") for k, c in parts.items()], tokens.alias("_tokens"))
-    for k in parts:
-        named = named.withColumn(f"_cell_{k}", F.when(F.col(f"_raw_{k}").isin(lists[k]), F.col(f"_raw_{k}")).otherwise(F.lit(REST))).drop(f"_raw_{k}")
-    on = (F.col("_cell_source") == F.col("_s")) & (F.col("_cell_lang") == F.col("_l")) & (F.col("_cell_topic") == F.col("_t"))
-    joined = named.join(F.broadcast(known), on, "left").drop("_s", "_l", "_t")  # at most the product of CATEGORIES
+    p = prefix
+    known = spark.createDataFrame(cells, f"{p}s string, {p}l string, {p}t string, {p}weight double, {p}probability double")
+    own = [f"{p}{c}" for c in ("s", "l", "t", "weight", "probability", "tokens", "selected", "cell_source", "cell_lang", "cell_topic")]
+    named = docs.select(*[c for c in docs.columns if c not in own], *[c.alias(f"{p}cell_{k}") for k, c in parts.items()], tokens.alias(f"{p}tokens"))
+    named = named.withColumns({f"{p}cell_{k}": F.when(F.col(f"{p}cell_{k}").isin(lists[k]), F.col(f"{p}cell_{k}")).otherwise(F.lit(REST)) for k in parts})
+    on = (F.col(f"{p}cell_source") == F.col(f"{p}s")) & (F.col(f"{p}cell_lang") == F.col(f"{p}l")) & (F.col(f"{p}cell_topic") == F.col(f"{p}t"))
+    joined = named.join(F.broadcast(known), on, "left").drop(f"{p}s", f"{p}l", f"{p}t")  # at most the product of CATEGORIES
     u = F.shiftrightunsigned(F.xxhash64(F.col(id_col), text, F.lit(seed)), 11).cast("double") / float(1 << 53)
-    return joined.withColumn("_selected", F.coalesce(u < F.col("_probability"), F.lit(False)))
+    return joined.withColumn(f"{p}selected", F.coalesce(u < F.col(f"{p}probability"), F.lit(False)))
 
 
 def error(rows: list[tuple], targets: dict) -> float:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_hash, text_of, with_hash, without, written
+from .common import only, row_hash, text_of, without, written
 from .components import components
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -183,5 +183,4 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     several = written(beside.where(stays & (F.col("c") > 1)).groupBy("id", "h").agg(F.count("*").alias("n")).where("n > 1").select("id", "h"), "simhash-repeated")
     if several.isEmpty():
         return left
-    again = with_hash(left, id_col, text_col).join(several, F.col(id_col).eqNullSafe(F.col("id")) & (F.col("_h") == F.col("h")), "left_semi")
-    return without(left, several, id_col, text_col).union(again.dropDuplicates(["_h"]).drop("_h"))
+    return without(left, several, id_col, text_col).union(only(left, several, id_col, text_col))

@@ -217,7 +217,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * TRAIN_DOCS / n))
     known = small(known.withColumnRenamed("doc_id", "labelled_id"), min(n, TRAIN_DOCS))
     least = F.slice(F.array_sort(F.transform(F.array_distinct(F.split(F.lower("text"), r"\s+")), lambda w: F.xxhash64(w))), 1, 3)
-    rows = docs.join(known, docs[id_col] == known["labelled_id"]).select(text_of(text_col).alias("text"), "toxic").withColumn("doc", F.xxhash64(least))
+    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    rows = texts.join(known, texts["id"] == known["labelled_id"]).select("text", "toxic").withColumn("doc", F.xxhash64(least))
     return rows.groupBy("doc").agg(F.max_by("text", F.struct("toxic", F.xxhash64("text"))).alias("text"), F.max("toxic").alias("toxic"))
 
 

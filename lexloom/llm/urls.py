@@ -114,9 +114,9 @@ def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
         possible = each.join(words, "block").where(_passes(F.col("key"), F.col("words"))).select("host", "path", "key")
     best = F.max(F.struct(F.length("rule").alias("len"), "host_len", "rule", "verdict")).alias("best")
     fits = possible.join(small(rules, shape["n"]), "key").groupBy("host", "path").agg(best)
-    fits = fits.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "best")
-    out = with_parts.join(fits, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left")
-    return out.select(*kept, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
+    fits = fits.select(F.col("host").alias("__h"), F.col("path").alias("__p"), F.col("best.rule").alias("__r"), F.col("best.verdict").alias("__v"))
+    out = with_parts.join(fits, (F.col("host") == F.col("__h")) & (F.col("path") == F.col("__p")), "left")
+    return out.select(*kept, "host", "path", F.col("__r").alias("rule"), F.coalesce("__v", F.lit("allow")).alias("verdict"))
 
 
 def _passes(key: Column, words: Column) -> Column:
