@@ -33,6 +33,8 @@ _MARKER = re.compile(r"^\s{0,3}(?:[#>*\-]{1,3}\s*)?[\[<(|*]{0,2}\s*([A-Za-z]{1,1
 #: Observation: marker (none, three roles, other name), blank line before, length class, ending.
 SHAPE = (5, 2, 4, 3)
 SMOOTH = 0.5
+#: Observations that a role gets from the average of all roles.
+POOLED = 20.0
 #: Lines of a part, of turns for `transcripts`.
 PART_TURNS = 256
 
@@ -122,7 +124,23 @@ def train(known: DataFrame) -> dict[str, np.ndarray]:
         (move if r["kind"] == "t" else emit)[r["a"], r["b"]] += r["n"]
     cube = emit.reshape(STATES, *SHAPE)
     parts = [cube.sum(axis=tuple(j for j in range(1, 5) if j != i)) + SMOOTH for i in range(1, 5)]
-    parts[1] = cube.sum(axis=(3, 4)) + SMOOTH  # blank line before, given the marker
+    parts[1] = cube.sum(axis=(3, 4)) + SMOOTH  # marker and blank line before
+    # what rare roles have too little of is added from all roles: how turns go on, and markers as none, own, wrong, other
+    starts, later = np.arange(0, STATES, 2), np.arange(1, STATES, 2)
+    for first in (0, 1):
+        group = later if first else starts
+        own = np.array([parts[1][s, s // 2 + 1] for s in group]).sum(0)
+        none, other = parts[1][group, 0].sum(0), parts[1][group, 4].sum(0)
+        wrong = parts[1][group, 1:4].sum((0, 1)) - own
+        total = own.sum() + none.sum() + other.sum() + wrong.sum()
+        on = sum(move[s, s | 1] for s in group) / move[group].sum()
+        for s in group:
+            parts[1][s, 0] += POOLED * none / total
+            parts[1][s, 4] += POOLED * other / total
+            for m in range(1, 4):
+                parts[1][s, m] += POOLED * (own if m == s // 2 + 1 else wrong / 2) / total
+            move[s, s | 1] += POOLED * on
+            move[s, starts] += POOLED * (1 - on) / len(starts)
     shape = np.log(parts[2] / parts[2].sum(1, keepdims=True))[:, None, None, :, None] + np.log(parts[3] / parts[3].sum(1, keepdims=True))[:, None, None, None, :]
     log_emit = np.log(parts[1] / parts[1].sum((1, 2), keepdims=True))[:, :, :, None, None] + shape
     return {"move": np.log(move / move.sum(1, keepdims=True)), "emit": log_emit.reshape(STATES, -1)}

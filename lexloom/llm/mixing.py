@@ -8,11 +8,15 @@ drawn. The cells are bounded: each of the three has a bounded list of categories
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import by_text, slices
 from .common import text_of, written
 
 #: Categories of sources and languages that are raked on their own, by tokens; the others count as one.
@@ -24,22 +28,45 @@ POWER, KEEP = 0.7, 0.8
 SWEEPS, ERROR = 1_000, 1e-9
 
 
-def _share(text: Column, letters: str) -> Column:
-    return 1 - F.length(F.translate(text, letters, "")) / F.length(text)
+_CLASSES = np.zeros(256, np.uint8)
+for _k, _letters in enumerate((b" \t\n\x0b\f\r", b"|", b"#$%&*@=<>{}[]^~\\", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"), 1):
+    _CLASSES[list(_letters)] = _k
+#: Default topics: the form of the whole text, since documents carry no subject. The first that fits counts.
+TOPICS = ("empty", "table", "marked", "shouted", "numeric", "note", "prose", "long prose")
 
 
-def topic_of(text: Column) -> Column:
-    """Default topic: the form of the whole text, since documents carry no subject."""
-    upper, marks = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "#$%&*@=<>{}[]^~\\"
-    return (
-        F.when(F.length(text) == 0, "empty")
-        .when(_share(text, "|") > 0.01, "table")
-        .when(_share(text, marks) > 0.04, "marked")
-        .when(_share(text, upper) > 0.3, "shouted")
-        .when(_share(text, "0123456789") > 0.05, "numeric")
-        .when(F.length(text) < 400, "note")
-        .when(F.length(text) < 8_000, "prose").otherwise("long prose")
-    )
+def describe(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(topic as a position in TOPICS, tokens) of each text: tokens are runs of non-space, and one for the end."""
+    texts = pc.fill_null(texts, "")
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    kind = _CLASSES[data]
+    count = lambda flags: by_text(flags.astype(np.int32), offsets).astype(np.int64)
+    word = kind != 1
+    start = word.copy()
+    start[1:] &= ~word[:-1]
+    first = offsets[:-1][offsets[:-1] < offsets[1:]]
+    start[first] = word[first]
+    n = count(data & 0xC0 != 0x80)
+    share = [count(kind == k) / np.maximum(n, 1) for k in range(2, 6)]
+    fits = [n == 0, share[0] > 0.01, share[1] > 0.04, share[2] > 0.3, share[3] > 0.05, n < 400, n < 8_000]
+    return np.select(fits, range(7), 7), count(start) + 1
+
+
+def described(docs: DataFrame, text_col: str, prefix: str) -> DataFrame:
+    """docs with the columns topic and tokens after the prefix."""
+    names = [f"{prefix}topic", f"{prefix}tokens"]
+    kept = [f for f in docs.schema.fields if f.name not in names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b, text_col):
+                topic, tokens = describe(part.column(text_col).cast(pa.string()))
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(np.array(TOPICS)[topic]), pa.array(tokens)], [*(f.name for f in kept), *names])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return docs.select(*[f.name for f in kept]).mapInArrow(run, f"{schema}, {names[0]} string, {names[1]} long")
 
 
 def rake(tokens: np.ndarray, targets: list[np.ndarray]) -> np.ndarray:
@@ -91,10 +118,12 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, kee
     selected if a hash of its id and text is below its probability, so equal rows go together; null and empty
     texts count one token. An empty table gives no rows.
     """
-    text = text_of(text_col)
-    parts = {"source": F.coalesce(F.col(source_col).cast("string"), F.lit(NONE)), "lang": F.coalesce(F.col(lang_col).cast("string"), F.lit(NONE)), "topic": F.coalesce(topic_of(text) if topic is None else topic.cast("string"), F.lit(NONE))}
-    tokens = F.regexp_count(text, F.lit(r"\S+")).cast("long") + 1
-    raw = docs.select(*[c.alias(k) for k, c in parts.items()], tokens.alias("n")).groupBy(*parts).agg(F.sum("n").alias("n"))
+    p = prefix
+    own = [f"{p}{c}" for c in ("s", "l", "t", "weight", "probability", "tokens", "topic", "selected", "cell_source", "cell_lang", "cell_topic")]
+    docs = docs.select(*[c for c in docs.columns if c not in own])
+    topic = F.col(f"{p}topic") if topic is None else topic.cast("string")
+    parts = {k: F.coalesce(c.cast("string"), F.lit(NONE)) for k, c in (("source", F.col(source_col)), ("lang", F.col(lang_col)), ("topic", topic))}
+    raw = described(docs, text_col, p).select(*[c.alias(k) for k, c in parts.items()], F.col(f"{p}tokens").alias("n")).groupBy(*parts).agg(F.sum("n").alias("n"))
     raw = written(raw, "mixing-cells")
     lists = {}
     for k, most in CATEGORIES.items():
@@ -116,14 +145,12 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, kee
     total = max(table.sum(), 1.0)
     cells = [(*(names[i][j] for i, j in enumerate(ix)), float(shares[ix] / (table[ix] / total)), float(drawn[ix])) for ix in zip(*np.nonzero(table))]
     spark = docs.sparkSession
-    p = prefix
     known = spark.createDataFrame(cells, f"{p}s string, {p}l string, {p}t string, {p}weight double, {p}probability double")
-    own = [f"{p}{c}" for c in ("s", "l", "t", "weight", "probability", "tokens", "selected", "cell_source", "cell_lang", "cell_topic")]
-    named = docs.select(*[c for c in docs.columns if c not in own], *[c.alias(f"{p}cell_{k}") for k, c in parts.items()], tokens.alias(f"{p}tokens"))
+    named = described(docs, text_col, p).withColumns({f"{p}cell_{k}": c for k, c in parts.items()}).drop(f"{p}topic")
     named = named.withColumns({f"{p}cell_{k}": F.when(F.col(f"{p}cell_{k}").isin(lists[k]), F.col(f"{p}cell_{k}")).otherwise(F.lit(REST)) for k in parts})
     on = (F.col(f"{p}cell_source") == F.col(f"{p}s")) & (F.col(f"{p}cell_lang") == F.col(f"{p}l")) & (F.col(f"{p}cell_topic") == F.col(f"{p}t"))
     joined = named.join(F.broadcast(known), on, "left").drop(f"{p}s", f"{p}l", f"{p}t")  # at most the product of CATEGORIES
-    u = F.shiftrightunsigned(F.xxhash64(F.col(id_col), text, F.lit(seed)), 11).cast("double") / float(1 << 53)
+    u = F.shiftrightunsigned(F.xxhash64(F.col(id_col), text_of(text_col), F.lit(seed)), 11).cast("double") / float(1 << 53)
     return joined.withColumn(f"{p}selected", F.coalesce(u < F.col(f"{p}probability"), F.lit(False)))
 
 

@@ -41,7 +41,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return mixed.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("cell_source", "cell_lang", "cell_topic", "tokens", "weight", "probability", "selected")])
 
 

@@ -15,6 +15,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -89,7 +90,7 @@ def parse(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     return fields, dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:]), payload
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, number, held, size, kind = TaskContext.get().partitionId(), 0, [], 0, None
 
     def full() -> pa.RecordBatch:
@@ -106,7 +107,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             member = gzip.compress(record(r["id"], r["url"], r["html"], r["n"], r["digest"], r["keeper"]), 1, mtime=0)
             held.append((r["key"], r["id"], member))
             size += len(member)
-            if size >= ARCHIVE_BYTES or len(held) >= ARCHIVE_RECORDS:
+            if size >= most or len(held) >= ARCHIVE_RECORDS:
                 yield full()
                 number, held, size = number + 1, [], 0
     if held:
@@ -120,7 +121,7 @@ def _running(lengths: list[int]) -> Iterator[int]:
         at += n
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted lines (key, archive, offset, length) into compressed blocks."""
     part, number, held = TaskContext.get().partitionId(), 0, []
 
@@ -131,7 +132,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for line in zip(*(b.column(c).to_pylist() for c in ("key", "archive", "offset", "length"))):
             held.append(line)
-            if len(held) >= BLOCK_LINES:
+            if len(held) >= most:
                 yield full()
                 number, held = number + 1, []
     if held:
@@ -156,17 +157,17 @@ def _quoted(key: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(key, "\t", "%09"), "[\r\n]", "%0A")
 
 
-def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> Archives:
+def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archive_bytes: int = ARCHIVE_BYTES, block_lines: int = BLOCK_LINES, entries: int = DIRECTORY) -> Archives:
     """Writes a record for each row and the index over them."""
     kind = pages.schema[id_col].dataType.simpleString()
     rows = decided(pages, id_col, url_col, html_col).withColumn("key", _quoted(F.col("key")))
-    records = written(rows.mapInArrow(_pack, RECORD.format(kind=kind)), "warc-archives")
+    records = written(rows.mapInArrow(partial(_pack, archive_bytes), RECORD.format(kind=kind)), "warc-archives")
     lines = records.select("archive", F.explode(F.arrays_zip("keys", "offsets", "lengths")).alias("x")).select(F.col("x.keys").alias("key"), "archive", F.col("x.offsets").alias("offset"), F.col("x.lengths").alias("length"))
     order = ["key", "archive", "offset"]
-    blocks = written(lines.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_blocks, "shard int, number int, first string, last string, data binary"), "warc-index")
-    step = max(1, -(-blocks.count() // DIRECTORY))
+    blocks = written(lines.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(partial(_blocks, block_lines), "shard int, number int, first string, last string, data binary"), "warc-index")
+    step = max(1, -(-blocks.count() // entries))
     sparse = blocks.groupBy("shard", F.floor(F.col("number") / step).alias("g")).agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("number").alias("lo"), F.max("number").alias("hi"))
-    directory = sorted((r["first"].encode(), r["last"].encode(), r["shard"], r["lo"], r["hi"]) for r in sparse.collect())  # about DIRECTORY entries at most
+    directory = sorted((r["first"].encode(), r["last"].encode(), r["shard"], r["lo"], r["hi"]) for r in sparse.collect())  # about as many as asked for
     return Archives(records, blocks, directory, kind)
 
 
