@@ -23,6 +23,7 @@ from .common import text_of
 CUT_MASK = 1
 #: Cells of the fingerprint that is returned as a string (three parts of equal size).
 PRINT_CELLS = 18
+CELL = [("count", ">i4"), ("key", ">u8"), ("check", ">u4")]
 HALF_WAYS = 8
 #: Text bytes that are worked on at once in a task.
 CHUNK = 1 << 20
@@ -171,15 +172,16 @@ def prints(sets: tuple[np.ndarray, np.ndarray]) -> list[str]:
     keys, counts = sets
     s = Sketch(np.full(len(counts), PRINT_CELLS // 3))
     s.add(keys, np.repeat(np.arange(len(counts)), counts), 1)
-    cells = np.stack([s.count.astype(">u8"), s.keys.astype(">u8"), s.checks.astype(">u8")], 1).view(np.uint8).reshape(len(s.count), 24)
-    raw = np.ascontiguousarray(cells[:, [4, 5, 6, 7, *range(8, 16), *range(20, 24)]]).tobytes()
+    cells = np.empty(len(s.count), CELL)
+    cells["count"], cells["key"], cells["check"] = s.count, s.keys, (s.checks & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    raw = cells.tobytes()
     size = PRINT_CELLS * 16
     return [f"{int(c):08x}{raw[i * size : (i + 1) * size].hex()}" for i, c in enumerate(counts)]
 
 
 def read_print(fingerprint: str) -> tuple[int, np.ndarray]:
     """(number of digests, cells with the fields count, key, check) of a fingerprint string."""
-    cells = np.frombuffer(bytes.fromhex(fingerprint[8:]), [("count", ">i4"), ("key", ">u8"), ("check", ">u4")])
+    cells = np.frombuffer(bytes.fromhex(fingerprint[8:]), CELL)
     return int(fingerprint[:8], 16), cells
 
 

@@ -66,6 +66,14 @@ def test_documents_over_many_ranges(spark, sf, monkeypatch):
     assert sum(r["near_edited"] for r in got) > 10 * sum(r["near_next"] for r in got)
 
 
+def test_fingerprints_can_be_read_back_and_subtracted():
+    a, b = "one two\nthree four\nfive", "one two\nthree four\nsix"
+    (n, x), (m, y) = (fp.read_print(p) for p in fp.prints(fp.digests([a.encode(), b.encode()])))
+    assert n == len(sets(a)) and m == len(sets(b)) and x["count"].sum() == 3 * n
+    left = (x["key"].astype(np.uint64) - y["key"].astype(np.uint64))[x["count"].astype(int) - y["count"].astype(int) == 1]
+    assert set(left.tolist()) <= sets(a) - sets(b) and len(left)
+
+
 def test_odd_rows(spark, odd, none):
     got = fp.compare_versions(odd).collect()
     want = expected(sorted(((r["doc_id"] if r["doc_id"] is not None else -(1 << 63), r["text"] or "") for r in odd.collect())))
