@@ -46,8 +46,13 @@ def numbered(rows: DataFrame, order: Sequence[str], name: str, after: int = 0) -
 
 
 def interleaved(paths: DataFrame, documents: DataFrame) -> DataFrame:
-    """Distinct origins of paths with is_new_origin and an order in which new and known ones alternate evenly."""
+    """Distinct origins of paths with is_new_origin and `position` from 0 to 1 among its kind, by origin, so that
+    an order by position alternates new and known ones evenly."""
     known = documents.select("origin").where("origin is not null").distinct().withColumn("_known", F.lit(True))
     rows = paths.select("origin").distinct().join(known, "origin", "left").select("origin", F.col("_known").isNull().alias("is_new_origin"))
-    w = Window.partitionBy("is_new_origin").orderBy("origin")
-    return rows.withColumn("position", F.percent_rank().over(w))
+    out = None
+    for kind in (rows.where("is_new_origin"), rows.where("not is_new_origin")):
+        last = max(kind.count() - 1, 1)
+        placed = numbered(kind, ["origin"], "position").withColumn("position", (F.col("position") - 1) / last)
+        out = placed if out is None else out.union(placed)
+    return out

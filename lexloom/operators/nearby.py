@@ -9,14 +9,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def last_before(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, values: Sequence[str], prefix: str = "last_") -> DataFrame:
+def last_before(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, values: Sequence[str], prefix: str = "last_", bucket: Column | None = None) -> DataFrame:
     """left with the values of the last row of right strictly before it, by keys; null without one.
 
     One window over the union of both: no range join. Of right rows at the same time, the greatest values count.
+    bucket, a function of `at` that never falls as it rises, splits hot keys: rows look within their bucket first, and
+    what earlier buckets hand on is found from one row for each key and bucket.
     """
     both = left.withColumn("_left", F.lit(True)).unionByName(right.select(*keys, at, F.struct(*values).alias("_values")).withColumn("_left", F.lit(False)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(F.col(at), F.col("_left").desc(), "_values").rowsBetween(Window.unboundedPreceding, -1)
+    both = both.withColumn("_bucket", F.lit(0) if bucket is None else bucket)
+    w = Window.partitionBy(*keys, "_bucket").orderBy(F.col(at), F.col("_left").desc(), "_values").rowsBetween(Window.unboundedPreceding, -1)
     seen = both.withColumn("_seen", F.last("_values", ignorenulls=True).over(w)).where("_left")
+    if bucket is not None:
+        last = F.max(F.when(~F.col("_left"), F.struct(F.col(at).alias("at"), F.col("_values").alias("v")))).alias("_last")
+        ends = both.groupBy(*keys, "_bucket").agg(last)
+        earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        handed = ends.withColumn("_before", F.last("_last", ignorenulls=True).over(earlier)["v"]).drop("_last")
+        handed = handed.withColumnsRenamed({c: f"_k_{c}" for c in (*keys, "_bucket")})
+        same = F.lit(True)
+        for c in (*keys, "_bucket"):
+            same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+        seen = seen.join(handed, same, "left").withColumn("_seen", F.coalesce("_seen", "_before"))
     return seen.select(*left.columns, *[F.col("_seen")[v].alias(prefix + v) for v in values])
 
 

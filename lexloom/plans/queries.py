@@ -282,31 +282,32 @@ FROM (SELECT *, event_id AS id FROM events) l LEFT JOIN LATERAL (
 def asof_heading(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value")
     marks = events.where("value > 50")
-    found = nearby.last_before(events, marks, ["user_id"], "ts", ["event_id", "event_type"])
+    found = nearby.last_before(events, marks, ["user_id"], "ts", ["event_id", "event_type"], bucket=F.to_date("ts"))
     return found.select("event_id", "last_event_id", "last_event_type")
 
 
-@query("""WITH c AS (SELECT DISTINCT user_id, CAST(floor(value * 10) AS BIGINT) AS candidate FROM events WHERE event_id % 2 = 0),
+@query("""WITH c AS (SELECT DISTINCT user_id, CAST(floor(value * 10) AS BIGINT) AS candidate FROM events WHERE event_type = 'click'),
 p AS (SELECT event_id, user_id, CAST(floor(value * 10) AS BIGINT) AS point FROM events)
 SELECT event_id, point, (SELECT candidate FROM c WHERE c.user_id = p.user_id AND abs(candidate - point) <= 25 ORDER BY abs(candidate - point), candidate DESC LIMIT 1) AS nearest FROM p""")
 def snap_nearest(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumn("point", F.floor(F.col("value") * 10).cast("long"))
-    some = events.where("event_id % 2 = 0").select("user_id", F.col("point").alias("candidate"))
+    some = events.where("event_type = 'click'").select("user_id", F.col("point").alias("candidate"))
     return nearby.nearest_within(events.select("event_id", "user_id", "point"), some, 25, keys=["user_id"]).select("event_id", "point", "nearest")
 
 
 # changes -------------------------------------------------------------------------------------------------------------
 
-_NEW = "(SELECT doc_id, source AS origin, CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 3 <> 0)"
-_OLD = "(SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE source END AS origin, text FROM documents)"
+# a load of all documents, French ones changed, against a store that lacks the Spanish ones and German origins
+_NEW = "(SELECT doc_id, source AS origin, CASE WHEN lang = 'fr' THEN text || '!' ELSE text END AS text FROM documents)"
+_OLD = "(SELECT doc_id, CASE WHEN lang = 'de' THEN NULL ELSE source END AS origin, text FROM documents WHERE lang <> 'es')"
 
 
 def _new(docs: DataFrame) -> DataFrame:
-    return docs.where("doc_id % 3 <> 0").selectExpr("doc_id", "source AS origin", "CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END AS text")
+    return docs.selectExpr("doc_id", "source AS origin", "CASE WHEN lang = 'fr' THEN text || '!' ELSE text END AS text")
 
 
 def _old(docs: DataFrame) -> DataFrame:
-    return docs.selectExpr("doc_id", "CASE WHEN doc_id % 5 = 0 THEN NULL ELSE source END AS origin", "text")
+    return docs.where("lang <> 'es'").selectExpr("doc_id", "CASE WHEN lang = 'de' THEN NULL ELSE source END AS origin", "text")
 
 
 @query(f"SELECT doc_id, origin, md5(text) AS digest FROM {_NEW} n WHERE NOT EXISTS (SELECT 1 FROM {_OLD} o WHERE o.doc_id = n.doc_id AND o.origin IS NOT DISTINCT FROM n.origin AND o.text = n.text)")
@@ -333,20 +334,20 @@ def insert_assign_ids(spark, sf_dir):
 
 
 _PATHS = "SELECT url AS origin FROM pages"
-_KNOWN = "(SELECT DISTINCT url AS origin FROM pages WHERE page_id % 3 = 0)"
+_KNOWN = "(SELECT DISTINCT url AS origin FROM pages WHERE url LIKE 'http:%')"
 
 
 @query(f"SELECT origin, k.o IS NULL AS is_new_origin FROM (SELECT DISTINCT url AS origin FROM pages) p LEFT JOIN (SELECT origin AS o FROM {_KNOWN}) k ON p.origin = k.o")
 def paths_new_flag(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    return changes.interleaved(pages.select(F.col("url").alias("origin")), pages.where("page_id % 3 = 0").select(F.col("url").alias("origin"))).select("origin", "is_new_origin")
+    return changes.interleaved(pages.select(F.col("url").alias("origin")), pages.where("url LIKE 'http:%'").select(F.col("url").alias("origin"))).select("origin", "is_new_origin")
 
 
 @query(f"""WITH p AS (SELECT origin, k.o IS NULL AS is_new_origin FROM (SELECT DISTINCT url AS origin FROM pages) p LEFT JOIN (SELECT origin AS o FROM {_KNOWN}) k ON p.origin = k.o)
 SELECT origin, is_new_origin, round(percent_rank() OVER (PARTITION BY is_new_origin ORDER BY origin), 9) AS position FROM p""")
 def ingest_interleave(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    found = changes.interleaved(pages.select(F.col("url").alias("origin")), pages.where("page_id % 3 = 0").select(F.col("url").alias("origin")))
+    found = changes.interleaved(pages.select(F.col("url").alias("origin")), pages.where("url LIKE 'http:%'").select(F.col("url").alias("origin")))
     return found.select("origin", "is_new_origin", F.round("position", 9).alias("position"))
 
 

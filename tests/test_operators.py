@@ -92,6 +92,11 @@ def test_order_joins(spark):
     right = spark.createDataFrame([(1, 5, "a"), (1, 4, "b"), (1, 4, "c"), (2, 3, "d")], "k int, t int, v string")
     got = {r["name"]: r["last_v"] for r in nearby.last_before(left, right, ["k"], "t", ["v"]).collect()}
     assert got == {"x": "c", "y": "a", "z": None}
+    more = spark.range(300).select((F.col("id") % 3).alias("k"), (F.col("id") * 7 % 90).alias("t"), F.col("id").alias("v"))
+    marks = more.where("v % 4 = 0 or k = 2 and v < 9")
+    plain = nearby.last_before(more, marks, ["k"], "t", ["v"])
+    split = nearby.last_before(more, marks, ["k"], "t", ["v"], bucket=F.floor(F.col("t") / 10))
+    assert plain.exceptAll(split).count() == 0 and plain.count() == split.count() == 300
     points = spark.createDataFrame([(10,), (20,), (None,), (-7,)], "point long")
     near = nearby.nearest_within(points, spark.createDataFrame([(8,), (12,), (25,), (-9,), (-5,)], "candidate long"), 4)
     assert {r["point"]: r["nearest"] for r in near.collect()} == {10: 12, 20: None, None: None, -7: -5}
