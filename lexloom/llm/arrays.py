@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes that are tokenised at once in a task; a longer text is taken whole.
-CHUNK = 8 << 20
+CHUNK = 3 << 20
 
 
 def slices(batch: pa.RecordBatch, column: str = "text"):
