@@ -78,3 +78,25 @@ def split(text: str | None, size: int, boundaries: list[str], trim: bool = True)
         out += split(piece, size, boundaries[1:], trim)
     out = [x.strip() if trim and x is not None else x for x in out]
     return [x for x in out if x]
+
+
+def pieces(text: str | None, kinds: list[str], trim: bool = False) -> list[str]:
+    """The pieces of a text between all boundaries of the kinds, in order; together they are the text, unless trimmed."""
+    if not text:
+        return []
+    at = sorted({0, len(text), *(e for k in kinds for e in ends(text, k))})
+    out = [text[a:b] for a, b in zip(at, at[1:])]
+    return [x for x in (x.strip() for x in out) if x] if trim else out
+
+
+def packed(parts: list[str | None], size: int, glue: str = "") -> list[str]:
+    """Neighbouring parts put together while they fit in size; a longer part stands alone. None and '' are left out."""
+    out: list[str] = []
+    for x in parts:
+        if not x:
+            continue
+        if out and len(out[-1]) + len(glue) + len(x) <= size:
+            out[-1] += glue + x
+        else:
+            out.append(x)
+    return out

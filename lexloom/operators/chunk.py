@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..kernels.boundaries import split
+from ..kernels import markdown
+from ..kernels.boundaries import packed, pieces, split
 from ..kernels.chunking import chunk
-from ..kernels.markdown import segments
 
 DEFAULT_BOUNDARIES = ("paragraph", "sentence", "line_break", "word", "character")
 
@@ -55,7 +55,7 @@ def markdown_chunk(docs: DataFrame, size: int | None = 1600, overlap: float = 0.
 def markdown_segment(docs: DataFrame, tags: Sequence[str] = ("h1", "h2", "h3", "h4"), trim: bool = False, omit_empty: bool = False, text_col: str = "text") -> DataFrame:
     """docs without their text, a row for each piece between the starts and ends of the tags: pos, tag, text."""
     names = list(tags)
-    return _exploded(docs, text_col, "pos int, tag string, text string", lambda t: [(i, g, x) for i, (g, x) in enumerate(segments(t or "", names, trim, omit_empty))])
+    return _exploded(docs, text_col, "pos int, tag string, text string", lambda t: [(i, g, x) for i, (g, x) in enumerate(markdown.segments(t or "", names, trim, omit_empty))])
 
 
 def split_text(docs: DataFrame, size: int = 1600, boundaries: Sequence[str] = DEFAULT_BOUNDARIES, trim: bool = True, text_col: str = "text") -> DataFrame:
@@ -64,7 +64,19 @@ def split_text(docs: DataFrame, size: int = 1600, boundaries: Sequence[str] = DE
     return _exploded(docs, text_col, "pos int, text string", lambda t: list(enumerate(split(t, size, kinds, trim))))
 
 
-def frame(pieces: DataFrame, keys: Sequence[str], nodes: Sequence[str] = ("h1", "h2", "h3"), names: str = "tag", leaves: str = "text", pos: str = "pos") -> DataFrame:
+def segment_text(docs: DataFrame, boundaries: Sequence[str] = ("sentence",), trim: bool = False, text_col: str = "text") -> DataFrame:
+    """docs without their text, a row for each piece between boundaries: pos, text."""
+    kinds = list(boundaries)
+    return _exploded(docs, text_col, "pos int, text string", lambda t: list(enumerate(pieces(t, kinds, trim))))
+
+
+def pack_segments(docs: DataFrame, segments_col: str, size: int = 1600, glue: str = "") -> DataFrame:
+    """docs without their array of segments, a row for each pack of neighbours that fit in size: pos, text."""
+    rows = docs.drop("text").withColumnRenamed(segments_col, "text") if segments_col != "text" else docs
+    return _exploded(rows, "text", "pos int, text string", lambda parts: list(enumerate(packed(parts or [], size, glue))))
+
+
+def frame(segments: DataFrame, keys: Sequence[str], nodes: Sequence[str] = ("h1", "h2", "h3"), names: str = "tag", leaves: str = "text", pos: str = "pos") -> DataFrame:
     """A flattened tree as rows: keys, pos, a column for each node level, names, leaves.
 
     A piece belongs to the last node of each level before it; a node of a level ends those of finer levels. Node
@@ -74,7 +86,7 @@ def frame(pieces: DataFrame, keys: Sequence[str], nodes: Sequence[str] = ("h1",
         raise ValueError("target names must be unique")
     w = Window.partitionBy(*keys).orderBy(pos)
     level = F.coalesce(*[F.when(F.col(names) == n, F.lit(i)) for i, n in enumerate(nodes)], F.lit(len(nodes)))
-    rows = pieces.withColumn("_level", level)
+    rows = segments.withColumn("_level", level)
     for i, n in enumerate(nodes):
         seen = F.last(F.when(F.col("_level") <= i, F.struct(F.when(F.col("_level") == i, F.col(leaves)).alias("t"))), ignorenulls=True).over(w)
         rows = rows.withColumn(f"_n{i}", seen["t"])

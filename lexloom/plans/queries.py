@@ -463,6 +463,17 @@ def split_recursive(spark, sf_dir):
     return chunk.split_text(table(spark, sf_dir, "documents").select("doc_id", "text"), 800)
 
 
+@query()
+def segment_sentences(spark, sf_dir):
+    return chunk.segment_text(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("""SELECT doc_id, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> '' GROUP BY doc_id""")
+def pack_lines(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    return chunk.pack_segments(lines, "lines", 400).groupBy("doc_id").agg(F.sum(F.length("text").cast("long")).alias("n_chars"))
+
+
 @query()
 def html_to_markdown(spark, sf_dir):
     return pages_as_markdown(table(spark, sf_dir, "pages"), extract=("article",))

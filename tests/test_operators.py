@@ -87,6 +87,14 @@ def test_frame(spark, tree, nodes, want):
     assert [tuple(r)[2:] for r in chunk.frame(rows, ["doc"], nodes).orderBy("pos").collect()] == want
 
 
+def test_segments_and_packs(spark):
+    docs = spark.createDataFrame([(1, "One. Two three! Four"), (2, None)], "id int, text string")
+    rows = [(r["id"], r["pos"], r["text"]) for r in chunk.segment_text(docs).orderBy("id", "pos").collect()]
+    assert rows == [(1, 0, "One. "), (1, 1, "Two three! "), (1, 2, "Four")]
+    lists = spark.createDataFrame([(1, ["ab", "cd", None, "", "efghij", "k"])], "id int, parts array<string>")
+    assert [r["text"] for r in chunk.pack_segments(lists, "parts", 5, " ").orderBy("pos").collect()] == ["ab cd", "efghij", "k"]
+
+
 def test_order_joins(spark):
     left = spark.createDataFrame([(1, 5, "x"), (1, 10, "y"), (2, 3, "z")], "k int, t int, name string")
     right = spark.createDataFrame([(1, 5, "a"), (1, 4, "b"), (1, 4, "c"), (2, 3, "d")], "k int, t int, v string")
