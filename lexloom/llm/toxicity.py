@@ -3,9 +3,10 @@
 The lexicon is chosen greedily from the words and word beginnings ("stems") of a bounded sample of labelled
 documents without near copies: terms that nearly only toxic documents have, by a likelihood ratio that chance
 does not reach, each covering as many toxic documents as it can; a document that others cover counts half as much
-for each of them.
-Scoring works on the distinct words of a batch: hashes of a word and of the word without any one letter rule out
-words that no term can be near to; the automaton of each remaining word walks the trie. Hits count by the share
+for each of them. Beside a chosen stem, the words of toxic documents that begin with it stay terms of their own, so
+that their misspellings are found.
+Scoring works on the distinct words of a batch: hashes of a word and of the word without any one or two letters rule
+out words that no term can be near to; the automaton of each remaining word walks the trie. Hits count by the share
 of toxic documents among training documents with such a hit, less inside quotation marks or after a word of
 reporting and more beside an address to the reader. The score is the noisy-or of the hits.
 """
@@ -31,10 +32,12 @@ STEMS = (4, 5, 6, 7)
 PRECISION, RATIO, LEAST_DOCS, LEAST_SHARE = 0.85, 34.0, 3, 0.002
 #: Each other document with a term takes so many toxic ones from its gain.
 PENALTY = 4
-#: Words from this length on, and stems from that, may have one edit: a letter put in, left out or changed, or two swapped.
-FUZZY_WORD, FUZZY_STEM = 5, 7
+#: Words and stems from these lengths on may have one edit: a letter put in, left out or changed, or two swapped.
+FUZZY_WORD, FUZZY_STEM = 5, 5
+#: Words and stems from this length on may have two.
+FUZZY_TWICE = 8
 #: Prior numbers of toxic and other documents for a hit.
-PRIOR = {0: (1.0, 0.1), 1: (1.5, 0.5)}
+PRIOR = {0: (1.0, 0.1), 1: (1.5, 0.5), 2: (1.5, 1.0)}
 WINDOW, QUOTED, REPORTED, ADDRESSED = 6, 0.3, 0.7, 0.5
 #: Words that report speech and words that address the reader, in the four languages of the corpus.
 REPORTS = frozenset("said says called wrote quoted quote dijo llamó citó escribió dit appelé cité écrit sagte nannte schrieb zitierte".split())
@@ -60,17 +63,19 @@ class Trie:
     """Terms (word, is it a stem) and the automata of words over them."""
 
     def __init__(self, terms: list[tuple[str, bool]]):
-        self.terms, self.root = terms, [{}, []]
+        self.edits = [2 if len(w) >= FUZZY_TWICE else int(len(w) >= (FUZZY_STEM if stem else FUZZY_WORD)) for w, stem in terms]
+        self.terms, self.root = terms, [{}, [], 0]  # children, terms that end here, most edits of a term below
         for i, (word, _) in enumerate(terms):
             node = self.root
             for c in word:
-                node = node[0].setdefault(c, [{}, []])
+                node = node[0].setdefault(c, [{}, [], 0])
+                node[2] = max(node[2], self.edits[i])
             node[1].append(i)
-        self.edits = [int(len(w) >= (FUZZY_STEM if stem else FUZZY_WORD)) for w, stem in terms]
         self.lengths = sorted({len(w) for w, stem in terms if stem})
-        size = max([len(w) for w, _ in terms] + [1]) + 2
+        self.twice = sorted({len(w) + d for (w, stem), k in zip(terms, self.edits) if k == 2 for d in (-2, -1, 0, 1, 2)})
+        size = max([len(w) for w, _ in terms] + [1]) + 3
         self.up, self.down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, b, np.uint64)])) for b in (_BASE, _INVERSE))
-        self.near, self.begins = (np.zeros(1 << _DELETED, bool) for _ in range(2))
+        self.near, self.begins, self.near_twice = (np.zeros(1 << _DELETED, bool) for _ in range(3))
         for (word, stem), k in zip(terms, self.edits):
             h = self._of(word)
             near = [h] + [self._of(word[:j] + word[j + 1 :]) for j in range(len(word)) if k]
@@ -78,6 +83,9 @@ class Trie:
                 self.begins[self._slot(np.array(near, np.uint64))] = True
             else:
                 self.near[self._slot(np.array(near, np.uint64))] = True
+            if k == 2:
+                near += [self._of(word[:i] + word[i + 1 : j] + word[j + 1 :]) for j in range(len(word)) for i in range(j)]
+                self.near_twice[self._slot(np.array(near, np.uint64))] = True
         # one edit at the start of a word reaches beginnings that are one shorter or longer than the stem
         self.lengths = sorted({n + d for n in self.lengths for d in ((-1, 0, 1) if n >= FUZZY_STEM else (0,))})
         self.memo: dict[str, tuple[int, int] | None] = {}
@@ -112,14 +120,29 @@ class Trie:
                     if above and j > 1 and word[j - 1] == letter and word[j - 2] == c:
                         d = min(d, above[j - 2] + 1)
                     new.append(d)
-                if min(new) <= 1:
+                if min(new) <= child[2]:
                     step(child, new, row, c)
 
         step(self.root, list(range(n + 1)), None, "")
         return best
 
+    def code(self, term: int, edits: int) -> int:
+        """The number of a kind of hit: 2 * term + edits, and for two edits 2 * the number of terms + term."""
+        return 2 * term + edits if edits < 2 else 2 * len(self.terms) + term
+
+    def _near_twice(self, h: np.ndarray) -> np.ndarray:
+        """Which words of one length have a letter or two fewer than a form of a term; h: (words, letters + 1) sums of hashes."""
+        n, out = h.shape[1] - 1, self.near_twice[self._slot(h[:, -1])]
+        for j in range(n):
+            after = (h[:, n] - h[:, j + 1]) * self.down[1]
+            out |= self.near_twice[self._slot(h[:, j] + after)]
+            after = after * self.down[1]
+            for i in range(j):
+                out |= self.near_twice[self._slot(h[:, i] + (h[:, j] - h[:, i + 1]) * self.down[1] + after)]
+        return out
+
     def hits(self, words: pa.Array) -> np.ndarray:
-        """For normal words: 2 * term + edits, or -1."""
+        """For normal words: code() of the nearest term and its edits, or -1."""
         out = np.full(len(words), -1, np.int64)
         if not len(words) or not self.terms:
             return out
@@ -146,6 +169,10 @@ class Trie:
                     b = total[at[:-1][long] + j] - total[at[:-1][long]]
                     a = first - (total[at[:-1][long] + j + 1] - total[at[:-1][long]])
                     near[long] |= self.begins[self._slot(b + a * self.down[1])]
+        for size in self.twice:
+            long = np.flatnonzero((n == size) & ~near)
+            if len(long):
+                near[long] = self._near_twice(total[at[:-1][long][:, None] + np.arange(size + 1)] - total[at[:-1][long]][:, None])
         some = fit[near]
         for i, word in zip(some.tolist(), words.take(pa.array(some)).to_pylist()):
             if word not in self.memo:
@@ -154,7 +181,7 @@ class Trie:
                 self.memo[word] = self.search(word)
             found = self.memo[word]
             if found is not None:
-                out[i] = 2 * found[0] + found[1]
+                out[i] = self.code(*found)
         return out
 
 
@@ -172,7 +199,7 @@ def context_factor(window: list[str], at: int) -> float:
 
 
 def _hits(texts: pa.Array, trie: Trie) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the hits in texts, in order: (text, 2 * term + edits, context factor)."""
+    """Of the hits in texts, in order: (text, Trie.code of term and edits, context factor)."""
     words, codes, offsets = tokens(texts)
     plain = normal(words).dictionary_encode()
     hit = trie.hits(plain.dictionary)[plain.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
@@ -223,9 +250,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def fit(train: DataFrame) -> dict:
-    """The lexicon from (doc, text, toxic): terms, hit values by 2 * term + edits, the value without any hit.
+    """The lexicon from (doc, text, toxic): terms, hit values by Trie.code, the value without any hit.
 
     All that comes to the driver is bounded by TRAIN_DOCS, CANDIDATES and TERMS. Without toxic rows no term is chosen.
+    Words come before stems, so that a word's own term counts where both are equally near.
     """
     train = written(train, "toxicity-train")
     n, toxic = train.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
@@ -261,6 +289,13 @@ def fit(train: DataFrame) -> dict:
             terms.append((word, best.endswith("*")))
             same = lambda f: f.startswith(word) or word.startswith(f.rstrip("*"))
             gains = {f: g for f, g in gains.items() if not (same(f) and (best.endswith("*") or len(cover[f] - cover[best]) < least))}
+        begun = F.lit(False)
+        for n_letters in STEMS:
+            begun |= F.substring("feature", 1, n_letters).isin([w for w, stem in terms if stem and len(w) == n_letters])
+        beside = often.where(begun & ~F.col("feature").endswith("*")).orderBy(F.desc("t"), "feature").collect()  # at most CANDIDATES
+        terms = sorted(dict.fromkeys([*terms, *((r["feature"], False) for r in beside)]), key=lambda x: x[1])
+
+    kinds = 3 * len(terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(terms)
@@ -268,16 +303,16 @@ def fit(train: DataFrame) -> dict:
             for part in slices(b):
                 owner, hit, _ = _hits(part.column("text"), trie)
                 label = part.column("toxic").to_numpy(zero_copy_only=False)
-                pairs = np.unique(owner * (2 * len(terms) + 2) + hit) if len(owner) else np.zeros(0, np.int64)
-                owner, hit = pairs // (2 * len(terms) + 2), pairs % (2 * len(terms) + 2)
+                pairs = np.unique(owner * (kinds + 2) + hit) if len(owner) else np.zeros(0, np.int64)
+                owner, hit = pairs // (kinds + 2), pairs % (kinds + 2)
                 none = np.setdiff1d(np.arange(part.num_rows), owner)
                 rows = [pa.array(np.concatenate([hit, np.full(len(none), -1)]), pa.int64()), pa.array(np.concatenate([label[owner], label[none]]), pa.int64())]
                 yield pa.RecordBatch.from_arrays(rows, ["hit", "toxic"])
 
     seen = {r["hit"]: (r["t"], r["n"] - r["t"]) for r in train.mapInArrow(count, "hit long, toxic long").groupBy("hit").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).collect()}
     values = []
-    for i in range(2 * len(terms)):
-        (t, o), (a, b) = seen.get(i, (0, 0)), PRIOR[i % 2]
+    for i in range(kinds):
+        (t, o), (a, b) = seen.get(i, (0, 0)), PRIOR[i % 2 if i < 2 * len(terms) else 2]
         values.append((t + a) / (t + o + a + b))
     t, o = seen.get(-1, (0, 0))
     return {"terms": terms, "values": values, "base": min(0.45, (t + 0.5) / (t + o + 10))}
@@ -302,7 +337,7 @@ def _scores(texts: pa.Array, trie: Trie, model: dict) -> tuple[np.ndarray, np.nd
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, score, hits) per input row; h is a hash of id and text. Null and empty texts get the value without hits.
 
-    Equal texts get equal scores. The model is a lexicon of at most TERMS terms.
+    Equal texts get equal scores. The model is a lexicon of at most TERMS terms and the words beside its stems.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 

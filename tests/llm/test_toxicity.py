@@ -1,4 +1,5 @@
 import itertools
+import random
 import zlib
 
 import pyarrow as pa
@@ -85,3 +86,38 @@ def test_odd_rows(spark, odd, none):
     empty = toxicity.fit(toxicity.training_rows(none, labels))
     assert toxicity.score(none, empty).count() == 0
     assert len({r["score"] for r in toxicity.score(odd, empty).collect()}) == 1
+
+
+def test_two_edits_against_edit_distance():
+    rng = random.Random(5)
+    terms = [("worthless", False), ("abcabcab", False), ("stupi", True), ("abca", True), ("cabb", False)]
+    words = set()
+    for term, _ in terms:
+        for _ in range(300):
+            w = term + rng.choice(["", "", "ab"])
+            for _ in range(rng.randrange(4)):
+                i = rng.randrange(len(w) + 1)
+                w = rng.choice([w[:i] + w[i + 1 :], w[:i] + rng.choice("abc0") + w[i:], w[:i] + w[i + 1 : i + 2] + w[i : i + 1] + w[i + 2 :]])
+            words.add(w)
+    words = sorted(words - {""})
+    trie = Trie(terms)
+    for w, h in zip(words, trie.hits(pa.array(words)).tolist()):
+        near = []
+        for i, ((t, stem), most) in enumerate(zip(terms, (2, 2, 1, 0, 0))):
+            d = min(osa(t, w[:n]) for n in range(len(w) + 1)) if stem else osa(t, w)
+            if d <= most:
+                near.append((d, i))
+        assert h == (trie.code(min(near)[1], min(near)[0]) if near else -1), (w, near)
+
+
+def test_misspellings_of_a_word_whose_stem_was_chosen(spark):
+    rng = random.Random(3)
+    filler = lambda: " ".join("".join(rng.choice("bdfglmnprt") + rng.choice("aeu") for _ in range(3)) for _ in range(12))
+    insults = ["idiot", "idiots", "idiotic", "idiocy"]
+    rows = [(i, f"{filler()} {insults[i % 4] if i < 160 else 'worthless'} {filler()}" if i < 240 else filler(), int(i < 240)) for i in range(1_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(toxicity.training_rows(docs, docs.select("doc_id", F.lit(1).alias("quality"), "toxic")))
+    assert any(stem and "idiot".startswith(w) for w, stem in model["terms"])  # the inflected forms make the stem win
+    texts = [f"some {w} here" for w in ("idiot", "idoit", "iidiot", "1diot", "idi0tic", "w0rthless", "w0rthl3ss", "plain", "window")]
+    score = toxicity._scores(pa.array(texts), Trie(model["terms"]), model)[0]
+    assert (score[:7] >= 0.5).all() and (score[7:] < 0.5).all(), score
