@@ -2,7 +2,8 @@
 
 Token counts by (source, language, topic) are raked until their sums match the target shares of each source,
 language and topic. Each cell's raked share, over its tokens, gives the probability with which its documents are
-drawn. The cells are bounded: each of the three has a bounded list of categories of its own and one for the rest.
+drawn. Every category is raked on its own, however many there are: a table of up to LOCAL_CELLS cells in NumPy on the
+driver, a larger one as a table in Spark.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import by_text, slices
-from .common import text_of, written
+from .common import checkpointed, small, text_of, written
 
-#: Categories of sources and languages that are raked on their own, by tokens; the others count as one.
-CATEGORIES = {"source": 256, "lang": 64, "topic": 16}
+#: Categories that are raked on their own, by tokens, where the others shall count as one. None: all of them.
+CATEGORIES: dict[str, int | None] = {"source": None, "lang": None, "topic": None}
+#: Cells that are raked on the driver at most (three codes and a few numbers each).
+LOCAL_CELLS = 200_000
 REST, NONE = "(rest)", "(none)"
 #: Default targets: shares in proportion to tokens to this power. Share of all tokens to draw.
 POWER, KEEP = 0.7, 0.8
@@ -70,24 +73,30 @@ def described(docs: DataFrame, text_col: str, prefix: str) -> DataFrame:
 
 
 def rake(tokens: np.ndarray, targets: list[np.ndarray]) -> np.ndarray:
-    """Shares of the cells of a three-way table in proportion to tokens where the margins are the targets.
+    """rake_cells() of a three-way table."""
+    codes = [x.reshape(-1) for x in np.indices(tokens.shape)]
+    return rake_cells(tokens.reshape(-1), codes, targets).reshape(tokens.shape)
+
+
+def rake_cells(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray]) -> np.ndarray:
+    """Shares of the cells in proportion to tokens where the margins are the targets; codes: each cell's three categories.
 
     Target shares of categories without tokens go to the others. Cells without tokens stay empty. Where no table
     has all margins, the last sweep's is returned, whose topic margin is right.
     """
     out = tokens / max(tokens.sum(), 1e-300)
     wanted = []
-    for axis, t in enumerate(targets):
-        there = tokens.sum(axis=tuple(i for i in range(3) if i != axis)) > 0
+    for code, t in zip(codes, targets):
+        there = np.bincount(code, tokens, len(t)) > 0
         t = np.where(there, np.maximum(np.asarray(t, float), 0), 0)
         wanted.append(t / t.sum() if t.sum() > 0 else there / max(there.sum(), 1))
     for _ in range(SWEEPS):
         worst = 0.0
-        for axis, t in enumerate(wanted):
-            own = out.sum(axis=tuple(i for i in range(3) if i != axis))
+        for code, t in zip(codes, wanted):
+            own = np.bincount(code, out, len(t))
             factor = np.divide(t, own, out=np.zeros_like(t), where=own > 0)
             worst = max(worst, float(np.max(np.abs(own - t), initial=0)))
-            out = out * factor.reshape([-1 if i == axis else 1 for i in range(3)])
+            out = out * factor[code]
         if worst < ERROR:
             break
     return out
@@ -108,12 +117,71 @@ def probabilities(tokens: np.ndarray, shares: np.ndarray, budget: float) -> np.n
     return np.minimum(1, hi * ratio).reshape(tokens.shape)
 
 
+def _local(cells: DataFrame, targets: dict[str, dict[str, float]], keep: float) -> DataFrame:
+    """(source, lang, topic, weight, probability) of at most LOCAL_CELLS cells (source, lang, topic, n)."""
+    got = cells.toArrow()
+    n = got.column("n").to_numpy().astype(float)
+    codes, wanted = [], []
+    for k in CATEGORIES:
+        coded = got.column(k).combine_chunks().dictionary_encode()
+        codes.append(coded.indices.to_numpy(zero_copy_only=False))
+        names = coded.dictionary.to_pylist()
+        own = np.bincount(codes[-1], n, len(names))
+        wanted.append(np.array([targets[k].get(v, 0.0) for v in names]) if k in targets else own**POWER)
+    shares = rake_cells(n, codes, wanted)
+    drawn = probabilities(n, shares, keep * n.sum())
+    out = pa.table({**{k: got.column(k) for k in CATEGORIES}, "weight": pa.array(shares / (n / max(n.sum(), 1.0))), "probability": pa.array(drawn)})
+    return cells.sparkSession.createDataFrame(out)
+
+
+def _raked(cells: DataFrame, total: float, targets: dict[str, dict[str, float]]) -> DataFrame:
+    """cells with the column share: rake_cells() as joins of grouped sums; nothing but errors comes to the driver."""
+    spark, n = cells.sparkSession, F.col("n").cast("double")
+    wanted = {}
+    for k in CATEGORIES:
+        own = cells.groupBy(k).agg(F.sum(n).alias("own"))
+        t = F.pow("own", F.lit(POWER))
+        if k in targets:
+            named = spark.createDataFrame([(v, max(float(w), 0.0)) for v, w in targets[k].items()], f"{k} string, named double")
+            own, t = own.join(F.broadcast(named), k, "left"), F.coalesce("named", F.lit(0.0))
+        own = written(own.select(k, t.alias("t")), "mixing-targets")
+        every, many = own.agg(F.sum("t"), F.count("*")).first()
+        wanted[k] = (own.select(k, (F.col("t") / every if every > 0 else F.lit(1.0 / many)).alias("t")), many)
+    out = checkpointed(cells.withColumn("share", n / total))
+    for _ in range(SWEEPS):
+        worst = 0.0
+        for k, (t, many) in wanted.items():
+            own = checkpointed(out.groupBy(k).agg(F.sum("share").alias("own")).join(small(t, many), k))
+            worst = max(worst, own.agg(F.max(F.abs(F.col("own") - F.col("t")))).first()[0])
+            factor = own.select(k, F.when(F.col("own") > 0, F.col("t") / F.col("own")).otherwise(0.0).alias("factor"))
+            out = out.join(small(factor, many), k).withColumn("share", F.col("share") * F.col("factor")).drop("factor")
+        out = checkpointed(out)
+        if worst < ERROR:
+            break
+    return out
+
+
+def _spread(cells: DataFrame, total: float, targets: dict[str, dict[str, float]], keep: float) -> DataFrame:
+    """_local() for any number of cells."""
+    n, ratio = F.col("n").cast("double"), F.col("share") / F.col("n")
+    out = _raked(cells, total, targets)
+    can = out.where("share > 0").agg(F.sum(n)).first()[0] or 0.0
+    budget, scale, full = min(keep * total, can), 0.0, -1
+    while True:  # cells that are drawn whole leave their part of the budget to the others; there are ever more of them
+        whole = scale * ratio >= 1
+        taken, rest, now = out.agg(F.sum(F.when(whole, n).otherwise(0.0)), F.sum(F.when(whole, 0.0).otherwise(F.col("share"))), F.count(F.when(whole, 1))).first()
+        if now == full or not rest > 0:
+            break
+        scale, full = max(scale, (budget - taken) / rest), now
+    return out.select(*CATEGORIES, (F.col("share") / (n / total)).alias("weight"), F.least(F.lit(1.0), scale * ratio).alias("probability"))
+
+
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, seed: int = 42, prefix: str = "_") -> DataFrame:
     """All columns of docs with cell_source, cell_lang, cell_topic, tokens, weight, probability, selected after the
     prefix; input columns with these names are replaced.
 
     targets: for source, lang and topic, category -> weight; a category that isn't named there has weight 0
-    (``(rest)`` stands for those without a list place, ``(none)`` for null). Without targets for one of them, its
+    (``(none)`` stands for null, ``(rest)`` for those that CATEGORIES, where it has a number, leaves out). Without targets for one of them, its
     weights are its tokens to the power POWER. weight is the raked share over the share of tokens. A document is
     selected if a hash of its id and text is below its probability, so equal rows go together; null and empty
     texts count one token. An empty table gives no rows.
@@ -127,29 +195,20 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, kee
     raw = written(raw, "mixing-cells")
     lists = {}
     for k, most in CATEGORIES.items():
-        top = raw.groupBy(k).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), k).limit(most)
-        lists[k] = sorted({r[k] for r in top.collect()} | set((targets or {}).get(k, {})) - {REST})
-    cell = {k: F.when(F.col(k).isin(lists[k]), F.col(k)).otherwise(F.lit(REST)) for k in parts}
-    rows = raw.select(*[c.alias(k) for k, c in cell.items()], "n").groupBy(*parts).agg(F.sum("n").alias("n")).collect()  # bounded by CATEGORIES
-    names = [[*lists[k], REST] for k in parts]
-    at = [{v: i for i, v in enumerate(x)} for x in names]
-    table = np.zeros([len(x) for x in names])
-    for r in rows:
-        table[tuple(at[i][r[k]] for i, k in enumerate(parts))] = r["n"]
-    wanted = []
-    for axis, k in enumerate(parts):
-        own = table.sum(axis=tuple(i for i in range(3) if i != axis))
-        wanted.append(np.array([targets[k].get(v, 0.0) for v in names[axis]]) if targets and k in targets else own**POWER)
-    shares = rake(table, wanted)
-    drawn = probabilities(table, shares, keep * table.sum())
-    total = max(table.sum(), 1.0)
-    cells = [(*(names[i][j] for i, j in enumerate(ix)), float(shares[ix] / (table[ix] / total)), float(drawn[ix])) for ix in zip(*np.nonzero(table))]
-    spark = docs.sparkSession
-    known = spark.createDataFrame(cells, f"{p}s string, {p}l string, {p}t string, {p}weight double, {p}probability double")
+        if most is not None:
+            top = raw.groupBy(k).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), k).limit(most)
+            lists[k] = sorted({r[k] for r in top.collect()} | set((targets or {}).get(k, {})) - {REST})
+    cell = lambda k, c: F.when(c.isin(lists[k]), c).otherwise(F.lit(REST)) if k in lists else c
+    cells = raw
+    if lists:
+        cells = written(raw.select(*[cell(k, F.col(k)).alias(k) for k in parts], "n").groupBy(*parts).agg(F.sum("n").alias("n")), "mixing-cells")
+    count, total = cells.agg(F.count("*"), F.sum("n")).first()
+    known = _local(cells, targets or {}, keep) if count <= LOCAL_CELLS else written(_spread(cells, float(total), targets or {}, keep), "mixing-raked")
+    known = known.select(F.col("source").alias(f"{p}s"), F.col("lang").alias(f"{p}l"), F.col("topic").alias(f"{p}t"), F.col("weight").alias(f"{p}weight"), F.col("probability").alias(f"{p}probability"))
     named = described(docs, text_col, p).withColumns({f"{p}cell_{k}": c for k, c in parts.items()}).drop(f"{p}topic")
-    named = named.withColumns({f"{p}cell_{k}": F.when(F.col(f"{p}cell_{k}").isin(lists[k]), F.col(f"{p}cell_{k}")).otherwise(F.lit(REST)) for k in parts})
+    named = named.withColumns({f"{p}cell_{k}": cell(k, F.col(f"{p}cell_{k}")) for k in parts})
     on = (F.col(f"{p}cell_source") == F.col(f"{p}s")) & (F.col(f"{p}cell_lang") == F.col(f"{p}l")) & (F.col(f"{p}cell_topic") == F.col(f"{p}t"))
-    joined = named.join(F.broadcast(known), on, "left").drop(f"{p}s", f"{p}l", f"{p}t")  # at most the product of CATEGORIES
+    joined = named.join(small(known, count), on, "left").drop(f"{p}s", f"{p}l", f"{p}t")
     u = F.shiftrightunsigned(F.xxhash64(F.col(id_col), text_of(text_col), F.lit(seed)), 11).cast("double") / float(1 << 53)
     return joined.withColumn(f"{p}selected", F.coalesce(u < F.col(f"{p}probability"), F.lit(False)))
 

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.llm import mixing
+from lexloom.llm.common import written
 
 
 def test_raking_reaches_the_margins():
@@ -61,3 +62,35 @@ def test_odd_rows(odd, none):
     assert mixing.mix(none).count() == 0
     clash = odd.withColumn("_tokens", F.lit("mine"))
     assert mixing.mix(clash, prefix="__m_").where("_tokens = 'mine'").count() == odd.count()
+
+
+def many(spark):
+    """585 sources of different sizes, 80 languages and 30 topics: more of each than were once raked on their own."""
+    rows = spark.range(6_000).withColumn("s", F.floor(F.sqrt(F.col("id") * 60)))
+    return rows.select(
+        F.col("id").alias("doc_id"), F.lit("one two three").alias("text"), F.concat(F.lit("s"), "s").alias("source"),
+        F.concat(F.lit("l"), (F.col("id") * 7919 % 80).cast("string")).alias("lang"), F.concat(F.lit("t"), (F.col("id") * 104729 % 30).cast("string")).alias("topic"),
+    )
+
+
+def test_every_category_has_its_own_margin(spark):
+    got = mixing.mix(many(spark), topic=F.col("topic")).select("_cell_source", "_cell_lang", "_cell_topic", "_tokens", "_weight").toPandas()
+    assert [got[f"_cell_{k}"].nunique() for k in ("source", "lang", "topic")] == [585, 80, 30]
+    got["share"] = got["_tokens"] * got["_weight"] / got["_tokens"].sum()
+    margin = got.groupby("_cell_topic")[["share", "_tokens"]].sum()
+    wanted = margin["_tokens"] ** mixing.POWER
+    assert np.allclose(margin["share"], wanted / wanted.sum(), atol=1e-6)
+
+
+@pytest.mark.parametrize("targets", [None, {"topic": {f"t{i}": i for i in range(20)}, "lang": {"gone": 1.0}}])
+def test_raking_in_spark_gives_what_the_driver_gives(spark, monkeypatch, targets):
+    monkeypatch.setattr(mixing, "SWEEPS", 3)
+    rows = written(many(spark).where("doc_id % 10 < 3"), "test")
+    out = []
+    for cells in (10**6, 0):
+        monkeypatch.setattr(mixing, "LOCAL_CELLS", cells)
+        out.append(mixing.mix(rows, targets, topic=F.col("topic")).select("doc_id", "_weight", "_probability").toPandas().sort_values("doc_id"))
+    here, there = out
+    assert len(here) == len(there) == 1_800 and not there.isna().any().any()
+    assert np.allclose(here["_weight"], there["_weight"], rtol=1e-6) and np.allclose(here["_probability"], there["_probability"], rtol=1e-6)
+    assert there["_probability"].max() == 1 and there["_probability"].mean() == pytest.approx(mixing.KEEP if targets is None else here["_probability"].mean())
