@@ -1,10 +1,13 @@
 """WARC archives with a two-level capture index.
 
-Records (one gzip member each) fill archives of bounded size; an archive is a row of a table in the shared
-folder, so any Hadoop file system and any executor can hold and read it. The index has a line per capture, sorted
-by reversed-host URL key, in compressed blocks; the directory keeps the first and last key of every so many
-blocks and stays bounded. A lookup binary-searches the directory, then the lines of the block, and reads only
-the ranges of the archives that these name.
+Records (one gzip member each) fill archive files in the shared folder. The index has a line per capture, sorted by
+reversed-host URL key, in compressed blocks; after each run of blocks its index file has a page that names their first
+and last keys, offsets and lengths. The sparse directory has one entry per page and a proven bound. A lookup
+binary-searches the directory, then the page, then the block, and reads from storage only the pages, blocks and record
+ranges that these name: no archive or index file is read whole and none of their bytes are shuffled.
+
+A task names its files after its own attempt, and the rows that Spark commits name the files: what a lost or repeated
+attempt wrote is never referred to.
 """
 
 from __future__ import annotations
@@ -12,29 +15,45 @@ from __future__ import annotations
 import bisect
 import gzip
 import hashlib
+import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import new_folder, ready, text_of, written
+from .files import create, reader
 from .urls import url_host
 
 #: Payloads from this size on are stored once; smaller ones always.
 LEAST_REVISIT = 1_000
-#: Bytes and records of an archive; lines of an index block; entries of the directory; requests for a block in one row.
-ARCHIVE_BYTES, ARCHIVE_RECORDS, BLOCK_LINES, DIRECTORY, REQUESTS = 2 << 20, 2_000, 256, 200_000, 1_000
+#: Bytes of an archive file; lines of an index block; blocks of a page at least; entries of the directory (besides one
+#: more for each index file).
+ARCHIVE_BYTES, BLOCK_LINES, PAGE_BLOCKS, DIRECTORY = 256 << 20, 256, 256, 200_000
 #: Rows of the table of repeated payloads up to which it is broadcast (about 60 bytes each).
 BROADCAST_DIGESTS = 200_000
+#: Adjacent ranges of an archive are read together up to so many bytes.
+READ_BYTES = 1 << 20
 DATE = "2020-01-01T00:00:00Z"
 
-RECORD = "archive string, data binary, keys array<string>, ids array<{kind}>, offsets array<long>, lengths array<int>"
-CAPTURE = "page_id {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}"
+LINES = pa.schema([("key", pa.string()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+PAGES = pa.schema([("first", pa.string()), ("last", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("blocks", pa.int64())])
+CAPTURES = pa.schema([("page_id", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string())])
+
+
+def _ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"`{f.name}` {'long' if f.type == pa.int64() else 'string'}" for f in schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 def url_key(url: Column) -> Column:
@@ -70,10 +89,10 @@ def record(page_id, url: str, html: str | None, n: int, digest: str, keeper) ->
     name = hashlib.md5(f"{page_id}|{url}|{digest}".encode()).hexdigest()
     fields = [
         ("WARC-Type", "response" if keeper is None else "revisit"), ("WARC-Record-ID", f"<urn:uuid:{name[:8]}-{name[8:12]}-{name[12:16]}-{name[16:20]}-{name[20:]}>"),
-        ("WARC-Target-URI", url), ("WARC-Date", DATE), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-Id", "" if page_id is None else page_id),
-    ]
+        ("WARC-Target-URI", url), ("WARC-Date", DATE), ("WARC-Payload-Digest", f"sha1:{digest}"),
+    ] + ([] if page_id is None else [("X-Page-Id", quote(str(page_id)))])
     if keeper is not None:
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"), ("X-Refers-To-Page", keeper)]
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"), ("X-Refers-To-Page", quote(str(keeper)))]
     fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", len(block))]
     return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n"
 
@@ -82,7 +101,7 @@ def parse(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     """(WARC fields, HTTP fields, payload) of one record; a record that breaks off raises ValueError."""
     head, _, rest = data.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
-    fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
+    fields = dict(x.split(": ", 1) for x in lines[1:])
     block = rest[: int(fields["Content-Length"])]
     if not lines[0].startswith("WARC/") or len(block) != int(fields["Content-Length"]) or rest[len(block) :] != b"\r\n\r\n":
         raise ValueError("not a whole WARC record")
@@ -90,65 +109,77 @@ def parse(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     return fields, dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:]), payload
 
 
-def _pack(most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, number, held, size, kind = TaskContext.get().partitionId(), 0, [], 0, None
+def _attempt() -> str:
+    """Names a task's attempt: another one has other files."""
+    task = TaskContext.get()
+    return f"{task.partitionId():06d}-{task.taskAttemptId()}"
 
-    def full() -> pa.RecordBatch:
-        lengths = [len(x[2]) for x in held]
-        offsets = [sum(lengths[:i]) for i in range(len(lengths))] if len(lengths) < 2 else list(_running(lengths))
-        columns = [[f"{part:06d}-{number:06d}"], [b"".join(x[2] for x in held)], [[x[0] for x in held]], [[x[1] for x in held]], [offsets], [lengths]]
-        kinds = [pa.string(), pa.binary(), pa.list_(pa.string()), pa.list_(kind), pa.list_(pa.int64()), pa.list_(pa.int32())]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["archive", "data", "keys", "ids", "offsets", "lengths"])
 
+def _fill(folder: str, most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows into archive files of about `most` bytes; gives the lines of a file once it is closed."""
+    out, size, lines, number = None, 0, [], 0
     for b in batches:
-        kind = b.schema.field("id").type
         for i in range(b.num_rows):
             r = {c: b.column(c)[i].as_py() for c in b.schema.names}
             member = gzip.compress(record(r["id"], r["url"], r["html"], r["n"], r["digest"], r["keeper"]), 1, mtime=0)
-            held.append((r["key"], r["id"], member))
+            if out is None:
+                name = f"{folder}/{_attempt()}-{number:06d}.warc.gz"
+                out, size, number = create(name), 0, number + 1
+            out.write(member)
+            lines.append((r["key"], name, size, len(member)))
             size += len(member)
-            if size >= most or len(held) >= ARCHIVE_RECORDS:
-                yield full()
-                number, held, size = number + 1, [], 0
-    if held:
-        yield full()
-
-
-def _running(lengths: list[int]) -> Iterator[int]:
-    at = 0
-    for n in lengths:
-        yield at
-        at += n
-
-
-def _blocks(most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted lines (key, archive, offset, length) into compressed blocks."""
-    part, number, held = TaskContext.get().partitionId(), 0, []
-
-    def full() -> pa.RecordBatch:
-        data = zlib.compress("\n".join(f"{k}\t{a}\t{o}\t{n}" for k, a, o, n in held).encode(), 6)
-        return pa.RecordBatch.from_pydict({"shard": [part], "number": [number], "first": [held[0][0]], "last": [held[-1][0]], "data": pa.array([data], pa.binary())}, BLOCKS)
+            if size >= most:
+                out.close()
+                yield _batch(lines, LINES)
+                out, lines = None, []
+    if out is not None:
+        out.close()
+        yield _batch(lines, LINES)
+
+
+def _index(folder: str, block_lines: int, page_blocks: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted lines into an index file of blocks and pages; gives a row for each page."""
+    name, out, at, held, blocks, pages = f"{folder}/{_attempt()}.idx", None, 0, [], [], []
+
+    def put(data: bytes) -> tuple[int, int]:
+        nonlocal out, at
+        out = out or create(name)
+        out.write(data)
+        at += len(data)
+        return at - len(data), len(data)
+
+    def block() -> None:
+        where = put(zlib.compress("\n".join("\t".join(map(str, x)) for x in held).encode(), 6))
+        blocks.append((held[0][0], held[-1][0], *where))
+        held.clear()
+
+    def page() -> None:
+        where = put(zlib.compress(json.dumps(blocks).encode(), 6))
+        pages.append((blocks[0][0], blocks[-1][1], name, *where, len(blocks)))
+        blocks.clear()
 
     for b in batches:
-        for line in zip(*(b.column(c).to_pylist() for c in ("key", "archive", "offset", "length"))):
+        for line in zip(*(b.column(c).to_pylist() for c in LINES.names)):
             held.append(line)
-            if len(held) >= most:
-                yield full()
-                number, held = number + 1, []
+            if len(held) >= block_lines:
+                block()
+                if len(blocks) >= page_blocks:
+                    page()
     if held:
-        yield full()
-
-
-BLOCKS = pa.schema([("shard", pa.int32()), ("number", pa.int32()), ("first", pa.string()), ("last", pa.string()), ("data", pa.binary())])
+        block()
+    if blocks:
+        page()
+    if out is not None:
+        out.close()
+    yield _batch(pages, PAGES)
 
 
 @dataclass
 class Archives:
-    """Tables of archives and index blocks, and the directory: (first key, last key, shard, from, to block)."""
+    """The captures (key, archive, offset, length), the pages of the index, and the type of the ids."""
 
     records: DataFrame
-    blocks: DataFrame
-    directory: list[tuple[str, str, int, int, int]]
+    pages: DataFrame
     kind: str
 
 
@@ -157,81 +188,132 @@ def _quoted(key: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(key, "\t", "%09"), "[\r\n]", "%0A")
 
 
-def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archive_bytes: int = ARCHIVE_BYTES, block_lines: int = BLOCK_LINES, entries: int = DIRECTORY) -> Archives:
-    """Writes a record for each row and the index over them."""
-    kind = pages.schema[id_col].dataType.simpleString()
-    rows = decided(pages, id_col, url_col, html_col).withColumn("key", _quoted(F.col("key")))
-    records = written(rows.mapInArrow(partial(_pack, archive_bytes), RECORD.format(kind=kind)), "warc-archives")
-    lines = records.select("archive", F.explode(F.arrays_zip("keys", "offsets", "lengths")).alias("x")).select(F.col("x.keys").alias("key"), "archive", F.col("x.offsets").alias("offset"), F.col("x.lengths").alias("length"))
+def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archive_bytes: int = ARCHIVE_BYTES, block_lines: int = BLOCK_LINES, page_blocks: int = PAGE_BLOCKS, entries: int = DIRECTORY) -> Archives:
+    """Writes a record for each row, then the index over them.
+
+    Null payloads and URLs count as empty, repeated rows have a record each, and rows with a null id have records without
+    one. Ids of any simple type come back as they were. Other columns are ignored, whatever their names. An empty table
+    gives no files. Of records with one key, the index has them by archive and offset.
+    """
+    spark, kind = pages.sparkSession, pages.schema[id_col].dataType.simpleString()
+    ready(spark)
+    rows = decided(pages, id_col, url_col, html_col).withColumns({"key": _quoted(F.col("key")), "id": F.col("id").cast("string"), "keeper": F.col("keeper").cast("string")})
+    records = written(rows.mapInArrow(partial(_fill, new_folder(spark, "warc-archives"), archive_bytes), _ddl(LINES)), "warc-captures")
+    lines = records.count()
+    page_blocks = max(page_blocks, -(-lines // (block_lines * entries)))
     order = ["key", "archive", "offset"]
-    blocks = written(lines.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(partial(_blocks, block_lines), "shard int, number int, first string, last string, data binary"), "warc-index")
-    step = max(1, -(-blocks.count() // entries))
-    sparse = blocks.groupBy("shard", F.floor(F.col("number") / step).alias("g")).agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("number").alias("lo"), F.max("number").alias("hi"))
-    directory = sorted((r["first"].encode(), r["last"].encode(), r["shard"], r["lo"], r["hi"]) for r in sparse.collect())  # about as many as asked for
-    return Archives(records, blocks, directory, kind)
+    sorted_lines = records.repartitionByRange(*order).sortWithinPartitions(*order)
+    index = written(sorted_lines.mapInArrow(partial(_index, new_folder(spark, "warc-index"), block_lines, page_blocks), _ddl(PAGES)), "warc-directory")
+    return Archives(records, index, kind)
+
 
+def directory(archives: Archives) -> list[tuple[bytes, bytes, str, int, int]]:
+    """(first key, last key, index file, offset, length) of each page, in order of the keys. `write` sees to its bound."""
+    rows = archives.pages.select("first", "last", "file", "offset", "length").collect()
+    return sorted((r["first"].encode(), r["last"].encode(), r["file"], r["offset"], r["length"]) for r in rows)
 
-def locate(archives: Archives, keys: DataFrame) -> DataFrame:
-    """(key, archive, offset, length) of all captures of the distinct keys(key); keys that aren't there give none."""
+
+def _none(n: int) -> None:
+    """Counts nothing."""
+
+
+def locate(archives: Archives, keys: DataFrame, requests: Callable[[int], None] = _none) -> DataFrame:
+    """(key, archive, offset, length) of all captures of the distinct keys(key); null keys and such that aren't there
+    give none. `requests` is called with 1 for each page or block that is read.
+
+    A key asks for the pages whose range has it; keys are dealt to tasks in ranges of (page, key), so that a page or a
+    block is read once by a task, a key with very many captures is dealt by its pages, and many keys of one page by key.
+    """
     spark = keys.sparkSession
-    shared = spark.sparkContext.broadcast(archives.directory)
+    shared = spark.sparkContext.broadcast(directory(archives))
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entries = shared.value
-        firsts, lasts = [e[0] for e in entries], [e[1] for e in entries]
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts, lasts = [e[0] for e in shared.value], [e[1] for e in shared.value]
         for b in batches:
-            out = []
+            names, pages = [], []
             for key in b.column("key").to_pylist():
                 lo, hi = bisect.bisect_left(lasts, key.encode()), bisect.bisect_right(firsts, key.encode())
-                out += [(key, e[2], n) for e in entries[lo:hi] for n in range(e[3], e[4] + 1)]
-            columns = list(zip(*out)) if out else [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int32()))], ["key", "shard", "number"])
-
-    asked = keys.select("key").where("key is not null").distinct().mapInArrow(search, "key string, shard int, number int")
-    asked = asked.repartition("shard", "number", F.pmod(F.xxhash64("key"), F.lit(4)))
-    counts = asked.groupBy("shard", "number").agg(F.count("*").alias("c")).select(F.col("shard").alias("s"), F.col("number").alias("b"), "c")
-    salted = asked.join(counts, (F.col("shard") == F.col("s")) & (F.col("number") == F.col("b")))
-    salted = salted.withColumn("salt", F.pmod(F.xxhash64("key", F.lit(5)), F.ceil(F.col("c") / REQUESTS)))
-    requests = salted.groupBy("shard", "number", "salt").agg(F.collect_list("key").alias("keys"))
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for wanted, data in zip(b.column("keys").to_pylist(), b.column("data").to_pylist()):
-                lines = [x.split("\t") for x in zlib.decompress(data).decode().split("\n")]
-                names, out = [x[0].encode() for x in lines], []
-                for key in wanted:
-                    out += lines[bisect.bisect_left(names, key.encode()) : bisect.bisect_right(names, key.encode())]
-                columns = [[x[0] for x in out], [x[1] for x in out], [int(x[2]) for x in out], [int(x[3]) for x in out]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int32()))], ["key", "archive", "offset", "length"])
+                names += [key] * (hi - lo)
+                pages += range(lo, hi)
+            yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(names, pa.string())], ["page", "key"])
 
-    found = requests.join(archives.blocks.select("shard", "number", "data"), ["shard", "number"])
-    return found.select("keys", "data").mapInArrow(read, "key string, archive string, offset long, length int")
-
-
-def fetch(archives: Archives, ranges: DataFrame) -> DataFrame:
-    """Captures read from the (archive, offset, length) ranges: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    kind = archives.kind
-    asked = ranges.groupBy("archive").agg(F.collect_list(F.struct("offset", "length")).alias("ranges"))  # at most ARCHIVE_RECORDS
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read, number, blocks, open_block, lines, out = reader(), None, [], None, [], []
+        for b in batches:
+            for page, key in zip(b.column("page").to_pylist(), b.column("key").to_pylist()):
+                key, file = key.encode(), shared.value[page][2]
+                if page != number:
+                    number, open_block = page, None
+                    blocks = json.loads(zlib.decompress(read(*shared.value[page][2:])))
+                    firsts, lasts = [x[0].encode() for x in blocks], [x[1].encode() for x in blocks]
+                    requests(1)
+                for i in range(bisect.bisect_left(lasts, key), bisect.bisect_right(firsts, key)):
+                    if i != open_block:
+                        open_block = i
+                        lines = [x.split("\t") for x in zlib.decompress(read(file, *blocks[i][2:])).decode().split("\n")]
+                        names = [x[0].encode() for x in lines]
+                        requests(1)
+                    for x in lines[bisect.bisect_left(names, key) : bisect.bisect_right(names, key)]:
+                        out.append((x[0], x[1], int(x[2]), int(x[3])))
+                    if len(out) >= 10_000:
+                        yield _batch(out, LINES)
+                        out = []
+        yield _batch(out, LINES)
+
+    asked = keys.select("key").where("key is not null").distinct().mapInArrow(ask, "page long, key string")
+    return asked.repartitionByRange("page", "key").sortWithinPartitions("page", "key").mapInArrow(search, _ddl(LINES))
+
+
+def fetch(archives: Archives, ranges: DataFrame, requests: Callable[[int], None] = _none) -> DataFrame:
+    """Captures read from the (archive, offset, length) ranges: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Only these ranges are read; `requests` is called with the bytes of each read. A range given twice comes twice. A payload
+    that differs from its digest raises ValueError.
+    """
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def captures(name: str, run: list[tuple[int, int]], read) -> list[tuple]:
+        data, out = memoryview(read(name, run[0][0], run[-1][0] + run[-1][1] - run[0][0])), []
+        requests(len(data))
+        for offset, length in run:
+            at = offset - run[0][0]
+            fields, http, payload = parse(gzip.decompress(data[at : at + length]))
+            digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+            if fields["WARC-Type"] == "response" and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != int(http["Content-Length"])):
+                raise ValueError(f"the payload of record {fields['WARC-Record-ID']} differs from its digest")
+            known = [unquote(fields[k]) if k in fields else None for k in ("X-Page-Id", "X-Refers-To-Page")]
+            out.append((known[0], int(http["Content-Length"]), digest, fields["WARC-Type"], known[1]))
+        return out
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+        """Ranges that follow each other in an archive, together."""
+        name, run, size = None, [], 0
         for b in batches:
-            for i in range(b.num_rows):
-                data, out = b.column("data")[i].as_buffer(), []
-                for r in b.column("ranges")[i].as_py():
-                    fields, http, payload = parse(gzip.decompress(data[r["offset"] : r["offset"] + r["length"]]))
-                    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if fields["WARC-Type"] == "response" and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != int(http["Content-Length"])):
-                        raise ValueError(f"the payload of record {fields['WARC-Record-ID']} differs from its digest")
-                    out.append((fields["X-Page-Id"] or None, int(http["Content-Length"]), digest, fields["WARC-Type"], fields.get("X-Refers-To-Page")))
-                columns = list(zip(*out))
-                kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-
-    found = archives.records.select("archive", "data").join(asked, "archive").select("data", "ranges")
-    rows = found.mapInArrow(read, CAPTURE.format(kind="string"))
-    return rows.withColumns({"page_id": F.col("page_id").cast(kind), "refers_to": F.col("refers_to").cast(kind)})
+            for archive, offset, length in zip(*(b.column(c).to_pylist() for c in ("archive", "offset", "length"))):
+                if run and (archive != name or offset != run[-1][0] + run[-1][1] or size + length > READ_BYTES):
+                    yield name, run
+                    run, size = [], 0
+                name, size = archive, size + length
+                run.append((offset, length))
+        if run:
+            yield name, run
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read, out = reader(), []
+        for name, run in runs(batches):
+            out += captures(name, run, read)
+            if len(out) >= 10_000:
+                yield _batch(out, CAPTURES)
+                out = []
+        yield _batch(out, CAPTURES)
+
+    dealt = ranges.select("archive", "offset", "length").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    rows = dealt.mapInArrow(load, _ddl(CAPTURES))
+    return rows.withColumns({"page_id": F.col("page_id").cast(archives.kind), "refers_to": F.col("refers_to").cast(archives.kind)})
 
 
 def lookup(archives: Archives, urls: DataFrame, url_col: str = "url") -> DataFrame:
-    """The captures of the distinct URLs' keys, through directory, index blocks and archive ranges."""
+    """The captures of the distinct URLs' keys, through directory, index pages, blocks and archive ranges.
+
+    A null URL asks for the key of an empty one. URLs that were never captured give no rows; an empty table gives none.
+    """
     return fetch(archives, locate(archives, urls.select(_quoted(url_key(F.col(url_col))).alias("key"))))
