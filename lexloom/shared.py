@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in the folder of spark.checkpoint.dir; where that is unset (local tests), in a new one."""
+    """df.checkpoint() in the folder of spark.checkpoint.dir. Where it is unset: in a new one in local mode (tests);
+    elsewhere a ValueError, since executors would write to their own disks."""
     sc = df.sparkSession.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and not sc.getCheckpointDir():
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
