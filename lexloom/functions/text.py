@@ -45,23 +45,54 @@ def token_estimate(text: Column) -> Column:
     return F.floor(F.length(text) / 4).cast("int")
 
 
+#: Character references that occur in URLs, the ampersand last. Fixed values.
+_REFERENCES = (("&(?:quot|#34|#x22);", '"'), ("&(?:apos|#39|#x27);", "'"), ("&(?:lt|#60|#x3c);", "<"), ("&(?:gt|#62|#x3e);", ">"), ("&(?:sol|#47|#x2f);", "/"), ("&(?:num|#35|#x23);", "#"), ("&(?:amp|#38|#x26);", "&"))
+
+
 def links(html: Column) -> Column:
-    """Sorted distinct href values of <a> tags, without fragments, one trailing slash and links to the page's own root."""
-    found = F.regexp_extract_all(html, F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"'>]*)["']"""), F.lit(1))
-    plain = F.filter(F.transform(found, lambda h: F.regexp_replace(h, "#.*$", "")), lambda h: ~h.isin("", "/", "./", "./index.html"))
-    return F.array_sort(F.array_distinct(F.transform(plain, lambda h: F.regexp_replace(h, "/$", ""))))
+    """Sorted distinct href values of <a> tags, or of a sitemap its <loc> addresses, without fragments, one trailing slash
+    and links to the page's own root. Comments, scripts and styles have no links; character references are decoded.
+    """
+    seen = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
+    value = r"""(?is)<a\s(?:[^>"']|"[^"]*"|'[^']*')*?(?<![\w-])href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+    hrefs = F.transform(F.regexp_extract_all(seen, F.lit(value), F.lit(1)), lambda h: F.regexp_replace(h, "^[\"']|[\"']$", ""))
+    places = F.regexp_extract_all(seen, F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1))
+    found = F.when(seen.rlike(r"(?i)<(urlset|sitemapindex)[\s>]"), F.when(seen.rlike(r"(?i)<urlset[\s>]"), places).otherwise(F.array().cast("array<string>"))).otherwise(hrefs)
+
+    def plain(h: Column) -> Column:
+        for pattern, character in _REFERENCES:
+            h = F.regexp_replace(h, "(?i)" + pattern, character)
+        return F.regexp_replace(F.trim(h), "(?s)#.*$", "")
+
+    kept = F.filter(F.transform(found, plain), lambda h: ~h.isin("", "/", "./", "./index.html"))
+    return F.array_sort(F.array_distinct(F.transform(kept, lambda h: F.regexp_replace(h, "/$", ""))))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that begins with a slash, without ``.`` and ``..`` segments."""
+    parts = F.split(F.substring(path, 2, 1 << 30), "/")
+    dots = F.element_at(parts, -1).isin(".", "..")
+    step = lambda kept, x: F.when(x == ".", kept).when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.concat(kept, F.array(x)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    whole = F.concat(F.lit("/"), F.array_join(F.when(dots, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/"))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), whole).otherwise(path)
 
 
 def absolute_url(link: Column, page: Column) -> Column:
-    """link resolved against the page's URL: absolute ones stay, rooted ones get its host, others its folder."""
-    root = F.regexp_extract(page, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
-    folder = F.regexp_replace(F.regexp_replace(page, "[?#].*$", ""), r"(?<=[^/:])/[^/]*$", "")
-    scheme = F.regexp_extract(page, r"^([a-zA-Z][a-zA-Z0-9+.\-]*:)//", 1)
+    """link resolved against the page's URL as RFC 3986 has it (without fragments)."""
+    base = F.regexp_replace(page, "(?s)#.*$", "")
+    root = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
+    scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*:)//", 1)
+    path = F.regexp_extract(F.substring(base, F.length(root) + F.lit(1), F.lit(1 << 30)), r"^([^?]*)", 1)
+    folder = F.when(path.contains("/"), F.regexp_replace(path, "[^/]*$", "")).otherwise(F.lit("/"))
+    rest, query = F.regexp_extract(link, r"^([^?]*)", 1), F.regexp_extract(link, r"(?s)^[^?]*(.*)$", 1)
     return (
         F.when(link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), link)
         .when(link.startswith("//"), F.concat(scheme, link))
-        .when(link.startswith("/"), F.concat(root, link))
-        .otherwise(F.concat(folder, F.lit("/"), F.regexp_replace(link, r"^\./", "")))
+        .when(link.startswith("/"), F.concat(root, _without_dots(rest), query))
+        .when(link.startswith("?"), F.concat(root, path, link))
+        .when(link == "", base)
+        .otherwise(F.concat(root, _without_dots(F.concat(folder, rest)), query))
     )
 
 

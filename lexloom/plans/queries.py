@@ -398,11 +398,30 @@ def flatten_tree(spark, sf_dir):
     return rows.select("conv_id", F.col("pos").alias("turn"), F.md5("system").alias("system"), F.md5("user").alias("user"), "tag", F.md5("text").alias("leaf"))
 
 
-_HREF = r"""regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"''>]*)["'']', 1)"""
-_LINKS = f"""SELECT page_id, url, unnest(list_distinct([regexp_replace(h, '/$', '') for h in [regexp_replace(x, '#.*$', '') for x in {_HREF}] if h NOT IN ('', '/', './', './index.html')])) AS l FROM pages"""
-_ABSOLUTE = r"""CASE WHEN regexp_matches(l, '^[a-zA-Z][a-zA-Z0-9+.\-]*:') THEN l WHEN starts_with(l, '//') THEN regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.\-]*:)//', 1) || l
- WHEN starts_with(l, '/') THEN regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)', 1) || l
- ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '([^/:])/[^/]*$', '\1') || '/' || regexp_replace(l, '^\./', '') END"""
+_SEEN = r"regexp_replace(regexp_replace(regexp_replace(html, '<!--[\s\S]*?-->', '', 'g'), '(?i)<script\b[\s\S]*?</script\s*>', '', 'g'), '(?i)<style\b[\s\S]*?</style\s*>', '', 'g')"
+_HREF = r"""CASE WHEN regexp_matches(seen, '(?i)<urlset[\s>]') THEN regexp_extract_all(seen, '(?i)<loc>\s*([\s\S]*?)\s*</loc>', 1)
+ WHEN regexp_matches(seen, '(?i)<sitemapindex[\s>]') THEN []
+ ELSE [trim(h, '"''') for h in regexp_extract_all(seen, '(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1)] END"""
+_DECODED = """replace(replace(replace(replace(replace(replace(trim(x), '&quot;', '"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&#38;', '&'), '&amp;', '&')"""
+_LINKS = rf"""SELECT page_id, url, unnest(list_distinct([regexp_replace(h, '/$', '') for h in [regexp_replace({_DECODED}, '#.*$', '') for x in {_HREF}] if h NOT IN ('', '/', './', './index.html')])) AS l
+ FROM (SELECT page_id, url, {_SEEN} AS seen FROM pages)"""
+
+
+def _dots(path: str) -> str:
+    """Dot segments out of a path, for up to six steps up, in SQL."""
+    out = f"regexp_replace(regexp_replace({path}, '/(\\./)+', '/', 'g'), '/\\.$', '/')"
+    for _ in range(6):
+        out = f"regexp_replace({out}, '/[^/]+/\\.\\.(/|$)', '/')"
+    return f"regexp_replace({out}, '^(/\\.\\.)+(/|$)', '/')"
+
+
+_PATH = r"regexp_extract(regexp_extract(url, '^[^?#]*'), '^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/]*(.*)$', 1)"
+_ROOT = r"regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)', 1)"
+_QUERY = r"regexp_extract(l, '\?.*$')"
+_ABSOLUTE = rf"""CASE WHEN regexp_matches(l, '^[a-zA-Z][a-zA-Z0-9+.\-]*:') THEN l WHEN starts_with(l, '//') THEN regexp_extract(url, '^[^:]*:') || l
+ WHEN starts_with(l, '/') THEN {_ROOT} || {_dots("regexp_extract(l, '^[^?]*')")} || {_QUERY}
+ WHEN starts_with(l, '?') THEN {_ROOT} || {_PATH} || l
+ ELSE {_ROOT} || {_dots("(CASE WHEN contains(" + _PATH + ", '/') THEN regexp_replace(" + _PATH + ", '[^/]*$', '') ELSE '/' END || regexp_extract(l, '^[^?]*'))")} || {_QUERY} END"""
 
 
 @query(f"SELECT page_id, string_agg(l, ' ' ORDER BY l) AS links, count(*) AS n FROM ({_LINKS}) GROUP BY page_id")

@@ -138,3 +138,38 @@ def test_text_functions(spark):
     one = spark.createDataFrame([("a  \r\nb \t\n c", "1m0.612s")], "t string, d string")
     row = one.select(tx.normalize_markdown(F.col("t")), tx.duration_seconds(F.col("d")), tx.duration_seconds(F.lit("250ms")), tx.duration_seconds(F.lit("x")), tx.slice_text(F.lit("abc"), F.lit(2), F.lit(99)), tx.slice_text(F.lit("abc"), F.lit(3), F.lit(2)), tx.linkify(F.lit("see http://a.b/c now, http://x…")), tx.url_stem(F.lit("http://a/b/c.html?x")), tx.terms(F.lit("The Café's 2 dogs"), True, True)).first()
     assert tuple(row) == ("a\nb\n c", 60.612, 0.25, None, "bc", "", 'see <a href="http://a.b/c">http://a.b/c</a> now, http://x…', "http://a/b", ["cafe", "s", "dogs"])
+
+
+def test_urls_resolve_as_the_standard_library_has_it(spark):
+    from urllib.parse import urljoin
+
+    pages = ["http://a.com", "http://a.com/", "http://a.com/x/y.html", "http://a.com/x/y/?p=/q/r", "https://b.org:8080/d/e/f/g#h", "http://a.com/x/../y/z"]
+    found = ["../z", "./a/../b", "?q=1", "c", "c/", "/d/./e/../f", "//c.net/x", "http://d.com/a/../b", "mailto:x@y.z", "../../../../up", "..", ".", "a/..", "g;x=1/./y", "a?b=/../c", "é/ü", "a/b/../../c?d"]
+    rows = spark.createDataFrame([(p, x) for p in pages for x in found], "page string, link string")
+    for r in rows.select("page", "link", tx.absolute_url(F.col("link"), F.col("page")).alias("got")).collect():
+        want = r["link"] if r["link"].startswith("http") else urljoin(r["page"], r["link"])
+        assert r["got"] == want, r
+
+
+def test_links_of_odd_pages(spark):
+    html = """<a href=plain.html>x</a> <A class='c' HREF = '/q?a=1&amp;b=2#f'>y</A> <!-- <a href="no.html">n</a> -->
+        <script>var s = '<a href="no2.html">';</script><a data-href="no3" href="two/">z</a><a title="a > b" href="three">t</a><a href="">e</a><a>n</a> <link href="no4">"""
+    sitemap = "<?xml version='1.0'?><urlset xmlns='http://www.sitemaps.org/schemas/sitemap/0.9'><url><loc> http://a/1?x=1&amp;y=2 </loc></url><url><loc>http://a/2/</loc></url></urlset>"
+    rows = spark.createDataFrame([(1, html), (2, sitemap), (3, None), (4, "<sitemapindex><sitemap><loc>http://a/s.xml</loc></sitemap></sitemapindex>")], "id int, html string")
+    got = {r["id"]: r["l"] for r in rows.select("id", tx.links(F.col("html")).alias("l")).collect()}
+    assert got[1] == ["/q?a=1&b=2", "plain.html", "three", "two"]
+    assert got[2] == ["http://a/1?x=1&y=2", "http://a/2"]
+    assert not got[3] and not got[4]
+
+
+def test_crawls_with_prefix_redirects_and_validation(spark):
+    site = {"http://a/": '<a href="x/1.html">1</a><a href="y">2</a><a href="old">o</a>', "http://a/x/1.html": '<a href="../x/2.html">2</a>', "http://a/new/": '<a href="in">i</a>'}
+    pages = spark.createDataFrame([(u, h, u) for u, h in site.items()] + [("http://a/old", site["http://a/new/"], "http://a/new/")], "url string, html string, resolved string")
+    fetch = lambda urls: pages.join(urls, "url", "left_semi")
+    start = spark.createDataFrame([("http://a/",)], "url string")
+    links = lambda **k: sorted(r[0] for r in crawl.find_links(start, fetch, **k)[0].collect())
+    assert links(depth=1, children_only="http://a/x/") == ["http://a/x/1.html", "http://a/x/2.html"]
+    assert links(depth=1) == ["http://a/new/", "http://a/new/in", "http://a/x/1.html", "http://a/x/2.html", "http://a/y"]
+    good, problems = crawl.find_links(start, fetch, validate=lambda urls: urls.where("url like '%html'"))
+    assert [r[0] for r in good.collect()] == ["http://a/x/1.html"]
+    assert {r["link"] for r in problems.collect() if r["problem"] == "does not answer"} == {"http://a/y", "http://a/old"}
