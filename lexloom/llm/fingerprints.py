@@ -35,9 +35,9 @@ HEAD = np.dtype([("level", "u1"), ("log_part", "u1"), ("n", "<u4"), ("cells", "<
 CELL = np.dtype([("at", "<u2"), ("count", "<u2"), ("key", "<u8"), ("check", "<u4")])
 #: Text bytes that are worked on at once in a task; words longer than LONG_WORD bytes are hashed by themselves.
 CHUNK, LONG_WORD = 1 << 20, 1 << 16
-#: Bytes of text for a range of ids, which one task reads in parts of CHUNK; inner ranges of a block of ranges. Small
-#: tables have as many ranges as keep all cores busy.
-RANGE_BYTES, FAN = 64 << 20, 1_000
+#: Bytes of text for a range of ids, which one task reads in parts of CHUNK: RANGE_BYTES up to MANY_RANGES, then as many
+#: more up to LARGE_RANGE, and then more ranges; inner ranges of a block of ranges.
+RANGE_BYTES, MANY_RANGES, LARGE_RANGE, FAN = 8 << 20, 200_000, 512 << 20, 1_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -444,7 +444,7 @@ def compare_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     schema = OUT.format(kind=kind)
     if size is None:
         return spark.createDataFrame([], schema)
-    ranges = int(max(-(-size // RANGE_BYTES), min(size >> 20, 4 * spark.sparkContext.defaultParallelism), 1))
+    ranges = int(max(min(size // RANGE_BYTES, MANY_RANGES), size // LARGE_RANGE, 1))
     blocks = -(-ranges // FAN)
     inside = -(-ranges // blocks)
     v = rows.select(order.alias("v"))
@@ -454,7 +454,8 @@ def compare_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         outer = F.array(*[F.lit(float(x)) for x in sorted(set(found))])
     block = lambda c: F.size(F.filter(outer, lambda x: x <= c))
     inner = F.percentile_approx("v", [i / inside for i in range(1, inside)], 10 * inside) if inside > 1 else F.array().cast("array<double>")
-    cuts = F.broadcast(v.groupBy(block(F.col("v")).alias("b")).agg(inner.alias("cuts")))  # a number for each range
+    found = v.groupBy(block(F.col("v")).alias("b")).agg(inner.alias("cuts")).collect()  # a number for each range; quantiles found anew may differ
+    cuts = F.broadcast(spark.createDataFrame(found, "b int, cuts array<double>"))
     placed = rows.withColumn("v", order).withColumn("block", block(F.col("v")))
     pid = F.col("b") * F.lit(inside).cast("long") + F.size(F.filter("cuts", lambda x: x <= F.col("v")))
     placed = placed.join(cuts, F.col("block") == F.col("b")).select("id", "key", "h", "text", pid.alias("pid"))
