@@ -1,14 +1,15 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Token counts by (source, language, topic) are raked until their sums match the target shares of each source,
-language and topic. Each cell's raked share, over its tokens, gives the probability with which its documents are
-drawn. Every category is raked on its own, however many there are: a table of up to LOCAL_CELLS cells in NumPy on the
-driver, a larger one as a table in Spark.
+Token counts by (source, language, topic) are raked until their sums match the target shares of each source, language
+and topic. Documents are drawn without repeats, so that no cell can give more tokens than it has: the tokens to draw are
+raked again with that bound, for the largest budget up to KEEP at which all margins can be met. A cell's drawn tokens, over
+its tokens, are the probability of its documents. They are drawn by systematic sampling inside strata of cell and size, so
+that the tokens drawn stay near the expected ones. Every category is raked on its own, however many there are: a table
+of up to LOCAL_CELLS cells in NumPy on the driver, a larger one by the same steps as a table in Spark.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,19 +17,24 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .arrays import by_text, slices
-from .common import checkpointed, small, text_of, written
+from .common import checkpointed, only, ready, row_hash, small, text_of, written
 
-#: Categories that are raked on their own, by tokens, where the others shall count as one. None: all of them.
-CATEGORIES: dict[str, int | None] = {"source": None, "lang": None, "topic": None}
+AXES = ("source", "lang", "topic")
 #: Cells that are raked on the driver at most (three codes and a few numbers each).
 LOCAL_CELLS = 200_000
-REST, NONE = "(rest)", "(none)"
-#: Default targets: shares in proportion to tokens to this power. Share of all tokens to draw.
-POWER, KEEP = 0.7, 0.8
-#: Sweeps at most, and the relative error of a margin at which raking ends.
-SWEEPS, ERROR = 1_000, 1e-9
+NONE = "(none)"
+#: Default targets: shares in proportion to tokens to this power. Share of all tokens to draw at most.
+POWER, KEEP = 0.9, 0.8
+#: Sweeps at most, without and with the bound; the error of a margin's share at which raking, and raking with the bound, ends; the next budget to
+#: try over one whose margins can't be met.
+SWEEPS, BOUND_SWEEPS, ERROR, DRAWN_ERROR, SHRINK = 1_000, 100, 1e-9, 1e-5, 0.95
+#: Documents of a stratum that are ranked together, about.
+SHARD_ROWS = 4_096
+#: Shards of a stratum begin at even steps: the golden ratio's fractional part.
+GOLDEN = (5**0.5 - 1) / 2
 
 
 _CLASSES = np.zeros(256, np.uint8)
@@ -57,19 +63,24 @@ def describe(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.select(fits, range(7), 7), count(start) + 1
 
 
-def described(docs: DataFrame, text_col: str, prefix: str) -> DataFrame:
-    """docs with the columns topic and tokens after the prefix."""
-    names = [f"{prefix}topic", f"{prefix}tokens"]
-    kept = [f for f in docs.schema.fields if f.name not in names]
+def described(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, topic: Column | None) -> DataFrame:
+    """(id, h, source, lang, topic, tokens) per input row, from one pass over the texts; null categories are NONE."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    ready(docs.sparkSession)
+
+    by_form = topic is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices(b, text_col):
-                topic, tokens = describe(part.column(text_col).cast(pa.string()))
-                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(np.array(TOPICS)[topic]), pa.array(tokens)], [*(f.name for f in kept), *names])
+            for part in slices(b):
+                form, tokens = describe(part.column("text"))
+                own = pa.array(np.array(TOPICS)[form], pa.string()) if by_form else part.column("topic")
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "h", "source", "lang")), own, pa.array(tokens)], ["id", "h", "source", "lang", "topic", "tokens"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return docs.select(*[f.name for f in kept]).mapInArrow(run, f"{schema}, {names[0]} string, {names[1]} long")
+    named = lambda c: F.coalesce(c.cast("string"), F.lit(NONE))
+    given = F.lit("") if topic is None else named(topic)
+    rows = docs.select(F.col(id_col).alias("id"), row_hash(id_col, text_col).alias("h"), named(F.col(source_col)).alias("source"), named(F.col(lang_col)).alias("lang"), given.alias("topic"), text_of(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, h long, source string, lang string, topic string, tokens long")
 
 
 def rake(tokens: np.ndarray, targets: list[np.ndarray]) -> np.ndarray:
@@ -102,19 +113,46 @@ def rake_cells(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.nda
     return out
 
 
-def probabilities(tokens: np.ndarray, shares: np.ndarray, budget: float) -> np.ndarray:
-    """Probabilities in proportion to shares / tokens, at most 1, whose expected tokens are the budget, or all that can be had."""
-    t, w = tokens.reshape(-1).astype(float), shares.reshape(-1)
-    ratio = np.divide(w, t, out=np.zeros_like(w), where=t > 0)
-    lo, hi = 0.0, 1.0
-    can = t[ratio > 0].sum()
-    budget = min(budget, can)
-    while hi < 1e300 and (t * np.minimum(1, hi * ratio)).sum() < budget * (1 - 1e-12):
-        hi *= 2
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if (t * np.minimum(1, mid * ratio)).sum() < budget else (lo, mid)
-    return np.minimum(1, hi * ratio).reshape(tokens.shape)
+def first_budget(most: float, tokens: np.ndarray, shares: np.ndarray) -> float:
+    """The budget up to `most` at which no category has to give more than all its tokens; both are sums by category."""
+    some = shares > 0
+    return float(min(most, (tokens[some] / shares[some]).min(initial=most)))
+
+
+def drawn_tokens(tokens: np.ndarray, codes: list[np.ndarray], shares: np.ndarray, most: float) -> np.ndarray:
+    """Tokens to draw of each cell, at most all of them, whose margins are in proportion to those of `shares`.
+
+    Their sum is `most`, or the largest budget tried at which the margins can be met; the last one tried is that at which
+    `shares` themselves fit. Cells are raked as before, but one that would give more than it has gives all, and the other
+    cells of its categories give what is missing.
+    """
+    size = [int(c.max(initial=-1)) + 1 for c in codes]
+    margins = [np.bincount(c, shares, n) for c, n in zip(codes, size)]
+    held = [np.bincount(c, tokens, n) for c, n in zip(codes, size)]
+    budget = min([most, *(first_budget(most, t, m) for t, m in zip(held, margins))])
+    some = shares > 0
+    sure = float((tokens[some] / shares[some]).min(initial=most))
+    while budget > sure:
+        z = shares * budget
+        for _ in range(BOUND_SWEEPS):
+            worst = 0.0
+            for code, m in zip(codes, margins):
+                full = z >= tokens
+                got = np.bincount(code, np.minimum(z, tokens), len(m))
+                capped, free = np.bincount(code[full], tokens[full], len(m)), np.bincount(code[~full], z[~full], len(m))
+                worst = max(worst, float(np.max(np.abs(got / budget - m), initial=0)))
+                z = z * _factor(m * budget, got, capped, free)[code]
+            if worst < DRAWN_ERROR:
+                return np.minimum(z, tokens)
+        budget *= SHRINK
+    return np.minimum(shares * min(budget, sure), tokens)
+
+
+def _factor(want: np.ndarray, got: np.ndarray, capped: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """What the cells of a category are multiplied by, if those that give all they have go on to do so."""
+    step = np.divide(want - capped, free, out=np.ones_like(want), where=free > 0)
+    plain = np.divide(want, got, out=np.zeros_like(want), where=got > 0)
+    return np.where((free > 0) & (want > capped), step, np.where(free > 0, plain, np.minimum(plain, 1.0)))
 
 
 def _local(cells: DataFrame, targets: dict[str, dict[str, float]], keep: float) -> DataFrame:
@@ -122,15 +160,15 @@ def _local(cells: DataFrame, targets: dict[str, dict[str, float]], keep: float)
     got = cells.toArrow()
     n = got.column("n").to_numpy().astype(float)
     codes, wanted = [], []
-    for k in CATEGORIES:
+    for k in AXES:
         coded = got.column(k).combine_chunks().dictionary_encode()
         codes.append(coded.indices.to_numpy(zero_copy_only=False))
         names = coded.dictionary.to_pylist()
         own = np.bincount(codes[-1], n, len(names))
         wanted.append(np.array([targets[k].get(v, 0.0) for v in names]) if k in targets else own**POWER)
     shares = rake_cells(n, codes, wanted)
-    drawn = probabilities(n, shares, keep * n.sum())
-    out = pa.table({**{k: got.column(k) for k in CATEGORIES}, "weight": pa.array(shares / (n / max(n.sum(), 1.0))), "probability": pa.array(drawn)})
+    drawn = drawn_tokens(n, codes, shares, keep * n.sum())
+    out = pa.table({**{k: got.column(k) for k in AXES}, "weight": pa.array(shares / (n / max(n.sum(), 1.0))), "probability": pa.array(drawn / np.maximum(n, 1))})
     return cells.sparkSession.createDataFrame(out)
 
 
@@ -138,7 +176,7 @@ def _raked(cells: DataFrame, total: float, targets: dict[str, dict[str, float]])
     """cells with the column share: rake_cells() as joins of grouped sums; nothing but errors comes to the driver."""
     spark, n = cells.sparkSession, F.col("n").cast("double")
     wanted = {}
-    for k in CATEGORIES:
+    for k in AXES:
         own = cells.groupBy(k).agg(F.sum(n).alias("own"))
         t = F.pow("own", F.lit(POWER))
         if k in targets:
@@ -162,62 +200,68 @@ def _raked(cells: DataFrame, total: float, targets: dict[str, dict[str, float]])
 
 
 def _spread(cells: DataFrame, total: float, targets: dict[str, dict[str, float]], keep: float) -> DataFrame:
-    """_local() for any number of cells."""
-    n, ratio = F.col("n").cast("double"), F.col("share") / F.col("n")
-    out = _raked(cells, total, targets)
-    can = out.where("share > 0").agg(F.sum(n)).first()[0] or 0.0
-    budget, scale, full = min(keep * total, can), 0.0, -1
-    while True:  # cells that are drawn whole leave their part of the budget to the others; there are ever more of them
-        whole = scale * ratio >= 1
-        taken, rest, now = out.agg(F.sum(F.when(whole, n).otherwise(0.0)), F.sum(F.when(whole, 0.0).otherwise(F.col("share"))), F.count(F.when(whole, 1))).first()
-        if now == full or not rest > 0:
-            break
-        scale, full = max(scale, (budget - taken) / rest), now
-    return out.select(*CATEGORIES, (F.col("share") / (n / total)).alias("weight"), F.least(F.lit(1.0), scale * ratio).alias("probability"))
-
-
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, seed: int = 42, prefix: str = "_") -> DataFrame:
-    """All columns of docs with cell_source, cell_lang, cell_topic, tokens, weight, probability, selected after the
-    prefix; input columns with these names are replaced.
-
-    targets: for source, lang and topic, category -> weight; a category that isn't named there has weight 0
-    (``(none)`` stands for null, ``(rest)`` for those that CATEGORIES, where it has a number, leaves out). Without targets for one of them, its
-    weights are its tokens to the power POWER. weight is the raked share over the share of tokens. A document is
-    selected if a hash of its id and text is below its probability, so equal rows go together; null and empty
-    texts count one token. An empty table gives no rows.
+    """_local() for any number of cells: drawn_tokens() as joins of grouped sums."""
+    n, z = F.col("n").cast("double"), F.col("z")
+    shares = _raked(cells, total, targets)
+    margins, budget = {}, keep * total
+    for k in AXES:
+        margins[k] = written(shares.groupBy(k).agg(F.sum("share").alias("m"), F.sum(n).alias("held")), "mixing-margins")
+        most, many = margins[k].agg(F.min(F.when(F.col("m") > 0, F.col("held") / F.col("m"))), F.count("*")).first()
+        margins[k], budget = (margins[k].select(k, "m"), many), min(budget, most if most is not None else budget)
+    sure = shares.agg(F.min(F.when(F.col("share") > 0, n / F.col("share")))).first()[0]
+    sure = budget if sure is None else sure
+    drawn = None
+    while budget > sure and drawn is None:
+        out = checkpointed(shares.withColumn("z", F.col("share") * budget))
+        for _ in range(BOUND_SWEEPS):
+            worst = 0.0
+            for k, (m, many) in margins.items():
+                full = z >= n
+                own = out.groupBy(k).agg(F.sum(F.least(z, n)).alias("got"), F.sum(F.when(full, n).otherwise(0.0)).alias("capped"), F.sum(F.when(full, 0.0).otherwise(z)).alias("free"))
+                own = checkpointed(own.join(small(m, many), k).withColumn("want", F.col("m") * budget))
+                worst = max(worst, own.agg(F.max(F.abs(F.col("got") / budget - F.col("m")))).first()[0] or 0.0)
+                plain = F.when(F.col("got") > 0, F.col("want") / F.col("got")).otherwise(0.0)
+                factor = F.when((F.col("free") > 0) & (F.col("want") > F.col("capped")), (F.col("want") - F.col("capped")) / F.col("free")).when(F.col("free") > 0, plain).otherwise(F.least(plain, F.lit(1.0)))
+                out = out.join(small(own.select(k, factor.alias("factor")), many), k).withColumn("z", z * F.col("factor")).drop("factor")
+            out = checkpointed(out)
+            if worst < DRAWN_ERROR:
+                drawn = out
+                break
+        budget *= SHRINK if drawn is None else 1
+    drawn = shares.withColumn("z", F.col("share") * min(budget, sure)) if drawn is None else drawn
+    return drawn.select(*AXES, (F.col("share") / (n / total)).alias("weight"), F.least(F.lit(1.0), z / n).alias("probability"))
+
+
+def planned(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, seed: int = 42) -> DataFrame:
+    """(id, h, source, lang, topic, tokens, weight, probability, selected) per input row; h is a hash of id and text.
+
+    targets: for source, lang and topic, category -> weight; a category that isn't named there has weight 0 (``(none)``
+    stands for null). Without targets for one of them, its weights are its tokens to the power POWER. weight is the raked
+    share over the share of tokens; probability is what the documents of the cell are drawn with. Inside a stratum (cell and
+    power of two of tokens) documents are taken at even steps in the order of a hash, so that about as many are selected as
+    expected. Rows with the same id and text go together; null and empty texts count one token. Without a topic column the
+    topic is the form of the text. An empty table gives no rows.
     """
-    p = prefix
-    own = [f"{p}{c}" for c in ("s", "l", "t", "weight", "probability", "tokens", "topic", "selected", "cell_source", "cell_lang", "cell_topic")]
-    docs = docs.select(*[c for c in docs.columns if c not in own])
-    topic = F.col(f"{p}topic") if topic is None else topic.cast("string")
-    parts = {k: F.coalesce(c.cast("string"), F.lit(NONE)) for k, c in (("source", F.col(source_col)), ("lang", F.col(lang_col)), ("topic", topic))}
-    raw = described(docs, text_col, p).select(*[c.alias(k) for k, c in parts.items()], F.col(f"{p}tokens").alias("n")).groupBy(*parts).agg(F.sum("n").alias("n"))
-    raw = written(raw, "mixing-cells")
-    lists = {}
-    for k, most in CATEGORIES.items():
-        if most is not None:
-            top = raw.groupBy(k).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), k).limit(most)
-            lists[k] = sorted({r[k] for r in top.collect()} | set((targets or {}).get(k, {})) - {REST})
-    cell = lambda k, c: F.when(c.isin(lists[k]), c).otherwise(F.lit(REST)) if k in lists else c
-    cells = raw
-    if lists:
-        cells = written(raw.select(*[cell(k, F.col(k)).alias(k) for k in parts], "n").groupBy(*parts).agg(F.sum("n").alias("n")), "mixing-cells")
+    rows = written(described(docs, id_col, text_col, source_col, lang_col, topic), "mixing-rows").withColumn("size", F.floor(F.log2(F.col("tokens").cast("double"))).cast("int"))
+    strata = written(rows.groupBy(*AXES, "size").agg(F.sum("tokens").alias("n"), F.count("*").alias("c")), "mixing-cells")
+    cells = strata.groupBy(*AXES).agg(F.sum("n").alias("n"))
     count, total = cells.agg(F.count("*"), F.sum("n")).first()
     known = _local(cells, targets or {}, keep) if count <= LOCAL_CELLS else written(_spread(cells, float(total), targets or {}, keep), "mixing-raked")
-    known = known.select(F.col("source").alias(f"{p}s"), F.col("lang").alias(f"{p}l"), F.col("topic").alias(f"{p}t"), F.col("weight").alias(f"{p}weight"), F.col("probability").alias(f"{p}probability"))
-    named = described(docs, text_col, p).withColumns({f"{p}cell_{k}": c for k, c in parts.items()}).drop(f"{p}topic")
-    named = named.withColumns({f"{p}cell_{k}": cell(k, F.col(f"{p}cell_{k}")) for k in parts})
-    on = (F.col(f"{p}cell_source") == F.col(f"{p}s")) & (F.col(f"{p}cell_lang") == F.col(f"{p}l")) & (F.col(f"{p}cell_topic") == F.col(f"{p}t"))
-    joined = named.join(small(known, count), on, "left").drop(f"{p}s", f"{p}l", f"{p}t")
-    u = F.shiftrightunsigned(F.xxhash64(F.col(id_col), text_of(text_col), F.lit(seed)), 11).cast("double") / float(1 << 53)
-    return joined.withColumn(f"{p}selected", F.coalesce(u < F.col(f"{p}probability"), F.lit(False)))
-
-
-def error(rows: list[tuple], targets: dict) -> float:
-    """Largest difference of a drawn margin's share from its target, of (source, lang, topic, tokens) rows."""
-    worst = 0.0
-    total = math.fsum(r[3] for r in rows) or 1.0
-    for axis, k in enumerate(("source", "lang", "topic")):
-        for v, w in targets[k].items():
-            worst = max(worst, abs(math.fsum(r[3] for r in rows if r[axis] == v) / total - w))
-    return worst
+    known = strata.join(small(known, count), list(AXES))
+    # each stratum goes on where the one before it stopped, over the strata of a size: rows of the table of cells, not of documents
+    before = F.sum(F.col("probability") * F.col("c")).over(Window.partitionBy("size").orderBy(*reversed(AXES)).rowsBetween(Window.unboundedPreceding, -1))
+    offset = F.pmod(F.xxhash64("size", F.lit(seed)), F.lit(1 << 52)).cast("double") / float(1 << 52)
+    known = written(known.select(*AXES, "size", "weight", "probability", F.ceil(F.col("c") / SHARD_ROWS).alias("shards"), (F.coalesce(before, F.lit(0.0)) + offset).alias("start")), "mixing-strata")
+    order = F.xxhash64("h", F.lit(seed))
+    dealt = rows.join(small(known), [*AXES, "size"]).withColumns({"order": order, "shard": F.pmod(F.xxhash64("h", F.lit(seed + 1)), F.col("shards"))})
+    rank = F.dense_rank().over(Window.partitionBy(*AXES, "size", "shard").orderBy("order", "h"))
+    p, start = F.col("probability"), F.col("start") + F.col("shard") * GOLDEN
+    start = start - F.floor(start)
+    chosen = (p >= 1) | (F.floor(start + p * F.col("rank")) > F.floor(start + p * (F.col("rank") - 1)))
+    return dealt.withColumn("rank", rank).select("id", "h", *AXES, "tokens", "weight", "probability", chosen.alias("selected"))
+
+
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, seed: int = 42) -> DataFrame:
+    """The rows of docs that are drawn, as planned() says, with all their columns whatever their names."""
+    plan = planned(docs, targets, keep, id_col, text_col, source_col, lang_col, topic, seed)
+    return only(docs, plan.where("selected").select("id", "h"), id_col, text_col, once=False)

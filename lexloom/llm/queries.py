@@ -41,8 +41,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
-    return mixed.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("cell_source", "cell_lang", "cell_topic", "tokens", "weight", "probability", "selected")])
+    plan = mixing.planned(table(spark, sf_dir, "documents"))
+    cells = [F.col(k).alias(f"cell_{k}") for k in mixing.AXES]
+    return plan.select(F.col("id").alias("doc_id"), *cells, "tokens", "weight", "probability", "selected")
 
 
 def op8_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
