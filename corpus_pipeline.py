@@ -7,7 +7,6 @@ returns a row for each document with its batch. `run` writes what a stage return
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lexloom.llm import mixing, packing, quality, simhash, toxicity
 from lexloom.llm.common import table, without, written
@@ -32,7 +31,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn by their calibrated probabilities."""
-    return mixing.mix(docs, prefix="__mix_").where(F.col("__mix_selected")).select(docs.columns)
+    return mixing.mix(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
