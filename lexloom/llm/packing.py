@@ -1,7 +1,8 @@
 """Optimal length buckets and token-budget batches.
 
-The global histogram of document lengths (bounded by its grid) goes to the driver, where dynamic programming
-chooses the bucket boundaries that make the padding least. Batches form inside each bucket: a batch of a bucket
+The global histogram of document lengths goes to the driver: two numbers for each length that occurs, of which there are
+few (D different ones need more than D * D / 2 tokens). Dynamic programming chooses the bucket boundaries that make the
+padding least, exactly. Batches form inside each bucket: a batch of a bucket
 padded to L tokens has max(1, budget // L) documents. A bucket is dealt to shards in proportion to its rows, so
 that no task has to hold a bucket, and each shard cuts its own batches.
 """
@@ -16,8 +17,6 @@ from pyspark.sql.window import Window
 from .common import row_hash, text_of, written
 
 BUCKETS, TOKEN_BUDGET, ROWS_PER_SHARD = 16, 65_536, 4_096
-#: Lengths up to EXACT have a bin each; longer ones share a bin with those in the same 1/STEPS of a power of two.
-EXACT, STEPS = 1_024, 256
 
 
 def word_tokens(text: Column) -> Column:
@@ -25,31 +24,37 @@ def word_tokens(text: Column) -> Column:
     return (F.regexp_count(text, F.lit(r"\S+")) + 1).cast("long")
 
 
-def length_bin(n: Column) -> Column:
-    """A number of the histogram's bins; it grows with n. At most EXACT + 55 * STEPS bins for any input."""
-    power = F.floor(F.log2(n.cast("double")))
-    step = F.floor((n / F.pow(F.lit(2.0), power) - 1) * STEPS)
-    return F.when(n <= EXACT, n).otherwise(EXACT + (power - 10) * STEPS + step + 1).cast("long")
+def boundaries(top: np.ndarray, count: np.ndarray, buckets: int) -> list[int]:
+    """Upper lengths of at most `buckets` buckets with the least padding, for `count` documents of each length in `top`
+    (ascending). Ties go to fewer, then lower boundaries.
 
-
-def boundaries(top: np.ndarray, count: np.ndarray, total: np.ndarray, buckets: int) -> list[int]:
-    """Upper lengths of at most `buckets` buckets with the least padding. top: longest of each bin, ascending.
-
-    Exact for the given bins: a boundary lies at some bin's longest length. Ties go to fewer, then lower boundaries.
+    Exact. The best last boundary but one never falls as the last one rises, so that each row of the dynamic program is
+    found by halving: a level looks at each candidate about once, all of its rows in one NumPy step.
     """
     m = len(top)
     if not m:
         return []
-    n, t = np.concatenate([[0], np.cumsum(count)]), np.concatenate([[0], np.cumsum(total)])
+    n, t = (np.concatenate([[0], np.cumsum(x)]).astype(np.int64) for x in (count, top * count))
     best = np.full(m + 1, np.iinfo(np.int64).max // 4, np.int64)
     best[0], back = 0, []
     for _ in range(min(buckets, m)):
         nxt, arg = best.copy(), np.full(m + 1, -1)
-        for i in range(1, m + 1):
-            cost = best[:i] + top[i - 1] * (n[i] - n[:i]) - (t[i] - t[:i])
-            j = int(np.argmin(cost))
-            if cost[j] < nxt[i]:
-                nxt[i], arg[i] = cost[j], j
+        lo, hi, first, last = (np.array([x]) for x in (1, m, 0, m - 1))
+        while len(lo):
+            i = (lo + hi) // 2
+            size = np.minimum(last, i - 1) - first + 1
+            start = np.cumsum(size) - size
+            j = np.repeat(first - start, size) + np.arange(int(size.sum()))
+            row = np.repeat(i, size)
+            cost = best[j] + top[row - 1] * (n[row] - n[j]) - (t[row] - t[j])
+            least = np.minimum.reduceat(cost, start)
+            at = np.where(cost == np.repeat(least, size), np.arange(len(j)), len(j))
+            found = j[np.minimum.reduceat(at, start)]
+            better = least < nxt[i]
+            nxt[i[better]], arg[i[better]] = least[better], found[better]
+            lo, hi, first, last = (np.concatenate(x) for x in ((lo, i + 1), (i - 1, hi), (first, found), (found, last)))
+            some = lo <= hi
+            lo, hi, first, last = lo[some], hi[some], first[some], last[some]
         back.append(arg)
         best = nxt
     out, i = [], m
@@ -71,9 +76,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens
     """
     n = F.greatest(F.coalesce(word_tokens(text_of(text_col)) if tokens is None else tokens.cast("long"), F.lit(1).cast("long")), F.lit(1).cast("long"))
     lengths = written(docs.select(F.col(id_col).alias("id"), n.alias("n_tokens"), row_hash(id_col, text_col).alias("h")), "packing")
-    hist = lengths.groupBy(length_bin(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("top"), F.count("*").alias("n"), F.sum("n_tokens").alias("t"))
-    rows = sorted(hist.select("top", "n", "t").collect())  # bounded by the grid
-    cuts = boundaries(*(np.array([r[i] for r in rows], np.int64) for i in range(3)), buckets)
+    rows = sorted(lengths.groupBy("n_tokens").agg(F.count("*").alias("n")).collect())  # two numbers for each different length
+    cuts = boundaries(*(np.array([r[i] for r in rows], np.int64) for i in range(2)), buckets)
     held = [sum(r[1] for r in rows if lo < r[0] <= hi) for lo, hi in zip([0, *cuts], cuts)]
     if not cuts:
         cuts, held = [1], [0]
