@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 
 #: Open files that a reader keeps.
@@ -42,3 +44,9 @@ def reader() -> Callable[[str, int, int], bytes]:
         return data
 
     return read
+
+
+def read_table(path: str) -> pa.Table:
+    """A folder of Parquet files."""
+    system, inside = located(path)
+    return pq.read_table(inside, filesystem=system, partitioning=None)
