@@ -32,7 +32,7 @@ POWER, KEEP = 0.9, 0.8
 #: try over one whose margins can't be met.
 SWEEPS, BOUND_SWEEPS, ERROR, DRAWN_ERROR, SHRINK = 1_000, 100, 1e-9, 1e-5, 0.95
 #: Documents of a stratum that are ranked together, about.
-SHARD_ROWS = 4_096
+SHARD_ROWS = 512
 #: Shards of a stratum begin at even steps: the golden ratio's fractional part.
 GOLDEN = (5**0.5 - 1) / 2
 
