@@ -99,3 +99,75 @@ def test_random_bytes_survive(spark):
     batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], ["id", "payload"])
     found = [x for _, part in media._decoded(media._encode([batch])) for x in part]
     assert [(i, s.tobytes()[:n]) for i, _, _, n, s in found] == rows
+
+
+def test_frames_with_other_tables_and_predictors_are_decoded():
+    """A plain encoder with a table of its own (each category with a code of four bits or more) and all predictors."""
+    rng = np.random.default_rng(4)
+    lengths = {s: 4 for s in range(9)}
+    for predictor in range(1, 8):
+        x = rng.integers(0, 256, (12, 16)).tolist()
+        code, bits = {s: format(i, "04b") for i, s in enumerate(lengths)}, ""
+        for i in range(12):
+            for j in range(16):
+                a, b, c = x[i][j - 1] if j else 0, x[i - 1][j] if i else 0, x[i - 1][j - 1] if i and j else 0
+                guess = 128 if not i and not j else a if not i else b if not j else {1: a, 2: b, 3: c, 4: a + b - c, 5: a + (b - c >> 1), 6: b + (a - c >> 1), 7: a + b >> 1}[predictor]
+                d = x[i][j] - guess
+                s = abs(d).bit_length()
+                if s > 8:
+                    x[i][j] = max(0, min(255, guess))
+                    d = x[i][j] - guess
+                    s = abs(d).bit_length()
+                bits += code[s] + (format(d if d > 0 else d + (1 << s) - 1, f"0{s}b") if s else "")
+        bits += "1" * (-len(bits) % 8)
+        data = bytes(int(bits[k : k + 8], 2) for k in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+        dht = bytes([0, 0, 0, 0, 9] + [0] * 12 + list(range(9)))
+        segments = [(0xE0, b"JFIF"), (0xC4, dht), (0xC3, struct.pack(">BHHBBBB", 8, 12, 16, 1, 1, 0x11, 0)), (0xDA, bytes([1, 1, 0, predictor, 0, 0]))]
+        frame = b"\xff\xd8" + b"".join(bytes([0xFF, m]) + struct.pack(">H", len(v) + 2) + v for m, v in segments) + data + b"\xff\xd9"
+        got = media.decode_frames([frame, *media.encode_frames(np.zeros((1, 192), np.uint8)), frame])
+        assert got[0].tolist() == got[2].tolist() == np.array(x).reshape(-1).tolist() and not got[1].any()
+    for bad in (b"", b"\xff\xd8", frame[:40], frame.replace(b"\xff\xc3", b"\xff\xc0")):
+        with pytest.raises(ValueError):
+            media.decode_frames([bad])
+
+
+def test_a_long_text_takes_little_memory():
+    import tracemalloc
+
+    payload = (b"some words of a long text " * 400_000)[: 192 * 50_000]
+    tracemalloc.start()
+    frames = media.encode_frames(np.frombuffer(payload, np.uint8).reshape(-1, 192))
+    avi = media.write_avi(frames, len(payload))
+    del frames
+    frames, _, length = media.read_avi(avi)
+    assert media.decode_frames(frames).tobytes() == payload and length == len(payload)
+    assert tracemalloc.get_traced_memory()[1] < 10 * len(payload)
+    tracemalloc.stop()
+
+
+def test_the_query_against_a_brute_version(spark, sf):
+    """Payload, digests and the feature of every document, from the definitions."""
+    import hashlib
+    import zlib
+
+    from lexloom.llm import queries
+
+    docs = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = queries.QUERIES["op2_media_columns"](spark, sf).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(docs)
+    for r in got:
+        raw = docs[r["doc_id"]]
+        payload = raw + b" " * (-len(raw) % 192 if raw else 192)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        frames = [payload[i : i + 192] for i in range(0, len(payload), 192)]
+        hist = [[sum(1 for v in f if v // 16 == k) for k in range(16)] for f in frames]
+        d = [sum(abs(x - y) for x, y in zip(a, b)) / 384 for a, b in zip(hist, hist[1:])]
+        cut = [0]
+        for i, v in enumerate(d):
+            around = d[max(i - 12, 0) : i] + d[i + 1 : i + 13]
+            mean = sum(around) / max(len(around), 1)
+            spread = max(sum(y * y for y in around) / max(len(around), 1) - mean * mean, 0) ** 0.5
+            if v > 0.2 and v > mean + 2 * spread + 1e-12:
+                cut.append(i + 1)
+        levels = bytes(sum(h[k] for h in hist) * 255 // (len(frames) * 192) for k in range(16)).hex()
+        assert r["feature"] == f"frames={len(frames)};rate=25;shots={len(cut)};cuts={','.join(map(str, cut))};levels={levels}"
