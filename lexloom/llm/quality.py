@@ -171,6 +171,8 @@ class Model:
     def log_probabilities(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(log probability without that of order 0, number of symbols) of each word, as far as this shard goes."""
         hi, lo, at = _grams(words)
+        _, first, of = np.unique(_key(hi, lo), return_index=True, return_inverse=True)  # each 5-gram is looked up once
+        hi, lo = hi[first], lo[first]
         out = np.zeros(len(lo))
         before = (hi >> WIDTH, lo >> WIDTH | (hi & MASK) << 2 * WIDTH)
         for (h, x), tables, start in (((hi, lo), self.tables[0], 1), (before, self.tables[1], 0)):
@@ -182,7 +184,7 @@ class Model:
                 out[todo[hit]] += value[found[hit]]
                 if self.whole:  # a longer n-gram or context that the model has has all its suffixes there
                     todo = todo[hit]
-        return by_text(out, at), np.diff(at)
+        return by_text(out[of], at), np.diff(at)
 
 
 _loaded: dict[str, Model] = {}
