@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small, written
@@ -35,8 +35,8 @@ SHAPE = (5, 2, 4, 3)
 SMOOTH = 0.5
 #: Observations that a role gets from the average of all roles.
 POOLED = 20.0
-#: Lines of a part, of turns for `transcripts`.
-PART_TURNS = 256
+#: Turn numbers of a part of `transcripts`; rows from which a part is dealt to several, and so many at most.
+PART_TURNS, MOST_ROWS, SUBPARTS = 256, 4_096, 1 << 20
 
 
 def observe(lines: list[str], blank_before: bool = True) -> tuple[np.ndarray, list[str]]:
@@ -70,10 +70,20 @@ def transcripts(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn
     styles, missing from some turns, and blank lines between turns. A part has PART_TURNS turn numbers.
 
     truth has the state of each line. Null roles count as user, null texts as empty; turns with a null number come first.
+    Of turn numbers that so many rows share that a part would have more than MOST_ROWS rows, the part is dealt to several
+    by a hash of role and text, in the order of that hash; only rows that are alike in all of these stay together. `part`
+    counts in steps of SUBPARTS. Other columns are ignored; an empty table gives no rows.
     """
     kind = turns.schema[id_col].dataType.simpleString()
     rows = turns.select(F.col(id_col).alias("id"), F.coalesce(F.col(turn_col).cast("long"), F.lit(-1)).alias("turn"), F.coalesce(F.lower(F.col(role_col).cast("string")), F.lit("user")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumns({"part": F.floor(F.col("turn") / PART_TURNS), "seed": F.pmod(F.xxhash64("id"), F.lit(1 << 20)), "own": F.pmod(F.xxhash64("id", "turn"), F.lit(1 << 20))})
+    rows = rows.withColumns({"part": F.floor(F.col("turn") / PART_TURNS) * SUBPARTS, "seed": F.pmod(F.xxhash64("id"), F.lit(1 << 20)), "own": F.pmod(F.xxhash64("id", "turn"), F.lit(1 << 20))})
+    crowded = rows.groupBy("id", "part").agg(F.count("*").alias("n")).where(F.col("n") > MOST_ROWS)
+    crowded = crowded.select(F.col("id").alias("many"), F.col("part").alias("of"), F.least(F.ceil(F.col("n") / PART_TURNS), F.lit(SUBPARTS - 1)).alias("into"))
+    crowded = written(crowded, "chat-crowded")
+    if not crowded.isEmpty():
+        rows = rows.join(small(crowded), F.col("id").eqNullSafe(F.col("many")) & (F.col("part") == F.col("of")), "left")
+        sub = F.when(F.col("into").isNotNull(), F.pmod(F.xxhash64("role", "text"), F.col("into"))).otherwise(0)
+        rows = rows.withColumn("part", F.col("part") + sub).drop("many", "of", "into")
     parts = rows.groupBy("id", "part").agg(F.first("seed").alias("seed"), F.array_sort(F.collect_list(F.struct("turn", "role", "text", "own"))).alias("turns"))
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,8 +105,14 @@ def transcripts(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn
     return parts.mapInArrow(render, f"id {kind}, part long, text string" + ", truth array<int>" * with_truth)
 
 
+def held_out(id_col: str = "id") -> Column:
+    """Conversations that are not learnt from: a fifth, by a hash of the id; null ids are learnt from."""
+    return F.col(id_col).isNotNull() & (F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(13)), F.lit(5)) == 0)
+
+
 def train(known: DataFrame) -> dict[str, np.ndarray]:
-    """Log start, transition and emission scores from (id, part, text, truth), by counting in Spark.
+    """Log start, transition and emission scores from (id, part, text, truth), by counting in Spark. Rows with null text or
+    truth count as an empty line or not at all; without any rows the scores are those of the smoothing alone.
 
     What comes to the driver is a table of STATES squared and one of STATES times the observations.
     """

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, fingerprints, media, mixing, packing, quality, simhash, toxicity, urls, warc
-from .common import table
+from .common import table, written
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,9 +52,9 @@ def op8_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
-    model = chat.train(chat.transcripts(turns, with_truth=True))
-    return chat.parse(chat.transcripts(turns), model).withColumnRenamed("id", "conv_id")
+    made = written(chat.transcripts(table(spark, sf_dir, "conversations"), with_truth=True), "chat-transcripts")
+    model = chat.train(made.where(~chat.held_out()))
+    return chat.parse(made.select("id", "part", "text"), model).withColumnRenamed("id", "conv_id")
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,3 +70,27 @@ def test_a_hot_conversation(spark, model):
     turns = spark.range(3000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("line "), F.col("id").cast("string"), F.lit(".")).alias("text"))
     got = chat.parse(chat.transcripts(turns), model)
     assert got.count() == 3000 and got.where("role = 'user'").count() == 1500
+
+
+def test_turn_numbers_that_many_rows_share(spark, model, monkeypatch):
+    monkeypatch.setattr(chat, "MOST_ROWS", 100)
+    monkeypatch.setattr(chat, "PART_TURNS", 50)
+    turns = spark.range(1500).select(F.lit(1).cast("long").alias("conv_id"), F.when(F.col("id") % 3 > 0, F.lit(7)).cast("long").alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("line "), F.col("id").cast("string"), F.lit("?")).alias("text"))
+    parts = chat.transcripts(turns, with_truth=True).withColumn("turns", F.size(F.filter("truth", lambda s: s % 2 == 0)))
+    rows = parts.collect()
+    assert sum(r["turns"] for r in rows) == 1500 and max(r["turns"] for r in rows) < 150
+    assert chat.parse(chat.transcripts(turns), model).agg(F.sum("n_lines")).first()[0] >= 1500
+
+
+def test_the_query_recovers_held_out_conversations(spark):
+    """Every turn of the table, against what was said; the figures are of conversations that weren't learnt from."""
+    from lexloom.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    turns = spark.read.parquet(f"{sf}/conversations.parquet")
+    got = {(r["conv_id"], r["turn"], r["role"], r["text"]) for r in queries.QUERIES["op9_chat_transcripts"](spark, sf).collect()}
+    rows = turns.withColumn("apart", chat.held_out("conv_id")).collect()
+    apart = [(r["conv_id"], r["turn"], r["role"], r["text"]) for r in rows if r["apart"]]
+    assert 0 < len(apart) < len(rows) / 2
+    assert sum(r in got for r in apart) >= 0.98 * len(apart)
+    assert {r["conv_id"] for r in rows} == {g[0] for g in got}
