@@ -1,8 +1,10 @@
+import glob
 import os
 
 import pytest
 
 from lexloom.llm import queries
+from lexloom.llm.common import fresh, only, scratch, shared_dir, without, written
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -14,7 +16,7 @@ def stages(spark):
     sf = "/root/testdata/sf0.01"
     docs, out = spark.read.parquet(f"{sf}/documents.parquet"), []
     for name, stage in corpus_pipeline.STAGES:
-        after = corpus_pipeline.written(stage(spark, docs, sf), "test")
+        after = written(stage(spark, docs, sf), "test")
         out.append((name, docs, after))
         docs = after
     return out
@@ -62,3 +64,42 @@ def test_every_operator_has_one_query():
     for n in range(1, 11):
         assert sum(q.startswith(f"op{n}_") for q in queries.QUERIES) == 1
     assert os.path.exists(corpus_pipeline.__file__)
+
+
+def test_names_that_operators_use_are_kept(spark, odd):
+    from pyspark.sql import functions as F
+
+    docs = odd.withColumns({n: F.lit("mine") for n in ("__row_hash", "__listed_id", "__listed_h", "id", "tokens", "probability")})
+    assert fresh(docs, "__row_hash", "new") == ["___row_hash", "new"]
+    for _, stage in corpus_pipeline.STAGES[2:4]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.where("`__row_hash` = 'mine' and id = 'mine'").count() == out.count() > 0
+    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("h")).where("id is null or id = 1")
+    assert without(docs, rows).count() == docs.count() - 3
+    assert only(docs, rows).count() == 2 and only(docs, rows, once=False).count() == 3
+
+
+def test_intermediate_tables_are_deleted(spark, odd):
+    kept = written(odd.select("doc_id"), "kept")
+    with scratch(spark):
+        gone = written(odd.select("doc_id"), "gone")
+        assert gone.count() == odd.count()
+    folder = shared_dir(spark).removeprefix("file:")
+    assert not glob.glob(f"{folder}/gone-*") and kept.count() == odd.count()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
