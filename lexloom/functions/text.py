@@ -32,7 +32,7 @@ def terms(text: Column, stop_words: bool = False, accents: bool = False) -> Colu
     low = F.lower(F.coalesce(text, F.lit("")))
     if accents:
         low = F.translate(low, ACCENTED, PLAIN)
-    found = F.filter(F.split(low, "[^a-z]+"), lambda t: t != "")
+    found = F.array_remove(F.split(low, "[^a-z]+"), "")
     return F.filter(found, lambda t: ~t.isin(STOP_WORDS)) if stop_words else found
 
 

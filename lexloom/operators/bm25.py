@@ -6,11 +6,13 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import terms
 from ..kernels.porter import stem
+from ..shared import checkpointed
 
 K, B = 1.2, 0.75
 
@@ -21,22 +23,30 @@ def idf(n: Column, df: Column) -> Column:
 
 @dataclass
 class Index:
-    """postings(term, id, tf), lengths(id, len), frequencies(term, df), totals(n, average): all DataFrames."""
+    """postings(term, id, tf, len), totals(n, average) and, of a written index, frequencies(term, df): all DataFrames.
+
+    len is the number of terms of the chunk. Without frequencies they are counted over the postings that a query hits.
+    """
 
     postings: DataFrame
-    lengths: DataFrame
-    frequencies: DataFrame
     totals: DataFrame
     stemmed: bool
     stop_words: bool
+    frequencies: DataFrame | None = None
 
     def write(self, path: str) -> Index:
-        """The index as Parquet tables under path; postings are ordered by term within files, so that lookups of terms skip."""
-        self.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        for name in ("lengths", "frequencies", "totals"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
-        read = self.postings.sparkSession.read.parquet
-        return Index(*[read(f"{path}/{n}") for n in ("postings", "lengths", "frequencies", "totals")], self.stemmed, self.stop_words)
+        """The index as Parquet tables under path, which must be new; postings are ordered by term within files, so that
+        lookups of terms skip. Texts are read twice: for postings and for totals; frequencies come from the postings written."""
+        spark = self.postings.sparkSession
+        self.postings.repartition("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
+        spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{path}/frequencies")
+        self.totals.write.parquet(f"{path}/totals")
+        return Index.read(spark, path, self.stemmed, self.stop_words)
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str, stemmed: bool, stop_words: bool) -> Index:
+        postings, totals, frequencies = (spark.read.parquet(f"{path}/{n}") for n in ("postings", "totals", "frequencies"))
+        return cls(postings, totals, stemmed, stop_words, frequencies)
 
 
 def _stemmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,20 +59,19 @@ def build(chunks: DataFrame, id_col: str, fields: Sequence[str], stemmed: bool =
     """Indexes the text fields of chunks together. Stems are found once for each distinct word."""
     words = F.concat(*[terms(F.col(f), stop_words, accents=stemmed) for f in fields])
     each = chunks.select(F.col(id_col).alias("id"), words.alias("words"))
-    counted = each.select("id", F.explode("words").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
+    counted = each.select("id", F.size("words").cast("long").alias("len"), F.explode("words").alias("term")).groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
     if stemmed:
         of = counted.select(F.col("term").alias("word")).distinct().mapInArrow(_stemmed, "word string, term string")
-        counted = counted.withColumnRenamed("term", "word").join(of, "word").groupBy("term", "id").agg(F.sum("tf").alias("tf"))
-    lengths = each.select("id", F.size("words").cast("long").alias("len"))
-    frequencies = counted.groupBy("term").agg(F.count("*").alias("df"))
-    totals = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("average"))
-    return Index(counted, lengths, frequencies, totals, stemmed, stop_words)
+        counted = counted.withColumnRenamed("term", "word").join(of, "word").groupBy("term", "id", "len").agg(F.sum("tf").alias("tf"))
+    totals = each.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("average"))
+    return Index(counted.select("term", "id", "tf", "len"), totals, stemmed, stop_words)
 
 
 def score(index: Index, queries: DataFrame, query_col: str = "query_id", text_col: str = "text", k: float = K, b: float = B, conjunctive: bool = False) -> DataFrame:
     """(query, id, metric_value): BM25 of each chunk that has a query term (conjunctive: all of them) in the index.
 
-    Repeated terms of a query count once. Postings are joined with the queries' terms, never with all chunks.
+    Repeated terms of a query count once. Only the postings of the queries' terms go on; with a written index these are
+    all that is read. Without one they are checkpointed, so that texts are cut into terms once for them.
     """
     words = F.array_distinct(terms(F.col(text_col), index.stop_words, accents=index.stemmed))
     asked = queries.select(F.col(query_col), F.explode(words).alias("term"))
@@ -70,15 +79,28 @@ def score(index: Index, queries: DataFrame, query_col: str = "query_id", text_co
         of = asked.select(F.col("term").alias("word")).distinct().mapInArrow(_stemmed, "word string, term string")
         asked = asked.withColumnRenamed("term", "word").join(of, "word").select(query_col, "term").distinct()
     needed = asked.groupBy(query_col).agg(F.count("*").alias("needed"))
-    found = index.postings.join(asked, "term").join(index.frequencies, "term").join(index.lengths, "id")
-    found = found.withColumns({"n": index.totals.select("n").scalar(), "average": index.totals.select("average").scalar()})
-    weight = idf(F.col("n"), F.col("df")) * F.col("tf") * (k + 1) / (F.col("tf") + k * (1 - b + b * F.col("len") / F.col("average")))
+    postings, frequencies = index.postings, index.frequencies
+    if frequencies is None:
+        postings = checkpointed(postings.join(asked.select("term").distinct(), "term", "left_semi"))
+        frequencies = postings.groupBy("term").agg(F.count("*").alias("df"))
+    found = postings.join(asked.join(frequencies, "term"), "term")
+    found = found.withColumn("totals", index.totals.select(F.struct("n", "average")).scalar())
+    n, average = F.col("totals.n"), F.col("totals.average")
+    weight = idf(n, F.col("df")) * F.col("tf") * (k + 1) / (F.col("tf") + k * (1 - b + b * F.col("len") / average))
     out = found.groupBy(query_col, "id").agg(F.sum(weight).alias("metric_value"), F.count("*").alias("have"))
     if conjunctive:
         out = out.join(needed, query_col).where("have = needed")
     return out.select(query_col, "id", "metric_value")
 
 
+def best(scored: DataFrame, top_k: int, query_col: str = "query_id") -> DataFrame:
+    """The top_k rows of each query of score(), in two steps: by parts of the ids, then of what is left."""
+    order = (F.desc_nulls_last("metric_value"), "id")
+    part = Window.partitionBy(query_col, F.pmod(F.xxhash64("id"), F.lit(64))).orderBy(*order)
+    some = scored.withColumn("_n", F.row_number().over(part)).where(F.col("_n") <= top_k)
+    return some.withColumn("_n", F.row_number().over(Window.partitionBy(query_col).orderBy(*order))).where(F.col("_n") <= top_k).drop("_n")
+
+
 def retrieve(index: Index, chunks: DataFrame, text: str, top_k: int, id_col: str, k: float = K, b: float = B, conjunctive: bool = False, where: Column | str | None = None) -> DataFrame:
     """The top_k chunks for a query text with metric_name and metric_value, best first; the filter holds before the limit."""
     query = chunks.sparkSession.createDataFrame([(0, text)], "query_id int, text string")

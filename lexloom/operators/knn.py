@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from ..functions.vector import literal, metric
@@ -56,6 +57,7 @@ def nearest_many(items: DataFrame, queries: DataFrame, k: int, method: str = "co
     spark, kinds = items.sparkSession, (queries.schema[query_col].dataType.simpleString(), items.schema[id_col].dataType.simpleString())
     schema = f"{query_col} {kinds[0]}, {id_col} {kinds[1]}, metric_value double"
     rows = items.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where("v is not null")
+    kind = to_arrow_type(queries.schema[query_col].dataType)
 
     def part(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,7 +70,7 @@ def nearest_many(items: DataFrame, queries: DataFrame, k: int, method: str = "co
                 key = b.column("id").to_numpy(zero_copy_only=False)
                 order = np.lexsort(np.broadcast_arrays(key[:, None], d), axis=0)[:k]
                 take, col = order.reshape(-1), np.tile(np.arange(len(q)), len(order))
-                arrays = [pa.array(ids).take(pa.array(col)), b.column("id").take(pa.array(take)), pa.array(d[take, col])]
+                arrays = [pa.array(ids, kind).take(pa.array(col)), b.column("id").take(pa.array(take)), pa.array(d[take, col])]
                 yield pa.RecordBatch.from_arrays(arrays, [query_col, id_col, "metric_value"])
 
         return run

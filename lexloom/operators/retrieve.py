@@ -11,17 +11,19 @@ from pyspark.sql.window import Window
 from ..functions.text import slice_text
 
 
-def hybrid(vector: DataFrame, bm25: DataFrame, keys: Sequence[str], method: str = "cosine_distance") -> DataFrame:
+def hybrid(vector: DataFrame, bm25: DataFrame, keys: Sequence[str], method: str = "cosine_distance", by: Sequence[str] = ()) -> DataFrame:
     """Results of both kinds (metric_name, metric_value) in one row per key: the columns `method` and bm25, null where
-    a kind did not find the row. Rows are not ranked again; `rank` keeps vector results before BM25-only ones."""
+    a kind did not find the row. Rows are not ranked again; `rank` keeps vector results before BM25-only ones. Results of
+    several queries are ranked for each by the columns `by`, which are keys."""
     rest = [c for c in vector.columns if c not in (*keys, "metric_name", "metric_value")]
-    order = Window.orderBy(F.asc_nulls_last("metric_value"), *keys)  # both sides have at most k rows
+    each = Window.partitionBy(*by) if by else Window  # both sides have at most k rows a query
+    order = each.orderBy(F.asc_nulls_last("metric_value"), *keys)
     a = vector.withColumn("_ra", F.row_number().over(order)).withColumnRenamed("metric_value", method).drop("metric_name")
-    b = bm25.withColumn("_rb", F.row_number().over(Window.orderBy(F.desc_nulls_last("metric_value"), *keys))).withColumnRenamed("metric_value", "bm25").drop("metric_name")
+    b = bm25.withColumn("_rb", F.row_number().over(each.orderBy(F.desc_nulls_last("metric_value"), *keys))).withColumnRenamed("metric_value", "bm25").drop("metric_name")
     b = b.withColumnsRenamed({c: f"_b_{c}" for c in rest if c in b.columns})
     both = a.join(b, list(keys), "full_outer")
     columns = [F.coalesce(c, f"_b_{c}").alias(c) if f"_b_{c}" in b.columns else F.col(c) for c in rest]
-    rank = F.row_number().over(Window.orderBy(F.asc_nulls_last("_ra"), F.asc_nulls_last("_rb")))
+    rank = F.row_number().over(each.orderBy(F.asc_nulls_last("_ra"), F.asc_nulls_last("_rb")))
     return both.select(*keys, *columns, method, "bm25", rank.alias("rank"))
 
 

@@ -180,16 +180,15 @@ def bm25_dictionary(spark, sf_dir):
 
 
 @query(f"""
-WITH c AS (SELECT doc_id, text, embedding FROM documents JOIN embeddings ON doc_id = vec_id),
-v AS (SELECT doc_id, list_cosine_distance(CAST(embedding AS DOUBLE[]), {_ZERO}) AS m FROM c ORDER BY m, doc_id LIMIT 10),
-b AS ({_bm25_sql(_ITEMS.replace("% 50 = 0", "= 0")).replace("FROM documents", "FROM c").replace("JOIN documents", "JOIN c")})
+WITH v AS (SELECT vec_id AS doc_id, list_cosine_distance(CAST(embedding AS DOUBLE[]), {_ZERO}) AS m FROM embeddings ORDER BY m, vec_id LIMIT 10),
+b AS ({_bm25_sql(_ITEMS.replace("% 50 = 0", "= 0"))})
 SELECT doc_id, round(v.m, 6) AS cosine_distance, b.score AS bm25 FROM v FULL OUTER JOIN b USING (doc_id)""")
 def hybrid_wide(spark, sf_dir):
-    items = table(spark, sf_dir, "embeddings")
-    chunks = table(spark, sf_dir, "documents").join(items, F.col("doc_id") == F.col("vec_id")).select("doc_id", "text", "embedding")
-    near = knn.nearest(chunks, _of_zero(items), 10, id_col="doc_id").select("doc_id", "metric_name", "metric_value")
-    text = table(spark, sf_dir, "benchmark").where("item_id = 0").first()["text"]
-    said = bm25.retrieve(bm25.build(chunks, "doc_id", ["text"]), chunks, text, 10, "doc_id").select("doc_id", "metric_name", "metric_value")
+    items, docs = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents")
+    near = knn.nearest(items, _of_zero(items), 10).select(F.col("vec_id").alias("doc_id"), "metric_name", "metric_value")
+    asked = table(spark, sf_dir, "benchmark").where("item_id = 0").select(F.col("item_id").alias("query_id"), "text")
+    scored = bm25.score(bm25.build(docs, "doc_id", ["text"]), asked)
+    said = bm25.best(scored, 10).select(F.col("id").alias("doc_id"), F.lit("bm25").alias("metric_name"), "metric_value")
     return retrieve.hybrid(near, said, ["doc_id"]).select("doc_id", F.round("cosine_distance", 6).alias("cosine_distance"), F.round("bm25", 5).alias("bm25"))
 
 

@@ -1,8 +1,10 @@
 """A store of documents, chunk ranges and vectors in Parquet, with indexes and retrieval.
 
-A store is a folder. `changes` has a row for each committed change: the folders of Parquet files that documents
-and chunks are read from since. A change writes new folders first and then adds its row, so that readers see all
-of it or nothing, and nothing that is being read is overwritten.
+A store is a folder. `changes` has a row for each committed change: the folders of Parquet files that documents and chunks
+are read from since, and those with the documents that were replaced. Rows bear the number of the change that wrote them; a
+replaced document's rows from before are passed over when reading, until `compact` leaves them out. So a change writes what
+it brings and nothing else, new folders first and then its row: readers see all of it or nothing, and nothing that is being
+read is overwritten. A change claims its number by a file that only one writer can make.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import re
 import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +25,32 @@ from .functions.text import embed_input, slice_text
 from .operators import bm25, changes, knn, retrieve
 
 RESERVED = ("chunk_id", "doc_id", "doc_key", "origin", "text", "start", "end", "context", "embedding")
-_META = "format int, name string, title string, embedder string, size int, extra string"
-_CHANGE = "number long, documents array<string>, chunks array<string>, last_doc long, last_chunk long"
+_META = "format int, name string, title string, embedder string, size int, extra string, root string"
+_CHANGE = "number long, documents array<string>, chunks array<string>, gone array<string>, last_doc long, last_chunk long"
+_INDEX = "number long, folder string, stemmed boolean"
+_GONE = "doc_id long, at long"
+#: Column with the number of the change that wrote a row.
+_AT = "_change"
+
+
+class StoreConflict(RuntimeError):
+    """Another change was committed, or is being committed, since this one began: run it again."""
+
+
+def _file_system(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def claimed(spark: SparkSession, folder: str, number: int) -> bool:
+    """Whether this call, and no other, made the file that claims a number."""
+    system, path = _file_system(spark, f"{folder}/claims/{number}")
+    try:
+        return bool(system.createNewFile(path))
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in str(e.java_exception):
+            return False
+        raise
 
 
 def cast_lossless(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -58,66 +85,85 @@ class Store:
             raise ValueError(f"not a store: {path}")
         self.name, self.title, self.size = meta["name"], meta["title"], meta["size"]
         self.embedder = Embedder.from_json(meta["embedder"]) if meta["embedder"] else None
-        self.extra = T.StructType.fromJson(json.loads(meta["extra"]))
+        self.extra, self.root = T.StructType.fromJson(json.loads(meta["extra"])), f"{self.path}/{meta['root']}"
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, embedder: Embedder | None = Embedder(), extra_cols: T.StructType | str = T.StructType(), name: str = "store", title: str | None = None, overwrite: bool = False, transport: Transport | None = None) -> Store:
-        """A new store. An existing one is an error unless overwrite. Reserved names among extra_cols are left out."""
+        """A new store. An existing one is an error unless overwrite. Reserved names among extra_cols are left out.
+
+        Its tables are in a folder of their own, which the metadata name: one that is overwritten is never seen half.
+        """
         if not re.fullmatch("[a-zA-Z0-9_-]+", name):
             raise ValueError("a name has letters, digits, _ and - only")
         if isinstance(extra_cols, str):
             extra_cols = T.StructType.fromDDL(extra_cols)
         extra = T.StructType([f for f in extra_cols if f.name not in RESERVED])
         size = len(embed_texts(embedder, ["foo"], transport)[0]) if embedder else None
-        mode = "overwrite" if overwrite else "errorifexists"
+        mode, root = "overwrite" if overwrite else "errorifexists", f"tables-{uuid.uuid4().hex}"
+        spark.createDataFrame([(0, [], [], [], 0, 0)], _CHANGE).coalesce(1).write.parquet(f"{path}/{root}/changes")
         try:
-            row = (2, name, title, embedder.to_json() if embedder else None, size, json.dumps(extra.jsonValue()))
+            row = (2, name, title, embedder.to_json() if embedder else None, size, json.dumps(extra.jsonValue()), root)
             spark.createDataFrame([row], _META).coalesce(1).write.mode(mode).parquet(f"{path}/metadata")
         except AnalysisException as e:
             if "PATH_ALREADY_EXISTS" in str(e):
                 raise ValueError(f"File already exists: {path}") from e
             raise
-        spark.createDataFrame([(0, [], [], 0, 0)], _CHANGE).coalesce(1).write.mode(mode).parquet(f"{path}/changes")
         return cls(spark, path, transport)
 
     # tables
 
     @property
     def _documents(self) -> T.StructType:
-        return T.StructType.fromDDL("doc_id int, origin string, text string")
+        return T.StructType.fromDDL("doc_id long, origin string, text string")
 
     @property
     def _chunks(self) -> T.StructType:
-        base = T.StructType.fromDDL("doc_id int, chunk_id int, start int, end int, context string")
+        base = T.StructType.fromDDL("doc_id long, chunk_id long, start int, end int, context string")
         return T.StructType([*base, *self.extra, *([T.StructField("embedding", T.ArrayType(T.FloatType()))] if self.embedder else [])])
 
     def _now(self):
-        return self.spark.read.schema(_CHANGE).parquet(f"{self.path}/changes").orderBy(F.desc("number")).first()
-
-    def _read(self, folders: Sequence[str], schema: T.StructType) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(_CHANGE).parquet(f"{self.root}/changes").orderBy(F.desc("number")).first()
+
+    def _read(self, now, kind: str) -> DataFrame:
+        """The rows of documents or chunks that no later change replaced."""
+        schema = self._documents if kind == "documents" else self._chunks
+        folders = now[kind]
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(T.StructType([*schema, T.StructField(_AT, T.LongType())])).parquet(*folders)
+        if now["gone"]:
+            gone = self.spark.read.schema(_GONE).parquet(*now["gone"]).groupBy(F.col("doc_id").alias("_gone")).agg(F.max("at").alias("_at"))
+            rows = rows.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.col(_AT) < F.col("_at")), "left_anti")
+        return rows.drop(_AT)
 
     def table(self, name: str = "chunks") -> DataFrame:
         """documents, embeddings (chunk ranges without text) or chunks (with origin and text cut from the document)."""
+        if name not in ("documents", "embeddings", "chunks"):
+            raise ValueError(f"no table {name!r}")
         now = self._now()
-        documents = self._read(now["documents"], self._documents)
-        chunks = self._read(now["chunks"], self._chunks)
-        if name == "documents":
-            return documents
-        if name == "embeddings":
-            return chunks
         if name != "chunks":
-            raise ValueError(f"no table {name!r}")
+            return self._read(now, "documents" if name == "documents" else "chunks")
+        return self._cut(self._read(now, "chunks"), self._read(now, "documents"))
+
+    def _cut(self, chunks: DataFrame, documents: DataFrame) -> DataFrame:
         joined = chunks.join(documents.withColumnRenamed("text", "_text"), "doc_id")
         return joined.select("origin", *chunks.columns, slice_text(F.col("_text"), F.col("start"), F.col("end")).alias("text"))
 
-    def _commit(self, now, documents: list[str], chunks: list[str], last_doc: int, last_chunk: int) -> None:
-        row = (now["number"] + 1, documents, chunks, last_doc, last_chunk)
-        self.spark.createDataFrame([row], _CHANGE).coalesce(1).write.mode("append").parquet(f"{self.path}/changes")
-
-    def _write(self, df: DataFrame, kind: str) -> str:
-        folder = f"{self.path}/{kind}/{uuid.uuid4().hex}"
-        df.write.parquet(folder)
+    def _commit(self, now, documents: list[str], chunks: list[str], gone: list[str], last_doc: int, last_chunk: int) -> None:
+        number = now["number"] + 1
+        if not claimed(self.spark, self.root, number):
+            raise StoreConflict(f"change {number} of {self.path} is another writer's")
+        row = (number, documents, chunks, gone, last_doc, last_chunk)
+        self.spark.createDataFrame([row], _CHANGE).coalesce(1).write.mode("append").parquet(f"{self.root}/changes")
+
+    def release(self) -> bool:
+        """Takes back the claim of a writer that died before its change was committed; whether there was one."""
+        system, path = _file_system(self.spark, f"{self.root}/claims/{self._now()['number'] + 1}")
+        return bool(system.delete(path, False))
+
+    def _write(self, df: DataFrame, kind: str, number: int | None = None) -> str:
+        folder = f"{self.root}/{kind}/{uuid.uuid4().hex}"
+        (df if number is None else df.withColumn(_AT, F.lit(number).cast("long"))).write.parquet(folder)
         return folder
 
     # changes
@@ -143,61 +189,92 @@ class Store:
         An origin that the store or the load has already is an error; null origins may repeat.
         """
         now = self._now()
+        number = now["number"] + 1
         known = documents.select("origin").where("origin is not null")
-        stored = self._read(now["documents"], self._documents).select("origin")
+        stored = self._read(now, "documents").select("origin")
         twice = known.groupBy("origin").count().where("count > 1").select("origin").union(known.join(stored, "origin", "left_semi")).first()
         if twice:
             raise ValueError(f"duplicate key: origin {twice[0]!r}")
-        ids = changes.numbered(documents.select("doc_key", "origin", "text"), ["doc_key"], "doc_id", now["last_doc"]).withColumn("doc_id", F.col("doc_id").cast("int"))
+        ids = changes.numbered(documents.select("doc_key", "origin", "text"), ["doc_key"], "doc_id", now["last_doc"])
         docs = self._write(ids, "staged")
         ids = self.spark.read.parquet(docs)
         rows = self._checked(documents, chunks).join(ids.select("doc_key", "doc_id"), "doc_key")
-        rows = changes.numbered(rows, ["doc_id", "start", "end"], "chunk_id", now["last_chunk"]).withColumn("chunk_id", F.col("chunk_id").cast("int"))
-        written = self._write(self._prepared(rows), "chunks")
-        folder = self._write(ids.select("doc_id", "origin", "text"), "documents")
+        rows = changes.numbered(rows, ["doc_id", "start", "end"], "chunk_id", now["last_chunk"])
+        written = self._write(self._prepared(rows), "chunks", number)
+        folder = self._write(ids.select("doc_id", "origin", "text"), "documents", number)
         top = self.spark.read.parquet(folder).agg(F.max("doc_id")).first()[0], self.spark.read.parquet(written).agg(F.max("chunk_id")).first()[0]
-        self._commit(now, [*now["documents"], folder], [*now["chunks"], written], top[0] or now["last_doc"], top[1] or now["last_chunk"])
+        self._commit(now, [*now["documents"], folder], [*now["chunks"], written], now["gone"], top[0] or now["last_doc"], top[1] or now["last_chunk"])
 
     def update(self, documents: DataFrame, chunks: DataFrame) -> int:
         """Replaces the documents of which a chunk is new, keeping their ids, and adds those with new origins; gives
-        their number. A null origin is an error. Only what changes is embedded; without a new chunk nothing is done.
+        their number. A null origin is an error. Only what changes is compared, embedded and written: of the store's
+        chunks, those of the load's origins are read; without a new chunk nothing is done.
         """
         if documents.where("origin is null").first():
             raise ValueError("update needs an origin for each document")
         now = self._now()
+        number = now["number"] + 1
         keys = ["origin", "start", "end", "context", *self.extra.names, "text"]
         rows = self._checked(documents, chunks).join(documents.select("doc_key", "origin"), "doc_key")
-        changed = changes.unknown(rows, self.table("chunks"), keys).select("doc_key").distinct()
+        stored = self._read(now, "documents")
+        same = stored.join(documents.select("origin").distinct(), "origin", "left_semi")
+        changed = changes.unknown(rows, self._cut(self._read(now, "chunks"), same), keys).select("doc_key").distinct()
         changed = self.spark.read.parquet(self._write(changed, "staged"))
         n = changed.count()
         if not n:
             return 0
-        stored = self._read(now["documents"], self._documents)
         some = documents.join(changed, "doc_key", "left_semi")
         old = some.join(stored.select("origin", "doc_id"), "origin").select("doc_key", "origin", "text", "doc_id")
         new = changes.numbered(some.join(stored, "origin", "left_anti").select("doc_key", "origin", "text"), ["doc_key"], "doc_id", now["last_doc"])
-        ids = self.spark.read.parquet(self._write(old.unionByName(new).withColumn("doc_id", F.col("doc_id").cast("int")), "staged"))
+        ids = self.spark.read.parquet(self._write(old.unionByName(new), "staged"))
         rows = rows.drop("origin").join(ids.select("doc_key", "doc_id"), "doc_key")
-        rows = changes.numbered(rows, ["doc_id", "start", "end"], "chunk_id", now["last_chunk"]).withColumn("chunk_id", F.col("chunk_id").cast("int"))
-        fresh = self._write(self._prepared(rows), "chunks")
-        stays = self._read(now["chunks"], self._chunks).join(ids.select("doc_id"), "doc_id", "left_anti")
-        chunk_folders = [self._write(stays, "chunks"), fresh]
-        doc_folder = self._write(changes.replaced(stored, ids.select("doc_id", "origin", "text"), "doc_id"), "documents")
+        rows = changes.numbered(rows, ["doc_id", "start", "end"], "chunk_id", now["last_chunk"])
+        fresh = self._write(self._prepared(rows), "chunks", number)
+        doc_folder = self._write(ids.select("doc_id", "origin", "text"), "documents", number)
+        gone = self._write(ids.where(F.col("doc_id") <= now["last_doc"]).select("doc_id", F.lit(number).cast("long").alias("at")), "gone")
         top = self.spark.read.parquet(fresh).agg(F.max("chunk_id")).first()[0] or now["last_chunk"]
         last = max(now["last_doc"], ids.agg(F.max("doc_id")).first()[0])
-        self._commit(now, [doc_folder], chunk_folders, last, top)
+        self._commit(now, [*now["documents"], doc_folder], [*now["chunks"], fresh], [*now["gone"], gone], last, top)
         return n
 
+    def compact(self) -> None:
+        """Writes documents and chunks anew without the replaced ones, into one folder each. Old folders stay for readers."""
+        now = self._now()
+        folders = [[self._write(self._read(now, kind), kind, now["number"] + 1)] if now[kind] else [] for kind in ("documents", "chunks")]
+        self._commit(now, *folders, [], now["last_doc"], now["last_chunk"])
+
     # retrieval
 
     def build_index(self, stemmed: bool = True) -> None:
-        """The full-text index over context and text of the chunks as they are now; later changes need a new one."""
-        chunks = self.table("chunks")
-        bm25.build(chunks, "chunk_id", ["context", "text"], stemmed, stop_words=stemmed).write(f"{self.path}/index/fts")
+        """The full-text index over context and text of the chunks as they are now, in a new folder; later changes need
+        a new one (`refresh_index`)."""
+        number, folder = self._now()["number"], f"{self.root}/index/{uuid.uuid4().hex}"
+        bm25.build(self.table("chunks"), "chunk_id", ["context", "text"], stemmed, stop_words=stemmed).write(folder)
+        self.spark.createDataFrame([(number, folder, stemmed)], _INDEX).coalesce(1).write.mode("append").parquet(f"{self.root}/indexes")
+
+    def _index(self):
+        try:
+            return self.spark.read.schema(_INDEX).parquet(f"{self.root}/indexes").orderBy(F.desc("number"), "folder").first()
+        except AnalysisException:
+            return None
+
+    def index_age(self) -> int | None:
+        """Changes since the index was built: 0 for a current one, None without one."""
+        found = self._index()
+        return None if found is None else self._now()["number"] - found["number"]
+
+    def refresh_index(self, stemmed: bool = True) -> bool:
+        """Builds the index if it isn't current; whether it did."""
+        stale = self.index_age() != 0
+        if stale:
+            self.build_index(stemmed)
+        return stale
 
-    def index(self, stemmed: bool = True) -> bm25.Index:
-        read = self.spark.read.parquet
-        return bm25.Index(*[read(f"{self.path}/index/fts/{n}") for n in ("postings", "lengths", "frequencies", "totals")], stemmed, stemmed)
+    def index(self) -> bm25.Index:
+        found = self._index()
+        if found is None:
+            raise ValueError("the store has no full-text index: build_index() makes one")
+        return bm25.Index.read(self.spark, found["folder"], found["stemmed"], found["stemmed"])
 
     def retrieve_vss(self, text: str | Sequence[float], top_k: int = 3, method: str = "cosine_distance", where: Column | str | None = None) -> DataFrame:
         """The top_k chunks nearest to a text or vector. Texts are joined to the rows found, not before, unless the
@@ -217,13 +294,22 @@ class Store:
 
     def retrieve(self, texts: str | Sequence[str], top_k: int = 3, merge: bool = True, where: Column | str | None = None) -> DataFrame:
         """What vectors and BM25 find for one text or several, each chunk once, with overlapping ranges merged."""
-        found = None
         keys = ["origin", "doc_id", "chunk_id", "start", "end", "context", *self.extra.names]
-        for i, text in enumerate([texts] if isinstance(texts, str) else texts):
-            said = self.retrieve_bm25(text, top_k, where=where).select(*keys, "metric_name", "metric_value")
-            near = self.retrieve_vss(text, top_k, where=where).select(*keys, "metric_name", "metric_value") if self.embedder else said.where("false")
-            both = retrieve.hybrid(near, said, ["chunk_id"]).withColumn("_query", F.lit(i))
-            found = both if found is None else found.unionByName(both)
+        texts = [texts] if isinstance(texts, str) else list(texts)
+        items = self.table("chunks").drop("embedding")
+        items = items if where is None else items.where(where)
+        asked = self.spark.createDataFrame(list(enumerate(texts)), "_query int, text string")
+        scored = bm25.score(self.index(), asked, "_query")
+        if where is not None:
+            scored = scored.join(items.select(F.col("chunk_id").alias("id")), "id", "left_semi")
+        said = bm25.best(scored, top_k, "_query").withColumnRenamed("id", "chunk_id")
+        near = said.where("false")
+        if self.embedder and texts:
+            vectors = self.table("embeddings") if where is None else self.table("chunks").where(where)
+            of = self.spark.createDataFrame(list(enumerate(embed_texts(self.embedder, texts, self.transport))), "_query int, embedding array<float>")
+            near = knn.nearest_many(vectors, of, top_k, id_col="chunk_id", query_col="_query").select("_query", "chunk_id", "metric_value")
+        both = retrieve.hybrid(near.withColumn("metric_name", F.lit("cosine_distance")), said.withColumn("metric_name", F.lit("bm25")), ["_query", "chunk_id"], by=["_query"])
+        found = items.select(*keys).join(both, "chunk_id").select("_query", *keys, "cosine_distance", "bm25", "rank")
         once = retrieve.first_of_each(found, ["doc_id", "chunk_id"], ["_query", "rank"])
         docs = self.table("documents")
         if merge:
@@ -249,7 +335,12 @@ class Store:
 
 
 class FlatStore:
-    """The first store format: one table chunks(origin, hash, text, extra columns[, embedding]) without documents."""
+    """The first store format: one table chunks(chunk_id, origin, hash, text, extra columns[, embedding]) without documents.
+
+    A change writes its own rows; origins that it replaces are passed over in rows from before, as in Store.
+    """
+
+    _CHANGE = "number long, folders array<string>, gone array<string>, last_chunk long"
 
     def __init__(self, spark: SparkSession, path: str, extra_cols: T.StructType | str = T.StructType(), embedder: Embedder | None = None, transport: Transport | None = None):
         extra = T.StructType.fromDDL(extra_cols) if isinstance(extra_cols, str) else extra_cols
@@ -261,21 +352,41 @@ class FlatStore:
 
     def _now(self):
         try:
-            return self.spark.read.schema("number long, folders array<string>").parquet(f"{self.path}/changes").orderBy(F.desc("number")).first()
+            return self.spark.read.schema(self._CHANGE).parquet(f"{self.path}/changes").orderBy(F.desc("number")).first()
         except AnalysisException:
             return None
 
-    def table(self) -> DataFrame:
+    def _rows(self) -> DataFrame:
+        """All columns, chunk_id among them."""
         now = self._now()
-        schema = T.StructType([*self.schema, *([T.StructField("embedding", T.ArrayType(T.FloatType()))] if self.embedder else [])])
-        return self.spark.read.schema(schema).parquet(*now["folders"]) if now else self.spark.createDataFrame([], schema)
+        vector = [T.StructField("embedding", T.ArrayType(T.FloatType()))] if self.embedder else []
+        schema = T.StructType([T.StructField("chunk_id", T.LongType()), *self.schema, *vector])
+        if now is None:
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(T.StructType([*schema, T.StructField(_AT, T.LongType())])).parquet(*now["folders"])
+        if now["gone"]:
+            gone = self.spark.read.schema("origin string, at long").parquet(*now["gone"]).groupBy(F.col("origin").alias("_gone")).agg(F.max("at").alias("_at"))
+            rows = rows.join(gone, (F.col("origin") == F.col("_gone")) & (F.col(_AT) < F.col("_at")), "left_anti")
+        return rows.drop(_AT)
+
+    def table(self) -> DataFrame:
+        return self._rows().drop("chunk_id")
 
-    def _add(self, rows: DataFrame, keep: list[str]) -> None:
-        folder = f"{self.path}/chunks/{uuid.uuid4().hex}"
-        rows.write.parquet(folder)
+    def _add(self, rows: DataFrame, replace: bool) -> None:
         now = self._now()
-        row = ((now["number"] if now else 0) + 1, [*keep, folder])
-        self.spark.createDataFrame([row], "number long, folders array<string>").coalesce(1).write.mode("append").parquet(f"{self.path}/changes")
+        number, last = (now["number"] + 1, now["last_chunk"]) if now else (1, 0)
+        staged = f"{self.path}/staged/{uuid.uuid4().hex}"
+        rows.write.parquet(staged)
+        rows, folder, gone = self.spark.read.schema(rows.schema).parquet(staged), f"{self.path}/chunks/{uuid.uuid4().hex}", []
+        changes.numbered(rows, ["origin", "hash", "text"], "chunk_id", last).withColumn(_AT, F.lit(number).cast("long")).write.parquet(folder)
+        if replace:
+            gone = [f"{self.path}/gone/{uuid.uuid4().hex}"]
+            rows.where("origin is not null").select("origin", F.lit(number).cast("long").alias("at")).distinct().write.parquet(gone[0])
+        top = self.spark.read.parquet(folder).agg(F.max("chunk_id")).first()[0] or last
+        if not claimed(self.spark, self.path, number):
+            raise StoreConflict(f"change {number} of {self.path} is another writer's")
+        row = (number, [*(now["folders"] if now else []), folder], [*(now["gone"] if now else []), *gone], top)
+        self.spark.createDataFrame([row], self._CHANGE).coalesce(1).write.mode("append").parquet(f"{self.path}/changes")
 
     def _prepared(self, chunks: DataFrame) -> DataFrame:
         for name, c in (("origin", F.lit(None).cast("string")), ("hash", F.md5("text"))):
@@ -287,16 +398,41 @@ class FlatStore:
 
     def insert(self, chunks: DataFrame) -> None:
         """Adds chunks as they are, repeats included; a missing origin is null and a missing hash that of the text."""
-        now = self._now()
-        self._add(self._prepared(chunks), list(now["folders"]) if now else [])
+        self._add(self._prepared(chunks), replace=False)
 
     def update(self, chunks: DataFrame) -> None:
         """Replaces the origins of which an (origin, hash) is new, with the chunks that are new; equal hashes are
         taken for equal texts."""
         if not {"origin", "hash"} <= set(chunks.columns):
             raise ValueError("update needs the columns origin and hash")
-        stored = self.table()
-        new = changes.unknown(chunks, stored, ["origin", "hash"])
+        new = changes.unknown(chunks, self.table(), ["origin", "hash"])
         if new.first() is None:
             return
-        self._add(changes.replaced(stored, self._prepared(new), "origin"), [])
+        self._add(self._prepared(new), replace=True)
+
+    def build_index(self, stemmed: bool = True) -> None:
+        """The full-text index over the texts as they are now, in a new folder."""
+        now, folder = self._now(), f"{self.path}/index/{uuid.uuid4().hex}"
+        bm25.build(self._rows(), "chunk_id", ["text"], stemmed, stop_words=stemmed).write(folder)
+        self.spark.createDataFrame([(now["number"] if now else 0, folder, stemmed)], _INDEX).coalesce(1).write.mode("append").parquet(f"{self.path}/indexes")
+
+    def retrieve_vss(self, text: str | Sequence[float], top_k: int = 3, method: str = "cosine_distance", where: Column | str | None = None) -> DataFrame:
+        """The top_k chunks nearest to a text or vector, nearest first, with metric_name and metric_value."""
+        vector = embed_texts(self.embedder, [text], self.transport)[0] if isinstance(text, str) else text
+        return knn.nearest(self._rows(), vector, top_k, method, "chunk_id", where=where)
+
+    def retrieve_bm25(self, text: str, top_k: int = 3, k: float = bm25.K, b: float = bm25.B, conjunctive: bool = False, where: Column | str | None = None) -> DataFrame:
+        """The top_k chunks by BM25, best first, by the index built last."""
+        try:
+            found = self.spark.read.schema(_INDEX).parquet(f"{self.path}/indexes").orderBy(F.desc("number"), "folder").first()
+        except AnalysisException as e:
+            raise ValueError("the store has no full-text index: build_index() makes one") from e
+        index = bm25.Index.read(self.spark, found["folder"], found["stemmed"], found["stemmed"])
+        return bm25.retrieve(index, self._rows().drop("embedding"), text, top_k, "chunk_id", k, b, conjunctive, where)
+
+    def retrieve(self, text: str, top_k: int = 3, where: Column | str | None = None) -> DataFrame:
+        """What vectors and BM25 find for a text, a chunk once, with both scores and `rank`: vector results first."""
+        keys = ["chunk_id", *self.schema.names]
+        said = self.retrieve_bm25(text, top_k, where=where).select(*keys, "metric_name", "metric_value")
+        near = self.retrieve_vss(text, top_k, where=where).select(*keys, "metric_name", "metric_value") if self.embedder else said.where("false")
+        return retrieve.hybrid(near, said, ["chunk_id"]).orderBy("rank")

@@ -166,3 +166,86 @@ def test_providers():
     spec = Embedder("openai", "m", {"dims": 8})
     assert Embedder.from_json(spec.to_json()) == spec and default_prepare
     assert embed_texts(Embedder(), ["a b"]) == embed_texts(Embedder(), ["b a"])
+
+
+def files(store):
+    import os
+
+    return {os.path.join(d, f): os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(store.path) for f in names if f.endswith(".parquet")}
+
+
+def test_an_update_writes_what_changes_only(spark, tmp_path):
+    store = Store.create(spark, str(tmp_path / "s"), embedder=None)
+    every = [(f"o{i}", f"document {i} " + "word " * 400) for i in range(300)]
+    assert ingest(store, docs(spark, every), build_index=False)[0] == 300
+    before = files(store)
+    ids = {r["origin"]: r["doc_id"] for r in store.table("documents").collect()}
+    assert ingest(store, docs(spark, [("o7", "a new text"), ("o8", every[8][1])]), build_index=False)[0] == 1
+    new = {k: v for k, v in files(store).items() if k not in before}
+    assert sum(new.values()) < sum(before.values()) / 2 and max(new.values()) < 10_000
+    after = {r["origin"]: (r["doc_id"], r["text"]) for r in store.table("documents").collect()}
+    assert len(after) == 300 and after["o7"] == (ids["o7"], "a new text") and {k: v[0] for k, v in after.items()} == ids
+    assert [r["text"] for r in store.table().where("origin = 'o7'").collect()] == ["a new text"]
+    chunks = sorted(map(tuple, store.table().collect()))
+    store.compact()
+    assert sorted(map(tuple, store.table().collect())) == chunks and store._now()["gone"] == []
+    assert store.table("documents").schema["doc_id"].dataType.simpleString() == "bigint"
+
+
+def test_two_writers_at_once(spark, tmp_path):
+    from lexloom.store import StoreConflict
+
+    store = Store.create(spark, str(tmp_path / "s"), embedder=None)
+    one, two = store._now(), store._now()
+    store._commit(one, [], [], [], 1, 1)
+    with pytest.raises(StoreConflict):
+        store._commit(two, [], [], [], 2, 2)
+    assert store._now()["last_doc"] == 1 and not store.release()
+    from lexloom.store import claimed
+
+    assert claimed(spark, store.root, 2)  # a writer that dies now
+    with pytest.raises(StoreConflict):
+        store._commit(store._now(), [], [], [], 3, 3)
+    assert store.release()
+    store._commit(store._now(), [], [], [], 3, 3)
+    assert store._now()["last_doc"] == 3
+
+
+def test_the_index_knows_its_age(spark, store):
+    assert store.index_age() is None
+    with pytest.raises(ValueError, match="no full-text index"):
+        store.index()
+    ingest(store, docs(spark, [("a", "cats")]), prepare(1))
+    assert store.index_age() == 0 and not store.refresh_index()
+    ingest(store, docs(spark, [("b", "cats too")]), prepare(1), build_index=False)
+    assert store.index_age() == 1 and store.retrieve_bm25("cat").count() == 1
+    assert store.refresh_index() and store.retrieve_bm25("cat").count() == 2
+
+
+def test_many_texts_are_retrieved_as_single_ones(spark, store):
+    ingest(store, docs(spark, [(f"o{i}", f"cats {i} and {'dogs ' * (i % 5)} cake") for i in range(20)]), prepare(7))
+    texts = ["cats dogs", "cake", "3"]
+    together = {r["chunk_id"]: (r["cosine_distance"], r["bm25"]) for r in store.retrieve(texts, 4, merge=False).collect()}
+    apart = {}
+    for t in texts:
+        for r in store.retrieve(t, 4, merge=False).collect():
+            apart.setdefault(r["chunk_id"], (r["cosine_distance"], r["bm25"]))
+    assert set(together) == set(apart)
+    for k, v in apart.items():
+        assert [x is None or round(x, 6) for x in together[k]] == [x is None or round(x, 6) for x in v]
+
+
+def test_flat_store_retrieves(spark, tmp_path):
+    store = FlatStore(spark, str(tmp_path / "f"), embedder=Embedder())
+    rows = spark.createDataFrame([("a", "1", "cats and dogs"), ("b", "2", "running horses"), ("c", "3", "cake")], "origin string, hash string, text string")
+    store.update(rows)
+    with pytest.raises(ValueError, match="no full-text index"):
+        store.retrieve_bm25("run")
+    store.build_index()
+    assert [r["origin"] for r in store.retrieve_bm25("run").collect()] == ["b"]
+    assert store.retrieve_vss("cats and dogs", 2).first()["origin"] == "a"
+    both = store.retrieve("cake", 2)
+    assert both.first()["origin"] == "c" and both.columns == ["chunk_id", "origin", "hash", "text", "cosine_distance", "bm25", "rank"]
+    assert store.retrieve("cake", 3, where="origin = 'a'").count() == 1
+    store.update(spark.createDataFrame([("c", "4", "pie")], rows.schema))
+    assert sorted(r["text"] for r in store.table().collect()) == ["cats and dogs", "pie", "running horses"]
