@@ -26,7 +26,8 @@ AXES = ("source", "lang", "topic")
 #: Cells that are raked on the driver at most (three codes and a few numbers each).
 LOCAL_CELLS = 200_000
 NONE = "(none)"
-#: Default targets: shares in proportion to tokens to this power. Share of all tokens to draw at most.
+#: Default targets: shares in proportion to tokens to this power, but none that asks for more than all its tokens. Share of
+#: all tokens to draw at most.
 POWER, KEEP = 0.9, 0.8
 #: Sweeps at most, without and with the bound; the error of a margin's share at which raking, and raking with the bound, ends; the next budget to
 #: try over one whose margins can't be met.
@@ -113,6 +114,17 @@ def rake_cells(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.nda
     return out
 
 
+def tempered(own: np.ndarray, keep: float) -> np.ndarray:
+    """Default target shares of categories with these tokens, where the share `keep` of all tokens is to be drawn."""
+    raw, most, full = own**POWER, own / max(keep * own.sum(), 1e-300), np.zeros(len(own), bool)
+    while True:  # those that would have more than all they have get that, and the others more; there are ever more of them
+        scale = max(1 - most[full].sum(), 0) / max(raw[~full].sum(), 1e-300)
+        now = full | (raw * scale >= most)
+        if (now == full).all():
+            return np.where(full, most, raw * scale)
+        full = now
+
+
 def first_budget(most: float, tokens: np.ndarray, shares: np.ndarray) -> float:
     """The budget up to `most` at which no category has to give more than all its tokens; both are sums by category."""
     some = shares > 0
@@ -165,21 +177,30 @@ def _local(cells: DataFrame, targets: dict[str, dict[str, float]], keep: float)
         codes.append(coded.indices.to_numpy(zero_copy_only=False))
         names = coded.dictionary.to_pylist()
         own = np.bincount(codes[-1], n, len(names))
-        wanted.append(np.array([targets[k].get(v, 0.0) for v in names]) if k in targets else own**POWER)
+        wanted.append(np.array([targets[k].get(v, 0.0) for v in names]) if k in targets else tempered(own, keep))
     shares = rake_cells(n, codes, wanted)
     drawn = drawn_tokens(n, codes, shares, keep * n.sum())
     out = pa.table({**{k: got.column(k) for k in AXES}, "weight": pa.array(shares / (n / max(n.sum(), 1.0))), "probability": pa.array(drawn / np.maximum(n, 1))})
     return cells.sparkSession.createDataFrame(out)
 
 
-def _raked(cells: DataFrame, total: float, targets: dict[str, dict[str, float]]) -> DataFrame:
+def _raked(cells: DataFrame, total: float, targets: dict[str, dict[str, float]], keep: float) -> DataFrame:
     """cells with the column share: rake_cells() as joins of grouped sums; nothing but errors comes to the driver."""
     spark, n = cells.sparkSession, F.col("n").cast("double")
     wanted = {}
     for k in AXES:
         own = cells.groupBy(k).agg(F.sum(n).alias("own"))
-        t = F.pow("own", F.lit(POWER))
-        if k in targets:
+        if k not in targets:  # tempered() by grouped sums
+            own, most, scale, full = checkpointed(own), F.col("own") / max(keep * total, 1e-300), 0.0, -1
+            raw = F.pow("own", F.lit(POWER))
+            while True:
+                over = F.lit(full >= 0) & (raw * scale >= most)
+                held, free, now = own.agg(F.sum(F.when(over, most).otherwise(0.0)), F.sum(F.when(over, 0.0).otherwise(raw)), F.count(F.when(over, 1))).first()
+                if now == full:
+                    break
+                scale, full = max(1 - (held or 0.0), 0) / max(free or 0.0, 1e-300), now
+            t = F.least(raw * scale, most)
+        else:
             named = spark.createDataFrame([(v, max(float(w), 0.0)) for v, w in targets[k].items()], f"{k} string, named double")
             own, t = own.join(F.broadcast(named), k, "left"), F.coalesce("named", F.lit(0.0))
         own = written(own.select(k, t.alias("t")), "mixing-targets")
@@ -202,7 +223,7 @@ def _raked(cells: DataFrame, total: float, targets: dict[str, dict[str, float]])
 def _spread(cells: DataFrame, total: float, targets: dict[str, dict[str, float]], keep: float) -> DataFrame:
     """_local() for any number of cells: drawn_tokens() as joins of grouped sums."""
     n, z = F.col("n").cast("double"), F.col("z")
-    shares = _raked(cells, total, targets)
+    shares = _raked(cells, total, targets, keep)
     margins, budget = {}, keep * total
     for k in AXES:
         margins[k] = written(shares.groupBy(k).agg(F.sum("share").alias("m"), F.sum(n).alias("held")), "mixing-margins")
@@ -236,7 +257,8 @@ def planned(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None,
     """(id, h, source, lang, topic, tokens, weight, probability, selected) per input row; h is a hash of id and text.
 
     targets: for source, lang and topic, category -> weight; a category that isn't named there has weight 0 (``(none)``
-    stands for null). Without targets for one of them, its weights are its tokens to the power POWER. weight is the raked
+    stands for null). Without targets for one of them, its weights are its tokens to the power POWER, but none so high
+    that the budget would take more than all its tokens. weight is the raked
     share over the share of tokens; probability is what the documents of the cell are drawn with. Inside a stratum (cell and
     power of two of tokens) documents are taken at even steps in the order of a hash, so that about as many are selected as
     expected. Rows with the same id and text go together; null and empty texts count one token. Without a topic column the
