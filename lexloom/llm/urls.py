@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small
+from .common import fresh, small
 
 #: Bits per listed key; a block has four 64-bit words and each key sets one bit in each of them.
 BITS_PER_KEY, WORDS = 16, 4
@@ -75,7 +75,8 @@ def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
     A null URL or one without ``://`` has an empty host and path and fits only an entry with an empty host.
     A URL that no entry fits is not listed: verdict allow. Entries with the same host and path: block wins; of
     fitting entries with equally long host + path, the one with the longer host. An empty list allows all.
-    Repeated rows are judged alike and kept; input columns named host, path, rule or verdict are replaced.
+    Repeated rows are judged alike and kept; input columns named host, path, rule or verdict are replaced,
+    any others kept.
     """
     kept = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
     rules = (
@@ -114,9 +115,10 @@ def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
         possible = each.join(words, "block").where(_passes(F.col("key"), F.col("words"))).select("host", "path", "key")
     best = F.max(F.struct(F.length("rule").alias("len"), "host_len", "rule", "verdict")).alias("best")
     fits = possible.join(small(rules, shape["n"]), "key").groupBy("host", "path").agg(best)
-    fits = fits.select(F.col("host").alias("__h"), F.col("path").alias("__p"), F.col("best.rule").alias("__r"), F.col("best.verdict").alias("__v"))
-    out = with_parts.join(fits, (F.col("host") == F.col("__h")) & (F.col("path") == F.col("__p")), "left")
-    return out.select(*kept, "host", "path", F.col("__r").alias("rule"), F.coalesce("__v", F.lit("allow")).alias("verdict"))
+    h, p, r, v = fresh(with_parts, "__h", "__p", "__r", "__v")
+    fits = fits.select(F.col("host").alias(h), F.col("path").alias(p), F.col("best.rule").alias(r), F.col("best.verdict").alias(v))
+    out = with_parts.join(fits, (F.col("host") == F.col(h)) & (F.col("path") == F.col(p)), "left")
+    return out.select(*kept, "host", "path", F.col(r).alias("rule"), F.coalesce(v, F.lit("allow")).alias("verdict"))
 
 
 def _passes(key: Column, words: Column) -> Column:

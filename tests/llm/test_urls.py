@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexloom.llm import urls
 
@@ -63,3 +64,22 @@ def test_empty_tables_nulls_and_clashing_names(spark):
 def test_the_plan_is_native(spark, sf, word):
     pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
     assert word not in urls.judge(pages, urls.rule_table(spark))._jdf.queryExecution().toString()
+
+
+def test_columns_with_the_operator_s_own_names_are_kept(spark):
+    rows = spark.createDataFrame([("http://a.com/en/1", 1, 2, 3, 4, "x"), (None, 1, 2, 3, 4, "x")], "url string, `__h` int, `__p` int, `__r` int, `__v` int, `key` string")
+    got = urls.judge(rows, urls.rule_table(spark)).orderBy(F.desc("url")).collect()
+    assert [(r["rule"], r["verdict"]) for r in got] == [("com/en/", "block"), (None, "allow")]
+    assert all((r["__h"], r["__p"], r["__r"], r["__v"], r["key"]) == (1, 2, 3, 4, "x") for r in got)
+
+
+def test_the_query_against_its_sql(spark, sf):
+    import duckdb
+
+    from lexloom.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{sf}/pages.parquet'")
+    got = queries.QUERIES["op10_url_filter"](spark, sf)
+    want = con.execute(f"select {', '.join(got.columns)} from ({queries.ORACLE_SQL['op10_url_filter']})").fetchall()
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
