@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, media, mixing, packing, quality, simhash, toxicity, urls, warc
+from . import chat, fingerprints, media, mixing, packing, quality, repair, simhash, sql, toxicity, urls, warc
 from .common import table, written
 
 
@@ -62,6 +62,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, urls.rule_table(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repair.repair_rows(repair.damaged(turns), turns.select(F.col("conv_id").alias("conv"))).drop("n_parts")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_media_columns": op2_media_columns,
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_capture_index": op8_warc_capture_index,
     "op9_chat_transcripts": op9_chat_transcripts,
     "op10_url_filter": op10_url_filter,
+    "op11_structure_repair": op11_structure_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -106,4 +112,5 @@ WITH u AS (
 SELECT h.page_id, h.host, h.path, m.best.rule AS rule, coalesce(m.best.verdict, 'allow') AS verdict
 FROM h JOIN m ON h.page_id IS NOT DISTINCT FROM m.page_id AND h.host = m.host AND h.path = m.path
 """,
+    "op11_structure_repair": sql.STRUCTURE_REPAIR,
 }
