@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, media, mixing, packing, quality, repair, simhash, sql, toxicity, urls, warc
+from . import chat, fingerprints, media, mixing, packing, quality, repair, simhash, spelling, sql, toxicity, urls, warc
 from .common import table, written
 
 
@@ -67,6 +67,11 @@ def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_rows(repair.damaged(turns), turns.select(F.col("conv_id").alias("conv"))).drop("n_parts")
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spelling.variants(spelling.dictionary(spelling.damaged(runs)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_media_columns": op2_media_columns,
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_transcripts": op9_chat_transcripts,
     "op10_url_filter": op10_url_filter,
     "op11_structure_repair": op11_structure_repair,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -113,4 +119,5 @@ SELECT h.page_id, h.host, h.path, m.best.rule AS rule, coalesce(m.best.verdict,
 FROM h JOIN m ON h.page_id IS NOT DISTINCT FROM m.page_id AND h.host = m.host AND h.path = m.path
 """,
     "op11_structure_repair": sql.STRUCTURE_REPAIR,
+    "op13_spelling_variants": sql.SPELLING_VARIANTS,
 }

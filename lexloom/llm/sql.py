@@ -4,10 +4,15 @@ from __future__ import annotations
 
 
 def crc32(text: str) -> str:
-    """CRC-32 of an ASCII string, bit by bit."""
-    bits = f"flatten([[(ascii(c) >> k) & 1 for k in range(8)] for c in string_split({text}, '')])"
-    step = "xor(c >> 1, CASE WHEN xor(c, b) & 1 = 1 THEN 3988292384 ELSE 0 END)"
-    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}::BIGINT[]), lambda c, b: {step}), 4294967295)"
+    """CRC-32 of a string in UTF-8, four bits of it at a time."""
+    table = []
+    for k in range(16):
+        for _ in range(4):
+            k = k >> 1 ^ (0xEDB88320 if k & 1 else 0)
+        table.append(k)
+    digits = f"hex(encode({text}))"  # the low half of each byte comes first
+    halves = f"[strpos('0123456789ABCDEF', {digits}[CASE WHEN i % 2 = 1 THEN i + 1 ELSE i - 1 END]) - 1 for i in range(1, length({digits}) + 1)]"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {halves}::BIGINT[]), lambda c, b: xor(c >> 4, {table}[(xor(c, b) & 15) + 1])), 4294967295)"
 
 
 STRUCTURE_REPAIR = rf"""
@@ -71,3 +76,34 @@ SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM (SELECT DISTINCT conv_id FROM conversations) c
 LEFT JOIN counted k ON k.conv = coalesce(c.conv_id::VARCHAR, 'null') LEFT JOIN whole w ON w.conv = coalesce(c.conv_id::VARCHAR, 'null')
 """
+
+SPELLING_VARIANTS = rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[a-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents
+), per_document AS (
+  SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY ALL
+), hashed AS (
+  SELECT run, n, {crc32("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM per_document
+), words AS MATERIALIZED (
+  SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word,
+         sum(n)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5
+), without AS MATERIALIZED (
+  SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT *, unnest(range(length(word))) AS i FROM words)
+), near AS MATERIALIZED (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM without a JOIN without b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM without a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM without a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, n, count(*) AS n_near, min({{'minus': -other_n, 'form': other}}) AS b FROM near GROUP BY word, n
+), forms AS MATERIALIZED (
+  SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.minus >= 5 * words.n THEN b.form END AS form,
+         CASE WHEN -b.minus >= 5 * words.n THEN -b.minus END::BIGINT AS form_n
+  FROM words LEFT JOIN best ON words.word = best.word
+), chain(word, root) AS (
+  SELECT word, word FROM forms UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON c.root = f.word WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n
+FROM forms f JOIN chain c ON c.word = f.word JOIN forms e ON e.word = c.root AND e.form IS NULL
+"""
