@@ -190,21 +190,51 @@ class Model:
 _loaded: dict[str, Model] = {}
 
 
-def _shard(path: str, shard: int, shards: int) -> Model:
+def shard_rows(path: str, shard: int, counts: list[int], schema: pa.Schema) -> pa.Table:
+    """The rows of a shard; fewer or more than were written raise OSError."""
+    rows = read_table(f"{path}/shard={shard}") if counts[shard] else schema.empty_table()
+    if rows.num_rows != counts[shard]:
+        raise OSError(f"{path}/shard={shard} has {rows.num_rows} rows instead of {counts[shard]}")
+    return rows
+
+
+def written_shards(rows: DataFrame, by: Column, name: str, most: int | None = None) -> tuple[str, list[int]]:
+    """(folder, rows of each shard): shards of about SHARD_ROWS rows, numbered by a column, whatever partitions write them."""
+    spark = rows.sparkSession
+    ready(spark)
+    shards = max(1, -(-rows.count() // (most or SHARD_ROWS)))
+    path = new_folder(spark, name)
+    dealt = rows.withColumn("shard", F.pmod(by, F.lit(shards)).cast("int"))
+    dealt.repartition(shards, "shard").write.partitionBy("shard").parquet(path)
+    # counted in what went in, so that a shard that lacks rows is told
+    found = {r["shard"]: r["n"] for r in dealt.groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    return path, [found.get(i, 0) for i in range(shards)]
+
+
+MODEL = pa.schema([("gram", pa.bool_()), ("k", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()), ("value", pa.float32())])
+
+
+def model_shards(model: DataFrame) -> tuple[str, list[int]]:
+    return written_shards(model, F.xxhash64("hi", "lo"), "quality-shards")
+
+
+def _shard(path: str, shard: int, counts: list[int]) -> Model:
     """A shard from the shared folder; a worker keeps the last one."""
     name = f"{path}/shard={shard}"
     if name not in _loaded:
         _loaded.clear()
-        _loaded[name] = Model(read_table(name), shards == 1)
+        _loaded[name] = Model(shard_rows(path, shard, counts, MODEL), len(counts) == 1)
     return _loaded[name]
 
 
-def _score(path: str, shards: int):
+def _score(path: str, counts: list[int]):
+    shards = len(counts)
+
     def scored(run: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = [_words(part.column("text")) for part in run]
         sums, n = [np.zeros(len(words)) for words, _, _ in cut], [None] * len(cut)
         for shard in range(shards):
-            model = _shard(path, shard, shards)
+            model = _shard(path, shard, counts)
             for i, (words, _, _) in enumerate(cut):
                 log_p, n[i] = model.log_probabilities(words)
                 sums[i] += log_p
@@ -236,13 +266,8 @@ def perplexities(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     ready(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), text_of(text_col).alias("text"), row_hash(id_col, text_col).alias("h"))
-    shards = max(1, -(-model.count() // SHARD_ROWS))
-    path = new_folder(spark, "quality-shards")
-    model.repartition(shards, "hi", "lo").withColumn("shard", F.spark_partition_id()).write.partitionBy("shard").parquet(path)
-    for shard in range(shards):  # a shard without rows has no folder otherwise
-        if shards > 1 or model.isEmpty():
-            model.where("false").write.mode("append").parquet(f"{path}/shard={shard}")
-    scored = rows.mapInArrow(_score(path, shards), f"id {kind}, lang string, h long, log_p double, n long")
+    path, counts = model_shards(model)
+    scored = rows.mapInArrow(_score(path, counts), f"id {kind}, lang string, h long, log_p double, n long")
     value = F.when(F.col("n") > 0, F.exp(F.least(-F.col("log_p") / F.col("n"), F.lit(700.0))))
     return scored.select("id", "lang", "h", F.col("n").alias("n_symbols"), value.alias("perplexity"))
 

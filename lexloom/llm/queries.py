@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, media, mixing, packing, quality, repair, simhash, spelling, sql, toxicity, urls, warc
+from . import chat, fingerprints, media, mixing, packing, pitman, quality, repair, simhash, spelling, sql, toxicity, urls, warc
 from .common import table, written
 
 
@@ -67,6 +67,10 @@ def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_rows(repair.damaged(turns), turns.select(F.col("conv_id").alias("conv"))).drop("n_parts")
 
 
+def op12_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman.score(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = spelling.runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return spelling.variants(spelling.dictionary(spelling.damaged(runs)))
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_transcripts": op9_chat_transcripts,
     "op10_url_filter": op10_url_filter,
     "op11_structure_repair": op11_structure_repair,
+    "op12_pitman_yor": op12_pitman_yor,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
