@@ -6,8 +6,9 @@ distribution over the words of the training text and one more that stands for al
 another. So the probabilities after each word sum to one, over the same events that the base score counts.
 
 A sweep draws, for each restaurant and dish, at how many tables its customers sit, given the probability of the dish in the
-parent and the tables of the restaurant's other dishes: exactly, from the generalised Stirling numbers, up to EXACT customers;
-those beyond arrive in steps of a tenth. All pairs are drawn at once from what the sweep before left, and draws come from hashes
+parent and the tables of the restaurant's other dishes: exactly, from the generalised Stirling numbers, up to EXACT customers.
+Of more, each table in front of those that come after the first EXACT weighs (EXACT / customers) ** discount, and their new tables
+are a Poisson number, which is the limit of the exact distribution. All pairs are drawn at once from what the sweep before left, and draws come from hashes
 of pair and sweep, so that they don't depend on how rows are dealt and a lost task draws the same. After BURN_IN sweeps, the
 predictive probabilities of SAMPLES of them are averaged, and texts are scored with the averages.
 
@@ -47,8 +48,8 @@ from .quality import shard_rows, written_shards
 BURN_IN, SAMPLES = 2, 3
 #: Strength of all restaurants. Discounts come from how many counts are one and two.
 STRENGTH = 1.0
-#: Customers of a dish up to which tables are drawn from their exact distribution, and growth of the steps beyond.
-EXACT, STEP = 64, 1.1
+#: Customers of a dish up to which tables are drawn from their exact distribution.
+EXACT = 64
 #: One in so many documents is held out, by a hash of the id.
 FOLDS, APART = 7, 2
 #: Text bytes of a slice, tokens for which there is a bucket, words of a shard and of a range, about; contexts that are split.
@@ -125,7 +126,9 @@ def seat(customers: np.ndarray, others: np.ndarray, parent: np.ndarray, discount
     of the other dishes of its restaurant."""
     out = np.ones(len(customers), np.int64)
     table = stirling(discount, EXACT)
-    log_p, u = np.log(parent), _uniform(key, sweep, 0)
+    fade = np.where(customers > EXACT, (EXACT / np.maximum(customers, 1)) ** discount, 1.0)
+    later = parent * (1 - fade)  # that a table makes later ones likelier is in its weight too
+    log_p, u = np.log(parent * fade / (1 - later)), _uniform(key, sweep, 0)
     exact = np.minimum(customers, EXACT)
     for c in np.unique(exact[exact > 1]):
         at = np.flatnonzero(exact == c)
@@ -134,16 +137,9 @@ def seat(customers: np.ndarray, others: np.ndarray, parent: np.ndarray, discount
             score = table[c, 1 : c + 1] + np.cumsum(opened, axis=1) + log_p[some][:, None] * np.arange(1, c + 1)
             share = np.cumsum(np.exp(score - score.max(axis=1, keepdims=True)), axis=1)
             out[some] = 1 + (share < u[some][:, None] * share[:, -1:]).sum(axis=1)
-    todo, n, k = np.flatnonzero(customers > EXACT), float(EXACT), 0
-    while len(todo):
-        k += 1
-        upto = np.minimum(np.floor(n * STEP), customers[todo])
-        a = (strength + discount * (others[todo] + out[todo])) * parent[todo]
-        seated = n - discount * out[todo]
-        new = _poisson(a * np.log1p((upto - n) / (seated + a)), key[todo], 1000 * sweep + k)
-        out[todo] += np.minimum(new, (upto - n).astype(np.int64))
-        n = float(np.floor(n * STEP))
-        todo = todo[customers[todo] > n]
+    more = np.flatnonzero(customers > EXACT)
+    mean = (strength / discount + others[more] + out[more]) * later[more] / (1 - later[more])
+    out[more] += np.minimum(_poisson(mean, key[more], 1000 * sweep), customers[more] - EXACT)
     return out
 
 
@@ -197,9 +193,11 @@ def _distinct(values: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.n
 
 @dataclass
 class Sizes:
-    """Numbers that tasks need: training tokens, different words, number of the end of a text, buckets, ranges; then, of a sweep, the
+    """Numbers that tasks need: words of a range and contexts that are split; training tokens, different words, number of the end of a text, buckets, ranges; then, of a sweep, the
     customers and tables of all words without context; discounts; samples in the sums of averages."""
 
+    range: int
+    hot: int
     tokens: int
     words: int
     end: int = 0
@@ -212,32 +210,28 @@ class Sizes:
     end_count: int = 0
     unknown_sum: float = 0.0
 
-    @property
-    def ranges(self) -> int:
-        return -(-self.words // RANGE)
-
     def predicted(self, customers, tables):
         """Probability of words without context."""
         rest = (STRENGTH + self.d_words * self.tables) / (self.words + 1)
         return (customers - self.d_words * tables + rest) / (STRENGTH + self.customers)
 
 
-def _look(path: str, numbers: np.ndarray, names: list[str]) -> list[np.ndarray]:
+def _look(path: str, sizes: Sizes, numbers: np.ndarray, names: list[str]) -> list[np.ndarray]:
     """What the ranges have of sorted numbers."""
     out = [np.zeros(len(numbers), np.float64 if x.endswith("_sum") else np.int64) for x in names]
-    cuts = np.flatnonzero(np.diff(numbers // RANGE)) + 1
+    cuts = np.flatnonzero(np.diff(numbers // sizes.range)) + 1
     for lo, hi in zip([0, *cuts], [*cuts, len(numbers)]):
         if hi > lo:
-            r = int(numbers[lo]) // RANGE
+            r = int(numbers[lo]) // sizes.range
             (row,) = _piece(f"{path}/range={r}", names)
             for o, x in zip(out, names):
-                o[lo:hi] = unpack(row[x], o.dtype)[numbers[lo:hi] - r * RANGE]
+                o[lo:hi] = unpack(row[x], o.dtype)[numbers[lo:hi] - r * sizes.range]
     return out
 
 
-def _buckets_of(pairs: np.ndarray, buckets: int) -> np.ndarray:
+def _buckets_of(pairs: np.ndarray, sizes: Sizes) -> np.ndarray:
     context = pairs >> 32
-    return (mixed(np.where(context < HOT, pairs, context)) % np.uint64(buckets)).astype(np.int64)
+    return (mixed(np.where(context < sizes.hot, pairs, context)) % np.uint64(sizes.buckets)).astype(np.int64)
 
 
 def _pairs(numbers: np.ndarray, before: np.ndarray, sizes: Sizes) -> tuple[np.ndarray, np.ndarray]:
@@ -249,7 +243,7 @@ def _pairs(numbers: np.ndarray, before: np.ndarray, sizes: Sizes) -> tuple[np.nd
 def _by_bucket(pairs: np.ndarray, weights: np.ndarray, sizes: Sizes) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Different pairs in order and their weights, by bucket."""
     pairs, weights = _distinct(pairs, weights)
-    bucket = _buckets_of(pairs, sizes.buckets)
+    bucket = _buckets_of(pairs, sizes)
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(sizes.buckets + 1))
     for b in range(sizes.buckets):
@@ -326,23 +320,23 @@ def _ask(sizes: Sizes):
     return run
 
 
-def _sums(numbers: np.ndarray, tables: np.ndarray, what: str) -> list[dict]:
+def _sums(numbers: np.ndarray, tables: np.ndarray, what: str, size: int) -> list[dict]:
     numbers, tables = _distinct(numbers, tables)
-    cuts = np.flatnonzero(np.diff(numbers // RANGE)) + 1
-    return [{"range": int(numbers[lo]) // RANGE, "what": what, "numbers": pack_sorted(numbers[lo:hi]), "tables": pack(tables[lo:hi])} for lo, hi in zip([0, *cuts], [*cuts, len(numbers)]) if hi > lo]
+    cuts = np.flatnonzero(np.diff(numbers // size)) + 1
+    return [{"range": int(numbers[lo]) // size, "what": what, "numbers": pack_sorted(numbers[lo:hi]), "tables": pack(tables[lo:hi])} for lo, hi in zip([0, *cuts], [*cuts, len(numbers)]) if hi > lo]
 
 
 SUMS = pa.list_(pa.struct([("range", pa.int32()), ("what", pa.string()), ("numbers", pa.binary()), ("tables", pa.binary())]))
 BUCKETS = "bucket int, pairs binary, n binary, t binary, t_sum binary, ones long, twos long, sums array<struct<range: int, what: string, numbers: binary, tables: binary>>"
 
 
-def _bucket_row(bucket: int, pairs, n, t, t_sum) -> pa.RecordBatch:
-    sums = _sums(pairs & 0xFFFFFFFF, t, "word") + _sums(pairs >> 32, t, "context")
+def _bucket_row(sizes: Sizes, bucket: int, pairs, n, t, t_sum) -> pa.RecordBatch:
+    sums = _sums(pairs & 0xFFFFFFFF, t, "word", sizes.range) + _sums(pairs >> 32, t, "context", sizes.range)
     row = [pa.array([bucket], pa.int32()), *(pa.array([x], pa.binary()) for x in (pack_sorted(pairs), pack(n), pack(t), pack(t_sum)))]
     return pa.RecordBatch.from_arrays([*row, pa.array([int((n == 1).sum())]), pa.array([int((n == 2).sum())]), pa.array([sums], SUMS)], ["bucket", "pairs", "n", "t", "t_sum", "ones", "twos", "sums"])
 
 
-def _count(asked: str):
+def _count(asked: str, sizes: Sizes):
     """Pairs of a bucket with a table each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,7 +345,7 @@ def _count(asked: str):
                 rows = _piece(f"{asked}/bucket={bucket}", ["pairs", "n"])
                 pairs, n = _distinct(np.concatenate([unpack_sorted(r["pairs"]) for r in rows]), np.concatenate([unpack(r["n"], np.int64) for r in rows]))
                 pairs, n = pairs[n > 0], n[n > 0]
-                yield _bucket_row(bucket, pairs, n, np.ones(len(n), np.int64), np.zeros(len(n), np.int64))
+                yield _bucket_row(sizes, bucket, pairs, n, np.ones(len(n), np.int64), np.zeros(len(n), np.int64))
 
     return run
 
@@ -366,10 +360,10 @@ def _sit(seated: str, ranges: str, sizes: Sizes, sweep: int):
                 pairs, n, t, t_sum = unpack_sorted(row["pairs"]), *(unpack(row[x], np.int64) for x in ("n", "t", "t_sum"))
                 words, of_word = np.unique(pairs & 0xFFFFFFFF, return_inverse=True)
                 contexts, of_context = np.unique(pairs >> 32, return_inverse=True)
-                p = sizes.predicted(*_look(ranges, words, ["customers", "tables"]))
-                (in_context,) = _look(ranges, contexts, ["opened"])
+                p = sizes.predicted(*_look(ranges, sizes, words, ["customers", "tables"]))
+                (in_context,) = _look(ranges, sizes, contexts, ["opened"])
                 t = seat(n, in_context[of_context] - t, p[of_word], sizes.d_pairs, pairs, 2 * sweep)
-                yield _bucket_row(bucket, pairs, n, t, t_sum + t if sizes.samples else t_sum)
+                yield _bucket_row(sizes, bucket, pairs, n, t, t_sum + t if sizes.samples else t_sum)
 
     return run
 
@@ -382,10 +376,10 @@ def _total(sizes: Sizes, before: str | None, sweep: int):
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         r = int(key[0])
-        long = min(RANGE, sizes.words - r * RANGE)
+        long = min(sizes.range, sizes.words - r * sizes.range)
         sums = {"word": np.zeros(long, np.int64), "context": np.zeros(long, np.int64)}
         for what, numbers, tables in zip(group["what"], group["numbers"], group["tables"]):
-            sums[what][unpack_sorted(numbers) - r * RANGE] += unpack(tables, np.int64)
+            sums[what][unpack_sorted(numbers) - r * sizes.range] += unpack(tables, np.int64)
         customers, opened = sums["word"], sums["context"]
         p_sum, opened_sum = np.zeros(long), np.zeros(long)
         if before is None:
@@ -399,7 +393,7 @@ def _total(sizes: Sizes, before: str | None, sweep: int):
             if sizes.samples:
                 opened_sum = opened_sum + opened
             one = np.full(long, 1 / (sizes.words + 1))
-            tables = seat(customers, sizes.tables - old, one, sizes.d_words, np.arange(long) + r * RANGE, 2 * sweep + 1)
+            tables = seat(customers, sizes.tables - old, one, sizes.d_words, np.arange(long) + r * sizes.range, 2 * sweep + 1)
         row = [r, b"", *(pack(x) for x in (customers, tables, opened, p_sum, opened_sum))]
         return pd.DataFrame([row], columns=["range", "n", "customers", "tables", "opened", "p_sum", "opened_sum"])
 
@@ -431,7 +425,7 @@ def _sum(answers: str, ranges: str, sizes: Sizes, kind: pa.DataType):
         before = _before(numbers, sizes)
         listed, place = np.unique(numbers, return_inverse=True)
         known = listed[listed < sizes.words]
-        customers, tables, p_sum, n, opened = _look(ranges, known, ["customers", "tables", "p_sum", "n", "opened_sum"])
+        customers, tables, p_sum, n, opened = _look(ranges, sizes, known, ["customers", "tables", "p_sum", "n", "opened_sum"])
         p, rest = np.full(len(listed), sizes.unknown_sum / sizes.samples), np.ones(len(listed))
         p[: len(known)] = (p_sum + sizes.predicted(customers, tables)) / sizes.samples
         rest[: len(known)] = (STRENGTH + sizes.d_pairs * opened / sizes.samples) / (STRENGTH + n)
@@ -479,7 +473,7 @@ def _dictionary(docs: DataFrame) -> tuple[DataFrame, Sizes] | None:
     starts = np.concatenate([[0], np.cumsum([r["rows"] for r in sizes])]).tolist()
     starts = docs.sparkSession.createDataFrame([(r["part"], s) for r, s in zip(sizes, starts)], "in_part long, start long")
     numbered = rows.join(F.broadcast(starts), F.col("part") == F.col("in_part")).select("word", (F.col("start") + F.col("row")).alias("number"), "n")
-    known = Sizes(sum(r["n"] for r in sizes), sum(r["rows"] for r in sizes))
+    known = Sizes(RANGE, HOT, sum(r["n"] for r in sizes), sum(r["rows"] for r in sizes))
     end = numbered.where("word = ''").first()
     known.end, known.end_count = end["number"], end["n"]
     return numbered, known
@@ -490,21 +484,21 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys(b.column("word"))), b.column("number"), b.column("n")], ["key", "number", "n"])
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = _sums(b.column("number").to_numpy(), b.column("n").to_numpy(), "n")
-        yield pa.RecordBatch.from_pylist(rows, pa.schema(list(SUMS.value_type)))
-
-
 def _with_counts(ranges: DataFrame, words: DataFrame, sizes: Sizes) -> DataFrame:
     """ranges with n of their words."""
-    sums = words.mapInArrow(_counts, "range int, what string, numbers binary, tables binary")
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = _sums(b.column("number").to_numpy(), b.column("n").to_numpy(), "n", sizes.range)
+            yield pa.RecordBatch.from_pylist(rows, pa.schema(list(SUMS.value_type)))
+
+    sums = words.mapInArrow(counts, "range int, what string, numbers binary, tables binary")
 
     def total(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         r = int(key[0])
-        n = np.zeros(min(RANGE, sizes.words - r * RANGE), np.int64)
+        n = np.zeros(min(sizes.range, sizes.words - r * sizes.range), np.int64)
         for numbers, counts in zip(group["numbers"], group["tables"]):
-            n[unpack_sorted(numbers) - r * RANGE] += unpack(counts, np.int64)
+            n[unpack_sorted(numbers) - r * sizes.range] += unpack(counts, np.int64)
         return pd.DataFrame([[r, pack(n)]], columns=["of", "counts"])
 
     counted = sums.groupBy("range").applyInPandas(total, "of int, counts binary")
@@ -556,7 +550,7 @@ def _sample(spark: SparkSession, asked: str, words: DataFrame, sizes: Sizes, bur
     buckets, seated, ranges = _bucket_list(spark, asked, sizes), None, None
     for sweep in range(burn_in + samples + 1):
         sizes.samples = max(sweep - burn_in, 0)
-        step = _count(asked) if sweep == 0 else _sit(seated, ranges, sizes, sweep)
+        step = _count(asked, sizes) if sweep == 0 else _sit(seated, ranges, sizes, sweep)
         seated = _dealt(buckets.mapInArrow(step, BUCKETS), "bucket", "pitman-seated")
         done = spark.read.parquet(seated)
         if sweep == 0:

@@ -131,18 +131,23 @@ def test_seats_are_drawn_from_their_distribution(discount, strength, others, p):
         assert np.mean(t == k) == pytest.approx(weight[k] / total, abs=0.005)
 
 
-def test_many_customers_arrive_in_steps():
-    """Beyond EXACT, steps agree with the exact distribution of as many."""
-    n = 3000
-    args = (np.full(n, 300), np.full(n, 50), np.full(n, 0.05), 0.7, np.arange(n))
-    steps = pitman.seat(*args, 1)
-    table = pitman.stirling(0.7, 300)
-    score = table[300, 1:] + np.cumsum(np.log(1 + 0.7 * (50 + np.arange(300)))) + np.log(0.05) * np.arange(1, 301)
+@pytest.mark.parametrize("c, others, p, discount", [(65, 50, 0.05, 0.7), (300, 50, 0.05, 0.7), (2000, 3000, 0.02, 0.75), (2000, 20, 0.3, 0.2)])
+def test_many_customers(c, others, p, discount):
+    """Beyond EXACT, against the exact distribution of as many."""
+    n = 4000
+    t = pitman.seat(np.full(n, c), np.full(n, others), np.full(n, p), discount, np.arange(n), 1)
+    score = pitman.stirling(discount, c)[c, 1:] + np.cumsum(np.log(1 + discount * (others + np.arange(c)))) + np.log(p) * np.arange(1, c + 1)
     share = np.exp(score - score.max())
     share /= share.sum()
-    mean = (share * np.arange(1, 301)).sum()
-    assert steps.mean() == pytest.approx(mean, rel=0.1)
-    assert pitman.seat(np.array([10**12]), np.array([10**6]), np.array([1e-3]), 0.7, np.array([1]), 1)[0] < 10**9
+    mean = (share * np.arange(1, c + 1)).sum()
+    spread = math.sqrt((share * (np.arange(1, c + 1) - mean) ** 2).sum())
+    assert t.mean() == pytest.approx(mean, rel=0.03)
+    assert t.std() == pytest.approx(spread, rel=0.15)
+
+
+def test_a_very_frequent_dish():
+    t = pitman.seat(np.array([10**12]), np.array([10**6]), np.array([1e-3]), 0.7, np.array([1]), 1)
+    assert 500 < t[0] < 2000
 
 
 def test_odd_rows(spark, odd, none):

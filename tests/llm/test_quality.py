@@ -153,3 +153,24 @@ def test_odd_rows(spark, odd, none):
     assert all(r["keep"] and r["perplexity"] is None for r in got if r["id"] in (3, 4, 5))
     assert all(r["keep"] for r in quality.classify(odd, quality.trusted_ids(labels.where("false"))).collect())
     assert quality.classify(none, quality.trusted_ids(labels)).count() == 0
+
+
+def test_any_number_of_partitions_gives_the_same(spark, model, monkeypatch):
+    """More partitions than shards, or fewer, leave no row of the model unread."""
+    from pyspark.sql import DataFrame
+
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(TEXTS)], "doc_id long, text string, lang string")
+    found = lambda: {r["id"]: r["perplexity"] for r in quality.perplexities(docs, model).collect()}
+    whole, given = found(), DataFrame.repartition
+    for rows in (quality.SHARD_ROWS, model.count() // 4):
+        monkeypatch.setattr(quality, "SHARD_ROWS", rows)
+        for n in (1, 97):
+            monkeypatch.setattr(DataFrame, "repartition", lambda self, k, *by, n=n: given(self, n, *by))
+            assert found() == pytest.approx(whole, rel=1e-5)
+            monkeypatch.setattr(DataFrame, "repartition", given)
+
+
+def test_rows_that_are_missing_are_told(spark, model):
+    path, counts = quality.model_shards(model)
+    with pytest.raises(OSError):
+        quality.shard_rows(path, 0, [counts[0] + 1], quality.MODEL)
