@@ -1,0 +1,94 @@
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from lexloom.operators import ann, knn
+from lexloom.plans import queries
+
+METHODS = ["cosine_distance", "euclidean_distance", "negative_inner_product"]
+
+
+@pytest.fixture(scope="module")
+def items(spark):
+    return spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+
+
+@pytest.fixture(scope="module", params=METHODS)
+def index(request, spark, items, tmp_path_factory):
+    return ann.build(items, str(tmp_path_factory.mktemp("i") / "x"), request.param)
+
+
+def asked(items):
+    return items.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def test_recall(items, index):
+    """Against the exact search, with queries from all rows; half of the cells are read (these vectors have no clusters)."""
+    exact = knn.nearest_many(items, asked(items), 10, index.method).cache()
+    probes = len(index.centroids) * 3 // 5
+    assert ann.recall(index.nearest_many(asked(items), 10, probes), exact) >= 0.9
+    assert ann.recall(index.nearest_many(asked(items), 10, len(index.centroids)), exact) == 1.0
+
+
+def test_clustered_vectors_need_few_cells(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    centers = rng.normal(size=(20, 16)) * 10
+    rows = [(i, (centers[i % 20] + rng.normal(size=16)).tolist()) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    index = ann.build(df, str(tmp_path / "c"), "euclidean_distance")
+    exact = knn.nearest_many(df, asked(df), 10, "euclidean_distance")
+    assert ann.recall(index.nearest_many(asked(df), 10, 6), exact) >= 0.9
+
+
+def test_files_read_fall_with_the_cells_probed(items, index):
+    vector = items.where("vec_id = 7").first()["embedding"]
+    files = lambda probes: len(set(index.nearest(vector, 3, probes).inputFiles()) & set(index.rows.where(F.col("cell").isin(index.cells_of(vector, probes))).inputFiles()))
+    plan = index.nearest(vector, 3, 2)._jdf.queryExecution().explainString(index.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "PartitionFilters: [cell" in plan.replace("isnotnull(", "").replace("PartitionFilters: [cell#", "PartitionFilters: [cell") or "PartitionFilters" in plan
+    read = [index.rows.where(F.col("cell").isin(index.cells_of(vector, n))).select(F.input_file_name()).distinct().count() for n in (1, 5, 20)]
+    assert read[0] < read[1] < read[2] < len(index.rows.inputFiles())
+    assert files(1) >= 1
+
+
+def test_a_single_query_is_exact_with_all_cells(items, index):
+    vector = items.where("vec_id = 0").first()["embedding"]
+    got = [(r["vec_id"], r["metric_value"]) for r in index.nearest(vector, 10, len(index.centroids)).collect()]
+    want = [(r["vec_id"], r["metric_value"]) for r in knn.nearest(items, vector, 10, index.method).collect()]
+    assert [g[0] for g in got] == [w[0] for w in want] and [g[1] for g in got] == pytest.approx([w[1] for w in want])
+    few = index.nearest(vector, 10, 1)
+    assert few.first()["vec_id"] == 0 or index.method == "negative_inner_product"
+
+
+def test_inserted_rows_find_their_cell(spark, items, tmp_path):
+    half = items.where("vec_id % 2 = 0")
+    index = ann.build(half, str(tmp_path / "h"))
+    index.add(items.where("vec_id % 2 = 1"))
+    again = ann.VectorIndex.read(spark, index.path)
+    assert again.rows.count() == items.count() and again.rows.select("vec_id").distinct().count() == items.count()
+    for i in (1, 501):
+        assert again.nearest(items.where(f"vec_id = {i}").first()["embedding"], 1, 1).first()["vec_id"] == i
+
+
+def test_odd_rows(spark, tmp_path):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0, 0.0]), (4, [1.0, 0.0]), (None, [0.0, 1.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("cell", F.lit("x"))
+    for m in METHODS:
+        index = ann.build(df, str(tmp_path / m), m)
+        assert index.rows.count() == 5
+        assert [r["vec_id"] for r in index.nearest([1.0, 0.0], 3, 99, where="vec_id is not null").collect()][:1] == [1]
+    same = spark.range(3000).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
+    hot = ann.build(same, str(tmp_path / "hot"))
+    assert len(hot.centroids) == 1 and hot.rows.count() == 3000
+    with pytest.raises(ValueError):
+        ann.build(df.where("false"), str(tmp_path / "none"))
+    with pytest.raises(ValueError):
+        ann.build(df, str(tmp_path / "m"), "manhattan")
+
+
+def test_the_queries(spark):
+    sf = "/root/testdata/sf0.01"
+    found, exact = queries.QUERIES["vss_index_probed"](spark, sf), queries.QUERIES["vss_batch"](spark, sf)
+    assert ann.recall(found, exact) >= 0.9
