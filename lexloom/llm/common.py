@@ -63,6 +63,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing needs any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes at its end the intermediate tables made inside it. Results that read them must be written before."""
@@ -71,8 +77,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         while len(_made) > before:
-            path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            dropped(spark, _made.pop())
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

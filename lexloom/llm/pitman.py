@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .arrays import by_text, mixed, slices, tokens
-from .common import new_folder, ready, text_of, written
+from .common import dropped, new_folder, ready, text_of, written
 from .files import located
 from .quality import shard_rows, written_shards
 
@@ -53,7 +53,7 @@ EXACT = 64
 #: One in so many documents is held out, by a hash of the id.
 FOLDS, APART = 7, 2
 #: Text bytes of a slice, tokens for which there is a bucket, words of a shard and of a range, about; contexts that are split.
-SLICE, BUCKET, WORD_ROWS, RANGE, HOT = 32 << 20, 4_000_000, 4_000_000, 1_000_000, 4096
+SLICE, BUCKET, WORD_ROWS, RANGE, HOT = 12 << 20, 2_500_000, 4_000_000, 1_000_000, 4096
 WORDS = pa.schema([("key", pa.int64()), ("number", pa.int64()), ("n", pa.int64())])
 
 
@@ -327,13 +327,12 @@ def _sums(numbers: np.ndarray, tables: np.ndarray, what: str, size: int) -> list
 
 
 SUMS = pa.list_(pa.struct([("range", pa.int32()), ("what", pa.string()), ("numbers", pa.binary()), ("tables", pa.binary())]))
-BUCKETS = "bucket int, pairs binary, n binary, t binary, t_sum binary, ones long, twos long, sums array<struct<range: int, what: string, numbers: binary, tables: binary>>"
+COUNTED = "bucket int, pairs binary, n binary, ones long, twos long, sums array<struct<range: int, what: string, numbers: binary, tables: binary>>"
+SEATED = "bucket int, t binary, t_sum binary, sums array<struct<range: int, what: string, numbers: binary, tables: binary>>"
 
 
-def _bucket_row(sizes: Sizes, bucket: int, pairs, n, t, t_sum) -> pa.RecordBatch:
-    sums = _sums(pairs & 0xFFFFFFFF, t, "word", sizes.range) + _sums(pairs >> 32, t, "context", sizes.range)
-    row = [pa.array([bucket], pa.int32()), *(pa.array([x], pa.binary()) for x in (pack_sorted(pairs), pack(n), pack(t), pack(t_sum)))]
-    return pa.RecordBatch.from_arrays([*row, pa.array([int((n == 1).sum())]), pa.array([int((n == 2).sum())]), pa.array([sums], SUMS)], ["bucket", "pairs", "n", "t", "t_sum", "ones", "twos", "sums"])
+def _bucket_sums(sizes: Sizes, pairs: np.ndarray, t: np.ndarray) -> pa.Array:
+    return pa.array([_sums(pairs & 0xFFFFFFFF, t, "word", sizes.range) + _sums(pairs >> 32, t, "context", sizes.range)], SUMS)
 
 
 def _count(asked: str, sizes: Sizes):
@@ -345,25 +344,31 @@ def _count(asked: str, sizes: Sizes):
                 rows = _piece(f"{asked}/bucket={bucket}", ["pairs", "n"])
                 pairs, n = _distinct(np.concatenate([unpack_sorted(r["pairs"]) for r in rows]), np.concatenate([unpack(r["n"], np.int64) for r in rows]))
                 pairs, n = pairs[n > 0], n[n > 0]
-                yield _bucket_row(sizes, bucket, pairs, n, np.ones(len(n), np.int64), np.zeros(len(n), np.int64))
+                row = [pa.array([bucket], pa.int32()), pa.array([pack_sorted(pairs)], pa.binary()), pa.array([pack(n)], pa.binary()), *(pa.array([int((n == i).sum())]) for i in (1, 2))]
+                yield pa.RecordBatch.from_arrays([*row, _bucket_sums(sizes, pairs, np.ones(len(n), np.int64))], ["bucket", "pairs", "n", "ones", "twos", "sums"])
 
     return run
 
 
-def _sit(seated: str, ranges: str, sizes: Sizes, sweep: int):
+def _sit(counted: str, seated: str | None, ranges: str, sizes: Sizes, sweep: int):
     """A sweep over the pairs of a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for bucket in b.column("bucket").to_pylist():
-                (row,) = _piece(f"{seated}/bucket={bucket}", ["pairs", "n", "t", "t_sum"])
-                pairs, n, t, t_sum = unpack_sorted(row["pairs"]), *(unpack(row[x], np.int64) for x in ("n", "t", "t_sum"))
+                (row,) = _piece(f"{counted}/bucket={bucket}", ["pairs", "n"])
+                pairs, n = unpack_sorted(row["pairs"]), unpack(row["n"], np.int64)
+                t, t_sum = np.ones(len(n), np.int64), np.zeros(len(n), np.int64)
+                if seated is not None:
+                    (row,) = _piece(f"{seated}/bucket={bucket}", ["t", "t_sum"])
+                    t, t_sum = unpack(row["t"], np.int64), unpack(row["t_sum"], np.int64)
                 words, of_word = np.unique(pairs & 0xFFFFFFFF, return_inverse=True)
                 contexts, of_context = np.unique(pairs >> 32, return_inverse=True)
                 p = sizes.predicted(*_look(ranges, sizes, words, ["customers", "tables"]))
                 (in_context,) = _look(ranges, sizes, contexts, ["opened"])
                 t = seat(n, in_context[of_context] - t, p[of_word], sizes.d_pairs, pairs, 2 * sweep)
-                yield _bucket_row(sizes, bucket, pairs, n, t, t_sum + t if sizes.samples else t_sum)
+                row = [pa.array([pack(x)], pa.binary()) for x in (t, t_sum + t if sizes.samples else t_sum)]
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *row, _bucket_sums(sizes, pairs, t)], ["bucket", "t", "t_sum", "sums"])
 
     return run
 
@@ -400,14 +405,16 @@ def _total(sizes: Sizes, before: str | None, sweep: int):
     return run
 
 
-def _answer(asked: str, seated: str, sizes: Sizes):
+def _answer(asked: str, counted: str, seated: str, sizes: Sizes):
     """What slices asked for: a pair's customers less the discounts of its tables, on average; zero for pairs without any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for bucket in b.column("bucket").to_pylist():
-                (row,) = _piece(f"{seated}/bucket={bucket}", ["pairs", "n", "t_sum"])
-                pairs, n, t_sum = unpack_sorted(row["pairs"]), *(unpack(row[x], np.int64) for x in ("n", "t_sum"))
+                (row,) = _piece(f"{counted}/bucket={bucket}", ["pairs", "n"])
+                pairs, n = unpack_sorted(row["pairs"]), unpack(row["n"], np.int64)
+                (row,) = _piece(f"{seated}/bucket={bucket}", ["t_sum"])
+                t_sum = unpack(row["t_sum"], np.int64)
                 value = (n - sizes.d_pairs * t_sum / sizes.samples).astype(np.float32)
                 for r in _piece(f"{asked}/bucket={bucket}", ["slice", "pairs"]):
                     some = unpack_sorted(r["pairs"])
@@ -530,9 +537,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", burn_
     binary = ", ".join(f"{c} binary" for c in ("numbers", "lengths", "known", "base", "apart"))
     sliced = written(rows.mapInArrow(_number(path, counts, sizes, arrow), f"slice long, ids array<{kind}>, {binary}"), "pitman-slices")
     asked = _dealt(sliced.select("slice", "numbers", "lengths", "apart").mapInArrow(_ask(sizes), "bucket int, slice long, pairs binary, n binary"), "bucket", "pitman-pairs")
-    seated, ranges = _sample(spark, asked, words, sizes, burn_in, samples)
+    counted, seated, ranges = _sample(spark, asked, words, sizes, burn_in, samples)
     listed = _bucket_list(spark, asked, sizes)
-    answers = _dealt(listed.mapInArrow(_answer(asked, seated, sizes), "slice long, bucket int, values binary"), "slice", "pitman-answers")
+    answers = _dealt(listed.mapInArrow(_answer(asked, counted, seated, sizes), "slice long, bucket int, values binary"), "slice", "pitman-answers")
     types = f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     out = sliced.mapInArrow(_sum(answers, ranges, sizes, arrow), types)
     per_token = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
@@ -545,14 +552,18 @@ def _bucket_list(spark: SparkSession, asked: str, sizes: Sizes) -> DataFrame:
     return there.select(F.col("bucket").cast("int").alias("bucket")).repartition(sizes.buckets, "bucket")
 
 
-def _sample(spark: SparkSession, asked: str, words: DataFrame, sizes: Sizes, burn_in: int, samples: int) -> tuple[str, str]:
-    """Folders of buckets and ranges after all sweeps; fills in what sizes has of them."""
-    buckets, seated, ranges = _bucket_list(spark, asked, sizes), None, None
+def _sample(spark: SparkSession, asked: str, words: DataFrame, sizes: Sizes, burn_in: int, samples: int) -> tuple[str, str, str]:
+    """Folders of pairs, of their tables and of ranges after all sweeps; fills in what sizes has of them. What only an earlier
+    sweep needed is deleted."""
+    buckets, counted, seated, ranges = _bucket_list(spark, asked, sizes), None, None, None
     for sweep in range(burn_in + samples + 1):
         sizes.samples = max(sweep - burn_in, 0)
-        step = _count(asked, sizes) if sweep == 0 else _sit(seated, ranges, sizes, sweep)
-        seated = _dealt(buckets.mapInArrow(step, BUCKETS), "bucket", "pitman-seated")
-        done = spark.read.parquet(seated)
+        before, old_ranges = seated, ranges
+        if sweep == 0:
+            counted = _dealt(buckets.mapInArrow(_count(asked, sizes), COUNTED), "bucket", "pitman-counted")
+        else:
+            seated = _dealt(buckets.mapInArrow(_sit(counted, before, ranges, sizes, sweep), SEATED), "bucket", "pitman-seated")
+        done = spark.read.parquet(seated or counted)
         if sweep == 0:
             sizes.d_pairs = _discount(*done.agg(F.sum("ones"), F.sum("twos")).first())
         sums = done.select(F.explode("sums").alias("s")).select("s.*")
@@ -566,7 +577,10 @@ def _sample(spark: SparkSession, asked: str, words: DataFrame, sizes: Sizes, bur
             sizes.d_words = _discount(ones, twos)
         if sizes.samples:
             sizes.unknown_sum += sizes.predicted(0, 0)
-    return seated, ranges
+        for folder in (before, old_ranges):
+            if folder:
+                dropped(spark, folder)
+    return counted, seated, ranges
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
