@@ -52,17 +52,21 @@ _REFERENCES = (("&(?:quot|#34|#x22);", '"'), ("&(?:apos|#39|#x27);", "'"), ("&(?
 def links(html: Column) -> Column:
     """Sorted distinct href values of <a> tags, or of a sitemap its <loc> addresses, without fragments, one trailing slash
     and links to the page's own root. Comments, scripts and styles have no links; character references are decoded.
+
+    A tag is walked attribute by attribute, by possessive runs, which need no stack: tags of any length are fine.
     """
     seen = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
-    value = r"""(?is)<a\s(?:[^>"']|"[^"]*"|'[^']*')*?(?<![\w-])href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+    other = r"""[\s/]++|"[^"]*+"|'[^']*+'|=|(?!href\s*+=)[^\s"'>=/]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?+"""
+    value = rf"""(?is)<a(?=[\s/])(?:{other})*+href\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)"""
     hrefs = F.transform(F.regexp_extract_all(seen, F.lit(value), F.lit(1)), lambda h: F.regexp_replace(h, "^[\"']|[\"']$", ""))
     places = F.regexp_extract_all(seen, F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1))
     found = F.when(seen.rlike(r"(?i)<(urlset|sitemapindex)[\s>]"), F.when(seen.rlike(r"(?i)<urlset[\s>]"), places).otherwise(F.array().cast("array<string>"))).otherwise(hrefs)
 
     def plain(h: Column) -> Column:
+        decoded = h
         for pattern, character in _REFERENCES:
-            h = F.regexp_replace(h, "(?i)" + pattern, character)
-        return F.regexp_replace(F.trim(h), "(?s)#.*$", "")
+            decoded = F.regexp_replace(decoded, "(?i)" + pattern, character)
+        return F.substring_index(F.trim(F.when(h.contains("&"), decoded).otherwise(h)), "#", 1)
 
     kept = F.filter(F.transform(found, plain), lambda h: ~h.isin("", "/", "./", "./index.html"))
     return F.array_sort(F.array_distinct(F.transform(kept, lambda h: F.regexp_replace(h, "/$", ""))))

@@ -26,7 +26,8 @@ def find_links(start: DataFrame, fetch: Callable[[DataFrame], DataFrame], depth:
 
     fetch turns urls(url) into pages(url, html[, resolved]); a URL without a page is a problem, and one that was redirected
     counts under the address in `resolved`, which its links are resolved against too. children_only keeps links below
-    the stem of a start page, or those that begin with a given prefix. validate turns urls(url) into the ones(url) that
+    the stem of a start page, or those that begin with a given prefix; it and url_filter hold for redirected addresses too. Links
+    whose page was asked for and not found are problems and no links. validate turns urls(url) into the ones(url) that
     answer; the others are problems and no links. Each level is one join of the frontier with the pages and one anti-join with what was
     visited; its result is checkpointed in the shared folder, so the plan does not grow with depth.
     """
@@ -35,6 +36,12 @@ def find_links(start: DataFrame, fetch: Callable[[DataFrame], DataFrame], depth:
         stems = [r[0] for r in start.select(url_stem(F.col("url"))).where("url is not null").distinct().limit(MOST_STEMS + 1).collect()]
         if len(stems) > MOST_STEMS:
             raise ValueError(f"children_only takes up to {MOST_STEMS} start pages")
+
+    def fit(urls: DataFrame) -> DataFrame:
+        if stems is not None:
+            urls = urls.where(F.exists(F.array(*[F.lit(x) for x in stems]), lambda x: F.col("url").startswith(x)))
+        return urls if url_filter is None else urls.where(url_filter(F.col("url")))
+
     frontier = visited = start.select("url").distinct()
     collected = problems = moved = None
     for level in range(depth + 1):
@@ -46,12 +53,8 @@ def find_links(start: DataFrame, fetch: Callable[[DataFrame], DataFrame], depth:
         else:
             pages = pages.withColumn("asked", F.col("url"))
         missing = frontier.join(pages.select(F.col("asked").alias("url")).distinct(), "url", "left_anti").select(F.col("url").alias("link"), F.lit("not found").alias("problem"))
-        found = page_links(pages).select(F.col("link").alias("url")).distinct()
-        if stems is not None:
-            found = found.where(F.exists(F.array(*[F.lit(x) for x in stems]), lambda x: F.col("url").startswith(x)))
-        if url_filter is not None:
-            found = found.where(url_filter(F.col("url")))
-        found = checkpoint(found)
+        missing = checkpoint(missing)
+        found = checkpoint(fit(page_links(pages).select(F.col("link").alias("url")).distinct()))
         collected = found if collected is None else collected.union(found)
         problems = missing if problems is None else problems.union(missing)
         if level < depth:
@@ -59,9 +62,10 @@ def find_links(start: DataFrame, fetch: Callable[[DataFrame], DataFrame], depth:
             visited = checkpoint(visited.union(frontier))
             if frontier.isEmpty():
                 break
+    collected = collected.distinct().join(problems.select(F.col("link").alias("url")).distinct(), "url", "left_anti")
     if moved is not None:
         moved = checkpoint(moved.groupBy(F.col("url").alias("was")).agg(F.min("to").alias("to")))
-        collected = collected.join(moved, F.col("url") == F.col("was"), "left").select(F.coalesce("to", "url").alias("url"))
+        collected = fit(collected.join(moved, F.col("url") == F.col("was"), "left").select(F.coalesce("to", "url").alias("url")))
     collected = collected.distinct()
     if validate is not None:
         collected = checkpoint(collected)

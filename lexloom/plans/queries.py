@@ -428,8 +428,12 @@ _HREF = r"""CASE WHEN regexp_matches(seen, '(?i)<urlset[\s>]') THEN regexp_extra
  WHEN regexp_matches(seen, '(?i)<sitemapindex[\s>]') THEN []
  ELSE [trim(h, '"''') for h in regexp_extract_all(seen, '(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1)] END"""
 _DECODED = """replace(replace(replace(replace(replace(replace(trim(x), '&quot;', '"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&#38;', '&'), '&amp;', '&')"""
-_LINKS = rf"""SELECT page_id, url, unnest(list_distinct([regexp_replace(h, '/$', '') for h in [regexp_replace({_DECODED}, '#.*$', '') for x in {_HREF}] if h NOT IN ('', '/', './', './index.html')])) AS l
- FROM (SELECT page_id, url, {_SEEN} AS seen FROM pages)"""
+def _links_sql(source: str) -> str:
+    return rf"""SELECT page_id, url, unnest(list_distinct([regexp_replace(h, '/$', '') for h in [regexp_replace({_DECODED}, '#.*$', '') for x in {_HREF}] if h NOT IN ('', '/', './', './index.html')])) AS l
+ FROM (SELECT page_id, url, {_SEEN} AS seen FROM {source})"""
+
+
+_LINKS = _links_sql("pages")
 
 
 def _dots(path: str) -> str:
@@ -455,14 +459,27 @@ def links_extract(spark, sf_dir):
     return found.select("page_id", F.array_join("l", " ").alias("links"), F.size("l").cast("long").alias("n"))
 
 
-@query(f"""WITH f AS (SELECT DISTINCT url, {_ABSOLUTE} AS link FROM ({_LINKS})), s AS (SELECT url FROM pages WHERE page_id = 0),
-a AS (SELECT DISTINCT link AS url FROM f WHERE url IN (SELECT url FROM s)),
-b AS (SELECT DISTINCT link AS url FROM f WHERE url IN (SELECT url FROM a) AND url NOT IN (SELECT url FROM s))
-SELECT url FROM a UNION SELECT url FROM b""")
+_HOST = r"regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
+
+
+@query(rf"""WITH s AS (SELECT page_id, url, html FROM pages WHERE page_id % 50 = 0),
+hosts AS (SELECT {_HOST} AS host, min(html) AS html FROM pages GROUP BY 1),
+a AS (SELECT DISTINCT {_ABSOLUTE} AS url FROM ({_links_sql("s")})),
+p AS (SELECT 0 AS page_id, url, html FROM (SELECT url, {_HOST} AS host FROM a WHERE length(url) % 3 > 0) JOIN hosts USING (host)),
+b AS (SELECT DISTINCT {_ABSOLUTE} AS url FROM ({_links_sql("p")}))
+SELECT url FROM (SELECT url FROM a UNION SELECT url FROM b) WHERE url NOT IN (SELECT url FROM a) OR url IN (SELECT url FROM p)""")
 def links_crawl_depth1(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("url", "html")
-    start = table(spark, sf_dir, "pages").where("page_id = 0").select("url")
-    fetch = lambda urls: pages.join(urls, "url", "left_semi")
+    """Links of some pages and of what these lead to. A host answers two of three addresses, with one of its pages."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    host = F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1)
+    start = pages.where("page_id % 50 = 0").select("url")
+    served = pages.groupBy(host.alias("host")).agg(F.min("html").alias("html"))
+
+    def fetch(urls):
+        own = pages.where("page_id % 50 = 0").join(urls, "url", "left_semi").select("url", "html")
+        others = urls.join(start, "url", "left_anti").where("length(url) % 3 > 0").withColumn("host", host).join(served, "host")
+        return own.union(others.select("url", "html"))
+
     return crawl.find_links(start, fetch, depth=1)[0]
 
 

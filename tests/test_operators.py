@@ -128,7 +128,7 @@ def test_crawl(spark):
     fetch = lambda u: pages.join(u, "url", "left_semi")
     urls = lambda **k: {r[0] for r in crawl.find_links(start, fetch, **k)[0].collect()}
     assert urls() == {"http://s/a/b.html", "http://s/c"}
-    assert urls(depth=2) == {"http://s/a/b.html", "http://s/c", "http://s/a/d.html", "http://t/x", "http://s/a/e.html"}
+    assert urls(depth=2) == {"http://s/a/b.html", "http://s/a/d.html", "http://s/a/e.html"}  # pages that are not found are no links
     assert urls(depth=2, children_only=True) == {"http://s/a/b.html", "http://s/a/d.html", "http://s/a/e.html"}
     problems = crawl.find_links(start, fetch, depth=1)[1].collect()
     assert {r["link"] for r in problems} == {"http://s/c"}
@@ -173,3 +173,28 @@ def test_crawls_with_prefix_redirects_and_validation(spark):
     good, problems = crawl.find_links(start, fetch, validate=lambda urls: urls.where("url like '%html'"))
     assert [r[0] for r in good.collect()] == ["http://a/x/1.html"]
     assert {r["link"] for r in problems.collect() if r["problem"] == "does not answer"} == {"http://a/y", "http://a/old"}
+
+
+def test_links_of_huge_tags(spark):
+    """No pattern recurses: a megabyte of attributes, names, quotes or comments gives its link."""
+    n = 1_000_000
+    tags = [
+        f"<a {'x' * n} href='/one'>", f"<a title={'y' * n} href=/two>", f"<a title='{'z ' * n}' href=\"/three\">", f"<a {'k=v ' * (n // 4)}href=/four>",
+        f"<a {'\"q\" ' * (n // 4)}href=/five>", f"<!--{'c' * n}--><a href=/six>", f"<a href='/seven?{'p' * n}'>", f"<a {'= ' * n} href=/eight",
+    ]
+    rows = spark.createDataFrame(list(enumerate(tags)), "id int, html string")
+    got = {r["id"]: [x[:7] for x in r["l"]] for r in rows.select("id", tx.links(F.col("html")).alias("l")).collect()}
+    assert got == {0: ["/one"], 1: ["/two"], 2: ["/three"], 3: ["/four"], 4: ["/five"], 5: ["/six"], 6: ["/seven?"], 7: ["/eight"]}
+
+
+def test_attributes_that_only_look_like_links(spark):
+    tags = {"<a data-href=/no>": [], "<a hreflang=en href = '/yes'>": ["/yes"], "<a title=\"href='/no'\" class=x\nHREF=/yes#f>": ["/yes"], "<abbr href=/no>": [], "<a href=/a href=/b>": ["/a"], "<a/href=/c>": ["/c"], "<a id='1'href=/d&amp;e>": ["/d&e"]}
+    rows = spark.createDataFrame(list(tags), "string").withColumn("l", tx.links(F.col("value")))
+    assert {r["value"]: r["l"] for r in rows.collect()} == tags
+
+
+def test_dead_links_and_addresses_beyond_the_prefix_are_dropped(spark):
+    pages = spark.createDataFrame([("http://a/s/", "<a href='dead'><a href='moved'><a href='ok'>", None), ("http://a/s/moved", "", "http://b/out"), ("http://a/s/ok", "<a href='deep'>", None)], "url string, html string, resolved string")
+    links, problems = crawl.find_links(spark.createDataFrame([("http://a/s/",)], "url string"), lambda urls: pages.join(urls, "url", "left_semi"), depth=1, children_only="http://a/s/")
+    assert sorted(r[0] for r in links.collect()) == ["http://a/s/deep", "http://a/s/ok"]
+    assert [tuple(r) for r in problems.collect()] == [("http://a/s/dead", "not found")]
