@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import changes
 from .common import small, written
 
 ROLES = ("system", "user", "assistant")
@@ -70,20 +71,23 @@ def transcripts(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn
     styles, missing from some turns, and blank lines between turns. A part has PART_TURNS turn numbers.
 
     truth has the state of each line. Null roles count as user, null texts as empty; turns with a null number come first.
-    Of turn numbers that so many rows share that a part would have more than MOST_ROWS rows, the part is dealt to several
-    by a hash of role and text, in the order of that hash; only rows that are alike in all of these stay together. `part`
-    counts in steps of SUBPARTS. Other columns are ignored; an empty table gives no rows.
+    Where turn numbers are shared by so many rows that a part would have more than MOST_ROWS rows, its rows are numbered in order
+    of turn and of a hash of role and text, and cut after each PART_TURNS rows, so that the transcript stays in order of turn.
+    `part` counts in steps of SUBPARTS. Other columns are ignored; an empty table gives no rows.
     """
     kind = turns.schema[id_col].dataType.simpleString()
     rows = turns.select(F.col(id_col).alias("id"), F.coalesce(F.col(turn_col).cast("long"), F.lit(-1)).alias("turn"), F.coalesce(F.lower(F.col(role_col).cast("string")), F.lit("user")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumns({"part": F.floor(F.col("turn") / PART_TURNS) * SUBPARTS, "seed": F.pmod(F.xxhash64("id"), F.lit(1 << 20)), "own": F.pmod(F.xxhash64("id", "turn"), F.lit(1 << 20))})
     crowded = rows.groupBy("id", "part").agg(F.count("*").alias("n")).where(F.col("n") > MOST_ROWS)
-    crowded = crowded.select(F.col("id").alias("many"), F.col("part").alias("of"), F.least(F.ceil(F.col("n") / PART_TURNS), F.lit(SUBPARTS - 1)).alias("into"))
-    crowded = written(crowded, "chat-crowded")
+    crowded = written(crowded.select(F.col("id").alias("many"), F.col("part").alias("of")), "chat-crowded")
     if not crowded.isEmpty():
-        rows = rows.join(small(crowded), F.col("id").eqNullSafe(F.col("many")) & (F.col("part") == F.col("of")), "left")
-        sub = F.when(F.col("into").isNotNull(), F.pmod(F.xxhash64("role", "text"), F.col("into"))).otherwise(0)
-        rows = rows.withColumn("part", F.col("part") + sub).drop("many", "of", "into")
+        crowded, same = small(crowded), F.col("id").eqNullSafe(F.col("many")) & (F.col("part") == F.col("of"))
+        many = rows.join(crowded, same, "left_semi").withColumn("h", F.xxhash64("role", "text"))
+        many = written(changes.numbered(many, ["id", "part", "turn", "h"], "number"), "chat-numbered")
+        first = many.groupBy(F.col("id").alias("many"), F.col("part").alias("of")).agg(F.min("number").alias("first"))
+        sub = F.least(F.floor((F.col("number") - F.col("first")) / PART_TURNS), F.lit(SUBPARTS - 1))
+        cut = many.join(small(first), same).withColumn("part", F.col("part") + sub).select(*rows.columns)
+        rows = rows.join(crowded, same, "left_anti").unionByName(cut)
     parts = rows.groupBy("id", "part").agg(F.first("seed").alias("seed"), F.array_sort(F.collect_list(F.struct("turn", "role", "text", "own"))).alias("turns"))
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

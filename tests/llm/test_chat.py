@@ -94,3 +94,13 @@ def test_the_query_recovers_held_out_conversations(spark):
     assert 0 < len(apart) < len(rows) / 2
     assert sum(r in got for r in apart) >= 0.98 * len(apart)
     assert {r["conv_id"] for r in rows} == {g[0] for g in got}
+
+
+def test_crowded_parts_stay_in_order_of_turn(spark, model, monkeypatch):
+    """Turn numbers of many rows each: parts follow the turns, and are of bounded size."""
+    monkeypatch.setattr(chat, "MOST_ROWS", 100)
+    monkeypatch.setattr(chat, "PART_TURNS", 50)
+    turns = spark.range(800).select(F.lit(1).cast("long").alias("conv_id"), F.floor(F.col("id") / 20).alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("turn "), F.floor(F.col("id") / 20), F.lit(" row "), F.col("id")).alias("text"))
+    parts = sorted((r["part"], r["text"]) for r in chat.transcripts(turns).collect())
+    said = [int(line.split("turn ")[1].split()[0]) for _, text in parts for line in text.split("\n") if "turn " in line]
+    assert len(said) == 800 and said == sorted(said) and 16 <= len(parts) <= 18
