@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from .arrays import by_text, code_points, mixed, slices, tokens
 from .common import row_hash, small, text_of, written
 
-#: Bounds of the sample that the lexicon is fitted on: labelled documents, and candidate terms.
-TRAIN_DOCS, CANDIDATES, TERMS = 40_000, 50_000, 500
+#: Labelled documents that the lexicon is fitted on at most. Candidates and terms follow from these and have no bounds of their own.
+TRAIN_DOCS = 40_000
+#: Share of the words of both that copies have in common.
+COPIED = 0.8
 STEMS = (4, 5, 6, 7)
 #: A term needs this share of toxic documents among those that have it, this likelihood ratio (twice the log) against
 #: the base rate, and so many documents (or this share of all toxic ones).
@@ -236,23 +238,29 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, text, toxic): labelled documents that are not held out, at most about TRAIN_DOCS, chosen by a hash of the id.
 
-    Of documents with the same three least word hashes, which near copies mostly have, one stands for all.
+    Of documents with the same text one stands for all, and so does the first of those with the same three least word hashes for
+    those of them that share COPIED of their words with it; the others stay.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n = known.count()
     if n > TRAIN_DOCS:
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * TRAIN_DOCS / n))
     known = small(known.withColumnRenamed("doc_id", "labelled_id"), min(n, TRAIN_DOCS))
-    least = F.slice(F.array_sort(F.transform(F.array_distinct(F.split(F.lower("text"), r"\s+")), lambda w: F.xxhash64(w))), 1, 3)
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    rows = texts.join(known, texts["id"] == known["labelled_id"]).select("text", "toxic").withColumn("doc", F.xxhash64(least))
-    return rows.groupBy("doc").agg(F.max_by("text", F.struct("toxic", F.xxhash64("text"))).alias("text"), F.max("toxic").alias("toxic"))
+    rows = texts.join(known, texts["id"] == known["labelled_id"]).select("text", "toxic")
+    words = F.array_distinct(F.split(F.lower("text"), r"\s+"))
+    rows = rows.groupBy("text").agg(F.max("toxic").alias("toxic")).withColumns({"doc": F.xxhash64("text"), "words": F.transform(words, lambda w: F.xxhash64(w))})
+    rows = written(rows.withColumn("key", F.xxhash64(F.slice(F.array_sort("words"), 1, 3))), "toxicity-labelled")
+    first = rows.groupBy(F.col("key").alias("of")).agg(F.max_by(F.struct("doc", "words"), F.struct("toxic", "doc")).alias("first"))
+    same = F.size(F.array_intersect("words", "first.words")) / F.size(F.array_union("words", "first.words"))
+    return rows.join(first, F.col("key") == F.col("of")).where((F.col("doc") == F.col("first.doc")) | (same < COPIED)).select("doc", "text", "toxic")
 
 
 def fit(train: DataFrame) -> dict:
     """The lexicon from (doc, text, toxic): terms, hit values by Trie.code, the value without any hit.
 
-    All that comes to the driver is bounded by TRAIN_DOCS, CANDIDATES and TERMS. Without toxic rows no term is chosen.
+    All that comes to the driver is bounded by TRAIN_DOCS: candidates are in LEAST_SHARE of the toxic ones at least, and terms are
+    chosen until none gains. Without toxic rows no term is chosen.
     Words come before stems, so that a word's own term counts where both are equally near.
     """
     train = written(train, "toxicity-train")
@@ -262,7 +270,7 @@ def fit(train: DataFrame) -> dict:
     if toxic:
         bad = written(features(train.where("toxic = 1")), "toxicity-features")
         least = max(LEAST_DOCS, int(LEAST_SHARE * toxic))
-        often = bad.groupBy("feature").agg(F.count("*").alias("t")).where(F.col("t") >= least).orderBy(F.desc("t"), "feature").limit(CANDIDATES)
+        often = bad.groupBy("feature").agg(F.count("*").alias("t")).where(F.col("t") >= least)
         often = written(often, "toxicity-candidates")
         other = features(train.where("toxic = 0")).join(F.broadcast(often.select("feature")), "feature").groupBy("feature").agg(F.count("*").alias("n"))
         t, o, base = F.col("t").cast("double"), F.coalesce("n", F.lit(0)).cast("double"), float(toxic) / n
@@ -275,7 +283,7 @@ def fit(train: DataFrame) -> dict:
             cover.setdefault(r["feature"], set()).add(r["doc"])
         weight = dict.fromkeys(set().union(*cover.values()), 1.0)
         gains = {f: len(d) - PENALTY * other_docs[f] for f, d in cover.items()}
-        while gains and len(terms) < TERMS:  # gains only fall, so one that was brought up to date and still leads is the best
+        while gains:  # gains only fall, so one that was brought up to date and still leads is the best
             best = max(gains, key=lambda f: (gains[f], not f.endswith("*"), len(f), f))
             now = sum(weight[d] for d in cover[best]) - PENALTY * other_docs[best]
             if now < gains[best]:
@@ -292,7 +300,7 @@ def fit(train: DataFrame) -> dict:
         begun = F.lit(False)
         for n_letters in STEMS:
             begun |= F.substring("feature", 1, n_letters).isin([w for w, stem in terms if stem and len(w) == n_letters])
-        beside = often.where(begun & ~F.col("feature").endswith("*")).orderBy(F.desc("t"), "feature").collect()  # at most CANDIDATES
+        beside = often.where(begun & ~F.col("feature").endswith("*")).orderBy(F.desc("t"), "feature").collect()
         terms = sorted(dict.fromkeys([*terms, *((r["feature"], False) for r in beside)]), key=lambda x: x[1])
 
     kinds = 3 * len(terms)
@@ -337,7 +345,7 @@ def _scores(texts: pa.Array, trie: Trie, model: dict) -> tuple[np.ndarray, np.nd
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, score, hits) per input row; h is a hash of id and text. Null and empty texts get the value without hits.
 
-    Equal texts get equal scores. The model is a lexicon of at most TERMS terms and the words beside its stems.
+    Equal texts get equal scores. The model is a lexicon of terms and the words beside its stems. Very long texts are taken whole.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 

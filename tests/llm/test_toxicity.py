@@ -121,3 +121,26 @@ def test_misspellings_of_a_word_whose_stem_was_chosen(spark):
     texts = [f"some {w} here" for w in ("idiot", "idoit", "iidiot", "1diot", "idi0tic", "w0rthless", "w0rthl3ss", "plain", "window")]
     score = toxicity._scores(pa.array(texts), Trie(model["terms"]), model)[0]
     assert (score[:7] >= 0.5).all() and (score[7:] < 0.5).all(), score
+
+
+def test_the_query_on_held_out_labels(spark):
+    """The registered query over whole tables: labels that weren't learnt from, and the contract's columns."""
+    from lexloom.llm import queries
+
+    sf = "/root/testdata/sf0.1"
+    got = queries.QUERIES["op6_toxicity"](spark, sf)
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = got.join(labels.select("doc_id", "toxic"), "doc_id", "left").collect()
+    assert len(rows) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+    apart = [(r["toxic"], r["predicted"]) for r in rows if r["held_out"] and r["toxic"] is not None]
+    found, wrong = [p for t, p in apart if t], [p for t, p in apart if not t]
+    assert sum(found) / len(found) >= 0.8 and sum(wrong) / len(wrong) <= 0.03
+
+
+def test_only_copies_are_dropped_from_training(spark):
+    texts = ["alpha beta gamma delta epsilon zeta eta theta iota kappa", "alpha beta gamma delta epsilon zeta eta theta iota lambda", "another text", "another text", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 20)], "doc_id long, text string")
+    labels = docs.select("doc_id", F.lit(0).alias("toxic"))
+    kept = [r["text"] for r in toxicity.training_rows(docs, labels).collect()]
+    assert kept.count("another text") == 1 and kept.count("") == 1 and 1 <= sum(t.startswith("alpha") for t in kept) <= 2
