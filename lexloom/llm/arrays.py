@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,6 +21,15 @@ def slices(batch: pa.RecordBatch, column: str = "text"):
     for hi in [*(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]:
         yield batch.slice(lo, hi - lo)
         lo = hi
+    trimmed()
+
+
+def trimmed() -> None:
+    """Gives memory that a task has freed back to the system, since workers go on to other tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:

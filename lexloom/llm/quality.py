@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import HashIndex, by_text, code_points, mixed, slices, tokens
+from .arrays import HashIndex, by_text, code_points, mixed, slices, tokens, trimmed
 from .common import new_folder, ready, row_hash, small, text_of, written
 from .files import read_table
 
@@ -254,6 +254,8 @@ def _score(path: str, counts: list[int]):
                     held, size = [], 0
         if held:
             yield from scored(held)
+        _loaded.clear()  # stages that follow have the memory
+        trimmed()
 
     return run
 
