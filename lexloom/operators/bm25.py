@@ -67,17 +67,23 @@ def build(chunks: DataFrame, id_col: str, fields: Sequence[str], stemmed: bool =
     return Index(counted.select("term", "id", "tf", "len"), totals, stemmed, stop_words)
 
 
+def asked_terms(queries: DataFrame, query_col: str, text_col: str, stemmed: bool, stop_words: bool) -> DataFrame:
+    """(query, term): the different terms of each query."""
+    words = F.array_distinct(terms(F.col(text_col), stop_words, accents=stemmed))
+    asked = queries.select(F.col(query_col), F.explode(words).alias("term"))
+    if not stemmed:
+        return asked
+    of = asked.select(F.col("term").alias("word")).distinct().mapInArrow(_stemmed, "word string, term string")
+    return asked.withColumnRenamed("term", "word").join(of, "word").select(query_col, "term").distinct()
+
+
 def score(index: Index, queries: DataFrame, query_col: str = "query_id", text_col: str = "text", k: float = K, b: float = B, conjunctive: bool = False) -> DataFrame:
     """(query, id, metric_value): BM25 of each chunk that has a query term (conjunctive: all of them) in the index.
 
     Repeated terms of a query count once. Only the postings of the queries' terms go on; with a written index these are
     all that is read. Without one they are checkpointed, so that texts are cut into terms once for them.
     """
-    words = F.array_distinct(terms(F.col(text_col), index.stop_words, accents=index.stemmed))
-    asked = queries.select(F.col(query_col), F.explode(words).alias("term"))
-    if index.stemmed:
-        of = asked.select(F.col("term").alias("word")).distinct().mapInArrow(_stemmed, "word string, term string")
-        asked = asked.withColumnRenamed("term", "word").join(of, "word").select(query_col, "term").distinct()
+    asked = asked_terms(queries, query_col, text_col, index.stemmed, index.stop_words)
     needed = asked.groupBy(query_col).agg(F.count("*").alias("needed"))
     postings, frequencies = index.postings, index.frequencies
     if frequencies is None:

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from .. import shared
 from ..functions import text as tx
 from ..embedders import Embedder, with_embeddings
-from ..operators import ann, bm25, changes, chunk, crawl, knn, nearby, retrieve
+from ..operators import ann, bm25, changes, chunk, crawl, knn, nearby, retrieve, segments
 from ..sources.readers import pages_as_markdown
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,6 +172,15 @@ def bm25_basic(spark, sf_dir):
     return _top(_scored(spark, sf_dir))
 
 
+@query(_bm25_sql(_ITEMS))
+def bm25_blocks(spark, sf_dir):
+    """The same from an index in two segments of blocks, of which only those are scored that can reach the top."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = segments.write_segment(docs.where("doc_id % 3 > 0"), shared.new_folder(spark, "segment"), "doc_id", ["text"])
+    index = index.add(shared.new_folder(spark, "segment"), docs.where("doc_id % 3 = 0"), docs.where("false"), "doc_id", ["text"])
+    return _top(index.top(_asked(spark, sf_dir), 10).withColumnRenamed("id", "doc_id"))
+
+
 @query(_bm25_sql(_ITEMS, 2.0, 0.3))
 def bm25_params(spark, sf_dir):
     return _top(_scored(spark, sf_dir, k=2.0, b=0.3))

@@ -1,20 +1,23 @@
 """A store of documents, chunk ranges and vectors in Parquet, with indexes and retrieval.
 
-A store is a folder. `changes` has a row for each committed change: the folders of Parquet files that documents and chunks
-are read from since, and those with the documents that were replaced. Rows bear the number of the change that wrote them; a
-replaced document's rows from before are passed over when reading, until `compact` leaves them out. So a change writes what
-it brings and nothing else, new folders first and then its row: readers see all of it or nothing, and nothing that is being
-read is overwritten. A change claims its number by a file that only one writer can make.
+A store is a folder. `changes` has a row for each committed change with what it adds: folders of documents and chunks, of the
+ids of documents that it replaces, and of manifests, which tell by range and Bloom filter which files may have an origin or a
+document. Rows bear the number of the change that wrote them; a replaced document's rows from before are passed over when
+reading, until `compact` leaves them out. So a change writes what it brings and nothing else, new folders first and then its
+row: readers see all of it or nothing, and any earlier state can be read until `vacuum` removes its folders.
+
+A change claims its number by a file that only one writer can make. A writer that finds its number taken waits for that change
+and, if it has no origin in common with it, moves its own ids and number behind it and tries the next number.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import time
 import uuid
 from collections.abc import Sequence
 
-from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,35 +25,24 @@ from pyspark.sql import types as T
 
 from .embedders import Embedder, Transport, embed_texts, with_embeddings
 from .functions.text import embed_input, slice_text
-from .operators import bm25, changes, knn, retrieve
+from .log import CHANGE, MANIFEST, State, claimed, described, file_system, files_with, state
+from .operators import ann, bm25, changes, knn, retrieve, segments
 
 RESERVED = ("chunk_id", "doc_id", "doc_key", "origin", "text", "start", "end", "context", "embedding")
 _META = "format int, name string, title string, embedder string, size int, extra string, root string"
-_CHANGE = "number long, documents array<string>, chunks array<string>, gone array<string>, last_doc long, last_chunk long"
-_INDEX = "number long, folder string, stemmed boolean"
+_INDEX = "number long, folders array<string>, stemmed boolean"
+_VECTORS = "number long, folder string, method string"
 _GONE = "doc_id long, at long"
 #: Column with the number of the change that wrote a row.
 _AT = "_change"
 
 
 class StoreConflict(RuntimeError):
-    """Another change was committed, or is being committed, since this one began: run it again."""
+    """Another change of the same origins was committed since this one began, or one is not being finished: run it again."""
 
 
-def _file_system(spark: SparkSession, path: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
-
-
-def claimed(spark: SparkSession, folder: str, number: int) -> bool:
-    """Whether this call, and no other, made the file that claims a number."""
-    system, path = _file_system(spark, f"{folder}/claims/{number}")
-    try:
-        return bool(system.createNewFile(path))
-    except Py4JJavaError as e:
-        if "FileAlreadyExists" in str(e.java_exception):
-            return False
-        raise
+#: Seconds that a writer waits for a change whose number is claimed.
+PATIENCE = 60
 
 
 def cast_lossless(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -100,7 +92,7 @@ class Store:
         extra = T.StructType([f for f in extra_cols if f.name not in RESERVED])
         size = len(embed_texts(embedder, ["foo"], transport)[0]) if embedder else None
         mode, root = "overwrite" if overwrite else "errorifexists", f"tables-{uuid.uuid4().hex}"
-        spark.createDataFrame([(0, [], [], [], 0, 0)], _CHANGE).coalesce(1).write.parquet(f"{path}/{root}/changes")
+        spark.createDataFrame([(0, 0, [], [], [], [], 0, 0)], CHANGE).coalesce(1).write.parquet(f"{path}/{root}/changes")
         try:
             row = (2, name, title, embedder.to_json() if embedder else None, size, json.dumps(extra.jsonValue()), root)
             spark.createDataFrame([row], _META).coalesce(1).write.mode(mode).parquet(f"{path}/metadata")
@@ -121,49 +113,107 @@ class Store:
         base = T.StructType.fromDDL("doc_id long, chunk_id long, start int, end int, context string")
         return T.StructType([*base, *self.extra, *([T.StructField("embedding", T.ArrayType(T.FloatType()))] if self.embedder else [])])
 
-    def _now(self):
-        return self.spark.read.schema(_CHANGE).parquet(f"{self.root}/changes").orderBy(F.desc("number")).first()
+    def _now(self, at: int | None = None) -> State:
+        found = state(self.spark, self.root, at)
+        if found is None:
+            raise ValueError(f"the store has no change {at}")
+        return found
 
-    def _read(self, now, kind: str) -> DataFrame:
-        """The rows of documents or chunks that no later change replaced."""
+    def _read(self, now: State, kind: str, files: list[str] | None = None, numbered: bool = False) -> DataFrame:
+        """The rows of documents or chunks that no later change replaced; of some files only, if these are given."""
         schema = self._documents if kind == "documents" else self._chunks
-        folders = now[kind]
-        if not folders:
-            return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(T.StructType([*schema, T.StructField(_AT, T.LongType())])).parquet(*folders)
-        if now["gone"]:
+        known = T.StructType([*schema, T.StructField(_AT, T.LongType())])
+        folders = now[kind] if files is None else files
+        rows = self.spark.read.schema(known).parquet(*folders) if folders else self.spark.createDataFrame([], known)
+        if now["gone"] and folders:
             gone = self.spark.read.schema(_GONE).parquet(*now["gone"]).groupBy(F.col("doc_id").alias("_gone")).agg(F.max("at").alias("_at"))
             rows = rows.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.col(_AT) < F.col("_at")), "left_anti")
-        return rows.drop(_AT)
+        return rows if numbered else rows.drop(_AT)
 
-    def table(self, name: str = "chunks") -> DataFrame:
-        """documents, embeddings (chunk ranges without text) or chunks (with origin and text cut from the document)."""
+    def files(self, kind: str, keys: DataFrame, now: State | None = None) -> list[str] | None:
+        """Files that may have one of keys(key): origins for documents, doc_ids for chunks. None stands for all, where there are
+        too many keys to look up."""
+        now = now or self._now()
+        return files_with(self.spark.read.schema(MANIFEST).parquet(*now["manifests"]), kind, keys) if now["manifests"] else []
+
+    def table(self, name: str = "chunks", at: int | None = None) -> DataFrame:
+        """documents, embeddings (chunk ranges without text) or chunks (with origin and text cut from the document), as they are
+        or as they were after change `at`."""
         if name not in ("documents", "embeddings", "chunks"):
             raise ValueError(f"no table {name!r}")
-        now = self._now()
+        now = self._now(at)
         if name != "chunks":
             return self._read(now, "documents" if name == "documents" else "chunks")
         return self._cut(self._read(now, "chunks"), self._read(now, "documents"))
 
+    def changes(self) -> DataFrame:
+        """(number, base, last_doc, last_chunk) of all changes that were committed."""
+        return self.spark.read.schema(CHANGE).parquet(f"{self.root}/changes").select("number", "base", "last_doc", "last_chunk")
+
     def _cut(self, chunks: DataFrame, documents: DataFrame) -> DataFrame:
         joined = chunks.join(documents.withColumnRenamed("text", "_text"), "doc_id")
         return joined.select("origin", *chunks.columns, slice_text(F.col("_text"), F.col("start"), F.col("end")).alias("text"))
 
-    def _commit(self, now, documents: list[str], chunks: list[str], gone: list[str], last_doc: int, last_chunk: int) -> None:
-        number = now["number"] + 1
-        if not claimed(self.spark, self.root, number):
-            raise StoreConflict(f"change {number} of {self.path} is another writer's")
-        row = (number, documents, chunks, gone, last_doc, last_chunk)
-        self.spark.createDataFrame([row], _CHANGE).coalesce(1).write.mode("append").parquet(f"{self.root}/changes")
+    def _claim(self, number: int) -> bool:
+        return claimed(self.spark, self.root, number)
+
+    def _committed(self, number: int) -> State:
+        """The state after a change that another writer has claimed; waits for it."""
+        until = time.monotonic() + PATIENCE
+        while True:
+            found = state(self.spark, self.root, number)
+            if found is not None:
+                return found
+            if time.monotonic() > until:
+                raise StoreConflict(f"change {number} of {self.path} is another writer's, who does not finish it; release() takes it back")
+            time.sleep(0.2)
+
+    def _commit(self, now: State, documents: str | None, chunks: str | None, gone: str | None, last_doc: int, last_chunk: int) -> None:
+        """Commits folders that were written for the number after `now`; behind other changes, if these are of other origins."""
+        number, since = now["number"] + 1, now
+        while not self._claim(number):
+            other = self._committed(number)
+            new = [f for f in other["documents"] if f not in since["documents"]]
+            if other["base"] != number and documents and new:  # a compaction touches no origin
+                mine, theirs = (self.spark.read.schema(self._documents).parquet(*x).select("origin").where("origin is not null") for x in ([documents], new))
+                if mine.join(theirs, "origin", "left_semi").first():
+                    raise StoreConflict(f"change {number} of {self.path} has origins of this one")
+            number, moved = number + 1, (other["last_doc"] - since["last_doc"], other["last_chunk"] - since["last_chunk"])
+
+            def behind(folder, kind, number=number, moved=moved, last=since["last_doc"]):
+                if folder is None:
+                    return None
+                rows = self.spark.read.parquet(folder)
+                rows = rows.withColumn("at" if kind == "gone" else _AT, F.lit(number).cast("long"))
+                if kind != "gone":
+                    rows = rows.withColumn("doc_id", F.when(F.col("doc_id") > last, F.col("doc_id") + moved[0]).otherwise(F.col("doc_id")))
+                if kind == "chunks":
+                    rows = rows.withColumn("chunk_id", F.col("chunk_id") + moved[1])
+                return self._write(rows, kind)
+
+            documents, chunks, gone = behind(documents, "documents"), behind(chunks, "chunks"), behind(gone, "gone")
+            last_doc, last_chunk, since = last_doc + moved[0], last_chunk + moved[1], other
+        self._log(number, since["base"], documents, chunks, gone, last_doc, last_chunk)
+
+    def _log(self, number: int, base: int, documents: str | None, chunks: str | None, gone: str | None, last_doc: int, last_chunk: int) -> None:
+        some = [described(self.spark.read.parquet(f), kind, key) for f, kind, key in ((documents, "documents", "origin"), (chunks, "chunks", "doc_id")) if f]
+        manifest = None
+        if some:
+            manifest = self._write(some[0].union(some[-1]).distinct().coalesce(1), "manifests")
+        row = (number, base, *([f] if f else [] for f in (documents, chunks, gone, manifest)), last_doc, last_chunk)
+        self.spark.createDataFrame([row], CHANGE).coalesce(1).write.mode("append").parquet(f"{self.root}/changes")
 
     def release(self) -> bool:
         """Takes back the claim of a writer that died before its change was committed; whether there was one."""
-        system, path = _file_system(self.spark, f"{self.root}/claims/{self._now()['number'] + 1}")
+        system, path = file_system(self.spark, f"{self.root}/claims/{self._now()['number'] + 1}")
         return bool(system.delete(path, False))
 
     def _write(self, df: DataFrame, kind: str, number: int | None = None) -> str:
+        """Documents are written in ranges of origin, chunks in ranges of document, so that few files have one."""
         folder = f"{self.root}/{kind}/{uuid.uuid4().hex}"
-        (df if number is None else df.withColumn(_AT, F.lit(number).cast("long"))).write.parquet(folder)
+        df = df if number is None else df.withColumn(_AT, F.lit(number).cast("long"))
+        by = {"documents": "origin", "chunks": "doc_id"}.get(kind)
+        (df.repartitionByRange(by) if by else df).write.parquet(folder)
         return folder
 
     # changes
@@ -191,7 +241,7 @@ class Store:
         now = self._now()
         number = now["number"] + 1
         known = documents.select("origin").where("origin is not null")
-        stored = self._read(now, "documents").select("origin")
+        stored = self._read(now, "documents", self.files("documents", known.select(F.col("origin").alias("key")), now)).select("origin")
         twice = known.groupBy("origin").count().where("count > 1").select("origin").union(known.join(stored, "origin", "left_semi")).first()
         if twice:
             raise ValueError(f"duplicate key: origin {twice[0]!r}")
@@ -203,12 +253,12 @@ class Store:
         written = self._write(self._prepared(rows), "chunks", number)
         folder = self._write(ids.select("doc_id", "origin", "text"), "documents", number)
         top = self.spark.read.parquet(folder).agg(F.max("doc_id")).first()[0], self.spark.read.parquet(written).agg(F.max("chunk_id")).first()[0]
-        self._commit(now, [*now["documents"], folder], [*now["chunks"], written], now["gone"], top[0] or now["last_doc"], top[1] or now["last_chunk"])
+        self._commit(now, folder, written, None, top[0] or now["last_doc"], top[1] or now["last_chunk"])
 
     def update(self, documents: DataFrame, chunks: DataFrame) -> int:
         """Replaces the documents of which a chunk is new, keeping their ids, and adds those with new origins; gives
-        their number. A null origin is an error. Only what changes is compared, embedded and written: of the store's
-        chunks, those of the load's origins are read; without a new chunk nothing is done.
+        their number. A null origin is an error. Only what changes is embedded and written, and of the store, only the files
+        are read that may have the load's origins, by their manifests; without a new chunk nothing is done.
         """
         if documents.where("origin is null").first():
             raise ValueError("update needs an origin for each document")
@@ -216,9 +266,11 @@ class Store:
         number = now["number"] + 1
         keys = ["origin", "start", "end", "context", *self.extra.names, "text"]
         rows = self._checked(documents, chunks).join(documents.select("doc_key", "origin"), "doc_key")
-        stored = self._read(now, "documents")
-        same = stored.join(documents.select("origin").distinct(), "origin", "left_semi")
-        changed = changes.unknown(rows, self._cut(self._read(now, "chunks"), same), keys).select("doc_key").distinct()
+        origins = documents.select("origin").distinct()
+        stored = self._read(now, "documents", self.files("documents", origins.select(F.col("origin").alias("key")), now))
+        same = stored.join(origins, "origin", "left_semi")
+        of_these = self._read(now, "chunks", self.files("chunks", same.select(F.col("doc_id").alias("key")), now))
+        changed = changes.unknown(rows, self._cut(of_these, same), keys).select("doc_key").distinct()
         changed = self.spark.read.parquet(self._write(changed, "staged"))
         n = changed.count()
         if not n:
@@ -234,27 +286,49 @@ class Store:
         gone = self._write(ids.where(F.col("doc_id") <= now["last_doc"]).select("doc_id", F.lit(number).cast("long").alias("at")), "gone")
         top = self.spark.read.parquet(fresh).agg(F.max("chunk_id")).first()[0] or now["last_chunk"]
         last = max(now["last_doc"], ids.agg(F.max("doc_id")).first()[0])
-        self._commit(now, [*now["documents"], doc_folder], [*now["chunks"], fresh], [*now["gone"], gone], last, top)
+        self._commit(now, doc_folder, fresh, gone, last, top)
         return n
 
     def compact(self) -> None:
         """Writes documents and chunks anew without the replaced ones, into one folder each. Old folders stay for readers."""
         now = self._now()
-        folders = [[self._write(self._read(now, kind), kind, now["number"] + 1)] if now[kind] else [] for kind in ("documents", "chunks")]
-        self._commit(now, *folders, [], now["last_doc"], now["last_chunk"])
+        number = now["number"] + 1
+        folders = [self._write(self._read(now, kind, numbered=True), kind) if now[kind] else None for kind in ("documents", "chunks")]
+        if not self._claim(number):
+            raise StoreConflict(f"change {number} of {self.path} came before the compaction")
+        self._log(number, number, *folders, None, now["last_doc"], now["last_chunk"])
+
+    def vacuum(self, since: int | None = None, seconds: float = 86_400) -> int:
+        """Deletes folders that no state from change `since` on needs (by default, since the last compaction) and that are older
+        than `seconds`, so that changes which are being written keep theirs; gives their number."""
+        base = self._now(since)["base"] if since is not None else self._now()["base"]
+        rows = self.spark.read.schema(CHANGE).parquet(f"{self.root}/changes").where(F.col("number") >= base).collect()
+        kinds = ("documents", "chunks", "gone", "manifests")
+        used, n = {f.rsplit("/", 1)[-1] for r in rows for k in kinds for f in r[k]}, 0
+        for kind in (*kinds, "staged"):
+            system, path = file_system(self.spark, f"{self.root}/{kind}")
+            for found in system.listStatus(path) if system.exists(path) else []:
+                old = time.time() - found.getModificationTime() / 1000 >= seconds
+                if found.getPath().getName() not in used and old:
+                    n += bool(system.delete(found.getPath(), True))
+        return n
 
     # retrieval
 
     def build_index(self, stemmed: bool = True) -> None:
-        """The full-text index over context and text of the chunks as they are now, in a new folder; later changes need
-        a new one (`refresh_index`)."""
-        number, folder = self._now()["number"], f"{self.root}/index/{uuid.uuid4().hex}"
-        bm25.build(self.table("chunks"), "chunk_id", ["context", "text"], stemmed, stop_words=stemmed).write(folder)
-        self.spark.createDataFrame([(number, folder, stemmed)], _INDEX).coalesce(1).write.mode("append").parquet(f"{self.root}/indexes")
+        """The full-text index over context and text of the chunks as they are now, as one segment; later changes are brought
+        in by `refresh_index`."""
+        now, folder = self._now(), f"{self.root}/index/{uuid.uuid4().hex}"
+        chunks = self._cut(self._read(now, "chunks"), self._read(now, "documents"))
+        segments.write_segment(chunks, folder, "chunk_id", ["context", "text"], stemmed, stop_words=stemmed)
+        self._indexed(now["number"], [folder], stemmed)
+
+    def _indexed(self, number: int, folders: list[str], stemmed: bool) -> None:
+        self.spark.createDataFrame([(number, folders, stemmed)], _INDEX).coalesce(1).write.mode("append").parquet(f"{self.root}/indexes")
 
     def _index(self):
         try:
-            return self.spark.read.schema(_INDEX).parquet(f"{self.root}/indexes").orderBy(F.desc("number"), "folder").first()
+            return self.spark.read.schema(_INDEX).parquet(f"{self.root}/indexes").orderBy(F.desc("number"), F.size("folders"), "folders").first()
         except AnalysisException:
             return None
 
@@ -263,24 +337,95 @@ class Store:
         found = self._index()
         return None if found is None else self._now()["number"] - found["number"]
 
+    def _since(self, number: int, now: State) -> tuple[DataFrame, DataFrame] | None:
+        """(chunks that are new, chunks that are no more) since a change, with their texts; None after a compaction. Only the
+        folders written since are read for the new ones, only files with a replaced document for the others."""
+        if now["base"] > number:
+            return None
+        then = self._now(number)
+        new = {k: [f for f in now[k] if f not in then[k]] for k in ("documents", "chunks", "gone")}
+        added = self._cut(self._read(now, "chunks", new["chunks"]), self._read(now, "documents", new["documents"]))
+        if not new["gone"]:
+            return added, added.where("false")
+        gone = self.spark.read.schema(_GONE).parquet(*new["gone"]).select("doc_id").distinct()
+        chunks = self._read(then, "chunks", self.files("chunks", gone.select(F.col("doc_id").alias("key")), then)).join(gone, "doc_id", "left_semi")
+        ids = chunks.select("doc_id").distinct()
+        # documents of a change are in its folder like their chunks; the manifest knows them by origin
+        origins = self._read(now, "documents", new["documents"]).join(gone, "doc_id", "left_semi").select(F.col("origin").alias("key"))
+        documents = self._read(then, "documents", self.files("documents", origins, then)).join(ids, "doc_id", "left_semi")
+        return added, self._cut(chunks, documents)
+
     def refresh_index(self, stemmed: bool = True) -> bool:
-        """Builds the index if it isn't current; whether it did."""
-        stale = self.index_age() != 0
-        if stale:
+        """Brings the index up to date by a segment of what changed, merging segments of one size; whether it was stale. Built
+        anew are an index of the other kind and one from before a compaction."""
+        found, now = self._index(), self._now()
+        if found is not None and found["number"] == now["number"]:
+            return False
+        changed = self._since(found["number"], now) if found is not None and found["stemmed"] == stemmed else None
+        if changed is None:
             self.build_index(stemmed)
-        return stale
-
-    def index(self) -> bm25.Index:
+            return True
+        folder = lambda: f"{self.root}/index/{uuid.uuid4().hex}"
+        index = self._segments(found).add(folder(), *changed, "chunk_id", ["context", "text"])
+        some = index.to_merge()
+        if some:
+            index = index.merge(folder(), some)
+        self._indexed(now["number"], index.paths, stemmed)
+        return True
+
+    def _segments(self, found) -> segments.SegmentIndex:
+        return segments.SegmentIndex(self.spark, list(found["folders"]), found["stemmed"], found["stemmed"])
+
+    def segments(self) -> segments.SegmentIndex:
         found = self._index()
         if found is None:
             raise ValueError("the store has no full-text index: build_index() makes one")
-        return bm25.Index.read(self.spark, found["folder"], found["stemmed"], found["stemmed"])
+        return self._segments(found)
 
-    def retrieve_vss(self, text: str | Sequence[float], top_k: int = 3, method: str = "cosine_distance", where: Column | str | None = None) -> DataFrame:
+    def index(self) -> bm25.Index:
+        return self.segments().index()
+
+    def build_vectors(self, method: str = "cosine_distance", cells: int | None = None) -> None:
+        """The vector index over the chunks as they are now. `probes` of retrieve_vss() reads it; refresh_vectors() adds to it."""
+        now, folder = self._now(), f"{self.root}/vectors/{uuid.uuid4().hex}"
+        ann.build(self._read(now, "chunks"), folder, method, cells, "chunk_id", "embedding")
+        self.spark.createDataFrame([(now["number"], folder, method)], _VECTORS).coalesce(1).write.mode("append").parquet(f"{self.root}/vector_indexes")
+
+    def _vectors(self, method: str):
+        try:
+            rows = self.spark.read.schema(_VECTORS).parquet(f"{self.root}/vector_indexes")
+        except AnalysisException:
+            rows = None
+        found = rows.where(F.col("method") == method).orderBy(F.desc("number"), "folder").first() if rows is not None else None
+        if found is None:
+            raise ValueError(f"the store has no vector index for {method}: build_vectors() makes one")
+        return found
+
+    def refresh_vectors(self, method: str = "cosine_distance") -> bool:
+        """Writes vectors that are new since to their cells; whether the index was stale. After a compaction it is built anew."""
+        found, now = self._vectors(method), self._now()
+        if found["number"] == now["number"]:
+            return False
+        if now["base"] > found["number"]:
+            self.build_vectors(method)
+            return True
+        then = self._now(found["number"])
+        new = [f for f in now["chunks"] if f not in then["chunks"]]
+        if new:
+            ann.VectorIndex.read(self.spark, found["folder"]).add(self._read(now, "chunks", new))
+        self.spark.createDataFrame([(now["number"], found["folder"], method)], _VECTORS).coalesce(1).write.mode("append").parquet(f"{self.root}/vector_indexes")
+        return True
+
+    def retrieve_vss(self, text: str | Sequence[float], top_k: int = 3, method: str = "cosine_distance", where: Column | str | None = None, probes: int | None = None) -> DataFrame:
         """The top_k chunks nearest to a text or vector. Texts are joined to the rows found, not before, unless the
-        filter needs them."""
+        filter needs them. With `probes`, only so many cells of the vector index are searched; changes since it was
+        refreshed are not found, and what they replaced isn't either."""
         vector = embed_texts(self.embedder, [text], self.transport)[0] if isinstance(text, str) else text
         items = self.table("chunks") if where is not None else self.table("embeddings")
+        if probes is not None:
+            index = ann.VectorIndex.read(self.spark, self._vectors(method)["folder"])
+            near = index.rows.where(F.col("cell").isin(index.cells_of(vector, probes))).select("chunk_id", "embedding")
+            items = items.drop("embedding").join(near, "chunk_id")
         found = knn.nearest(items, vector, top_k, method, "chunk_id", where=where)
         if where is None:
             docs = self.table("documents").withColumnRenamed("text", "_text")
@@ -290,7 +435,11 @@ class Store:
 
     def retrieve_bm25(self, text: str, top_k: int = 3, k: float = bm25.K, b: float = bm25.B, conjunctive: bool = False, where: Column | str | None = None) -> DataFrame:
         chunks = self.table("chunks").drop("embedding")
-        return bm25.retrieve(self.index(), chunks, text, top_k, "chunk_id", k, b, conjunctive, where)
+        if where is not None or conjunctive or self.index_age():  # then not all that is in the index counts
+            return bm25.retrieve(self.index(), chunks, text, top_k, "chunk_id", k, b, conjunctive, where)
+        query = self.spark.createDataFrame([(0, text)], "query_id int, text string")
+        found = self.segments().top(query, top_k, k=k, b=b).select(F.col("id").alias("chunk_id"), "metric_value")
+        return chunks.join(F.broadcast(found), "chunk_id").withColumn("metric_name", F.lit("bm25")).orderBy(F.desc_nulls_last("metric_value"), "chunk_id")  # top_k rows
 
     def retrieve(self, texts: str | Sequence[str], top_k: int = 3, merge: bool = True, where: Column | str | None = None) -> DataFrame:
         """What vectors and BM25 find for one text or several, each chunk once, with overlapping ranges merged."""
@@ -413,8 +562,8 @@ class FlatStore:
     def build_index(self, stemmed: bool = True) -> None:
         """The full-text index over the texts as they are now, in a new folder."""
         now, folder = self._now(), f"{self.path}/index/{uuid.uuid4().hex}"
-        bm25.build(self._rows(), "chunk_id", ["text"], stemmed, stop_words=stemmed).write(folder)
-        self.spark.createDataFrame([(now["number"] if now else 0, folder, stemmed)], _INDEX).coalesce(1).write.mode("append").parquet(f"{self.path}/indexes")
+        segments.write_segment(self._rows(), folder, "chunk_id", ["text"], stemmed, stop_words=stemmed)
+        self.spark.createDataFrame([(now["number"] if now else 0, [folder], stemmed)], _INDEX).coalesce(1).write.mode("append").parquet(f"{self.path}/indexes")
 
     def retrieve_vss(self, text: str | Sequence[float], top_k: int = 3, method: str = "cosine_distance", where: Column | str | None = None) -> DataFrame:
         """The top_k chunks nearest to a text or vector, nearest first, with metric_name and metric_value."""
@@ -424,10 +573,10 @@ class FlatStore:
     def retrieve_bm25(self, text: str, top_k: int = 3, k: float = bm25.K, b: float = bm25.B, conjunctive: bool = False, where: Column | str | None = None) -> DataFrame:
         """The top_k chunks by BM25, best first, by the index built last."""
         try:
-            found = self.spark.read.schema(_INDEX).parquet(f"{self.path}/indexes").orderBy(F.desc("number"), "folder").first()
+            found = self.spark.read.schema(_INDEX).parquet(f"{self.path}/indexes").orderBy(F.desc("number"), "folders").first()
         except AnalysisException as e:
             raise ValueError("the store has no full-text index: build_index() makes one") from e
-        index = bm25.Index.read(self.spark, found["folder"], found["stemmed"], found["stemmed"])
+        index = segments.SegmentIndex(self.spark, list(found["folders"]), found["stemmed"], found["stemmed"]).index()
         return bm25.retrieve(index, self._rows().drop("embedding"), text, top_k, "chunk_id", k, b, conjunctive, where)
 
     def retrieve(self, text: str, top_k: int = 3, where: Column | str | None = None) -> DataFrame:

@@ -192,23 +192,167 @@ def test_an_update_writes_what_changes_only(spark, tmp_path):
     assert store.table("documents").schema["doc_id"].dataType.simpleString() == "bigint"
 
 
-def test_two_writers_at_once(spark, tmp_path):
+def insert(store, rows, **more):
+    some = keyed(docs(store.spark, rows)).cache()
+    store.insert(some, prepare(1)(some).drop("n") if not store.extra.names else prepare(1)(some), **more)
+
+
+def between(store, monkeypatch, act):
+    """Runs act() when the store's next change is about to claim its number."""
+    claim, done = store._claim, []
+
+    def late(number):
+        if not done:
+            done.append(number)
+            act()
+        return claim(number)
+
+    monkeypatch.setattr(store, "_claim", late)
+
+
+def test_two_writers_with_different_origins(spark, store, monkeypatch):
+    insert(store, [("a", "one"), ("b", "two")])
+    other = Store(spark, store.path)
+    between(store, monkeypatch, lambda: (insert(other, [("c", "three\n\nfour")]), ingest(other, docs(spark, [("b", "two anew")]), prepare(1), build_index=False)))
+    load = docs(spark, [("a", "one anew"), ("d", "five")])
+    assert ingest(store, load, prepare(1), build_index=False)[0] == 2
+    rows = store.table("documents").collect()
+    assert {r["origin"]: r["text"] for r in rows} == {"a": "one anew", "b": "two anew", "c": "three\n\nfour", "d": "five"}
+    assert len({r["doc_id"] for r in rows}) == 4 and store._now()["number"] == 4
+    chunks = store.table().collect()
+    assert len({r["chunk_id"] for r in chunks}) == len(chunks) and sorted(r["text"] for r in chunks) == ["five", "one anew", "three\n\nfour", "two anew"]
+    insert(store, [("e", "six")])
+    assert max(r["doc_id"] for r in store.table("documents").collect()) == store._now()["last_doc"] == 5
+
+
+def test_two_writers_with_an_origin_in_common(spark, store, monkeypatch):
     from lexloom.store import StoreConflict
 
-    store = Store.create(spark, str(tmp_path / "s"), embedder=None)
-    one, two = store._now(), store._now()
-    store._commit(one, [], [], [], 1, 1)
-    with pytest.raises(StoreConflict):
-        store._commit(two, [], [], [], 2, 2)
-    assert store._now()["last_doc"] == 1 and not store.release()
-    from lexloom.store import claimed
-
-    assert claimed(spark, store.root, 2)  # a writer that dies now
-    with pytest.raises(StoreConflict):
-        store._commit(store._now(), [], [], [], 3, 3)
+    insert(store, [("a", "one")])
+    other = Store(spark, store.path)
+    between(store, monkeypatch, lambda: ingest(other, docs(spark, [("a", "theirs")]), prepare(1), build_index=False))
+    with pytest.raises(StoreConflict, match="origins"):
+        ingest(store, docs(spark, [("a", "mine")]), prepare(1), build_index=False)
+    assert store.table("documents").first()["text"] == "theirs"
+
+
+def test_a_writer_that_died(spark, store, monkeypatch):
+    from lexloom import store as module
+    from lexloom.store import StoreConflict
+
+    monkeypatch.setattr(module, "PATIENCE", 0)
+    assert not store.release() and store._claim(1) and not store._claim(1)
+    with pytest.raises(StoreConflict, match="release"):
+        insert(store, [("a", "one")])
     assert store.release()
-    store._commit(store._now(), [], [], [], 3, 3)
-    assert store._now()["last_doc"] == 3
+    insert(store, [("a", "one")])
+    assert store._now()["number"] == 1
+
+
+def test_claims_where_creation_is_not_atomic(spark, tmp_path):
+    from lexloom import log
+
+    class Other:  # a file system without conditional creation
+        pass
+
+    assert log.claimed(spark, str(tmp_path), 1) and not log.claimed(spark, str(tmp_path), 1)
+    system, path = log.file_system(spark, str(tmp_path / "x"))
+    with pytest.raises(Exception, match="conditional"):
+        system.createFile(path).overwrite(False).must(log.CONDITIONAL, True).build()
+
+
+def test_snapshots_and_vacuum(spark, store):
+    insert(store, [("a", "one"), ("b", "two")])
+    for i in range(3):
+        ingest(store, docs(spark, [("a", f"version {i}")]), prepare(1), build_index=False)
+    texts = lambda at=None: {r["origin"]: r["text"] for r in store.table("documents", at).collect()}
+    want = {1: "one", 2: "version 0", 3: "version 1", 4: "version 2"}
+    assert {at: texts(at)["a"] for at in want} == want and len(store.table("chunks", 2).collect()) == 2 and texts(0) == {}
+    store.compact()
+    assert {at: texts(at)["a"] for at in want} == want and texts() == texts(4)
+    assert store.vacuum() == 0  # nothing is old enough
+    assert store.vacuum(2, seconds=0) > 0 and texts(3)["a"] == "version 1"  # staged folders only
+    assert store.vacuum(seconds=0) > 5 and texts() == {"a": "version 2", "b": "two"} and store.vacuum(seconds=0) == 0
+    with pytest.raises(Exception):
+        texts(2)
+    with pytest.raises(ValueError, match="no change"):
+        store.table("documents", 99)
+    ingest(store, docs(spark, [("a", "after")]), prepare(1), build_index=False)
+    assert texts() == {"a": "after", "b": "two"} and [r["number"] for r in store.changes().orderBy("number").collect()] == list(range(7))
+
+
+def test_an_update_reads_files_that_may_have_its_origin(spark, tmp_path, monkeypatch):
+    store = Store.create(spark, str(tmp_path / "s"), embedder=None)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several files of little data
+    try:
+        for n in range(4):
+            assert ingest(store, docs(spark, [(f"o{i:03}", f"document {i}") for i in range(n, 200, 4)]), build_index=False)[0] == 50
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    every = {k: store._read(store._now(), k).inputFiles() for k in ("documents", "chunks")}
+    read, real = {"documents": [], "chunks": []}, store._read
+
+    def seen(now, kind, files=None, numbered=False):
+        rows = real(now, kind, files, numbered)
+        read[kind] += rows.inputFiles()
+        return rows
+
+    monkeypatch.setattr(store, "_read", seen)
+    assert ingest(store, docs(spark, [("o005", "changed")]), build_index=False)[0] == 1
+    assert len(every["documents"]) >= 12 and len([f for f in read["documents"] if "/documents/" in f]) <= 3 and len([f for f in read["chunks"] if "/chunks/" in f]) <= 3
+    monkeypatch.undo()
+    origins = lambda *x: spark.createDataFrame([(o,) for o in x], "key string")
+    assert len(store.files("documents", origins("o005"))) in (2, 3) and store.files("documents", origins("zz", "")) == [] and store.files("documents", origins(None)) == []
+    assert {r["text"] for r in store.table().where("origin in ('o005', 'o006')").collect()} == {"changed", "document 6"}
+
+
+def test_bloom_filters():
+    import numpy as np
+
+    from lexloom import log
+
+    rng = np.random.default_rng(1)
+    inside, outside = rng.integers(-(2**63), 2**63, 5000), rng.integers(-(2**63), 2**63, 5000)
+    field = log.bloom(inside)
+    assert log.may_hold(field, inside).all() and log.may_hold(field, outside).mean() < 0.02
+    assert not log.may_hold(log.bloom(inside[:0]), outside).any()
+
+
+def test_the_index_takes_changes_as_segments(spark, tmp_path):
+    """After each change the scores are those of an index built anew, and bytes written go with the change."""
+    from lexloom.operators import bm25
+
+    store = Store.create(spark, str(tmp_path / "s"), embedder=None)
+    words = ["cats", "dogs", "cake", "running", "horses", "trees"]
+    text = lambda i, v=0: " ".join(words[(i * 7 + j * (3 + v)) % 6] for j in range(5 + i % 40)) + f" w{chr(97 + i % 26)}x u{chr(97 + i % 23)}{chr(97 + i // 23 % 23)}{chr(97 + i // 529)}"
+    ingest(store, docs(spark, [(f"o{i}", text(i)) for i in range(3000)]))
+    size = lambda: {k: v for k, v in files(store).items() if "/index/" in k}
+    first = size()
+    for step in range(5):
+        ingest(store, docs(spark, [("o7", text(7, step + 1) + f" step{step}"), (f"new{step}", "cake dogs")]), build_index=False)
+        before = size()
+        assert store.refresh_index() and not store.refresh_index()
+        new = {k: v for k, v in size().items() if k not in before}
+        assert sum(new.values()) < sum(first.values()) / 4
+        asked = spark.createDataFrame([(0, "cats and running horse"), (1, "cake"), (2, f"step{step}"), (3, "wgx")], "query_id int, text string")
+        built = bm25.build(store.table(), "chunk_id", ["context", "text"], stemmed=True, stop_words=True)
+        want = {(r[0], r[1]): r[2] for r in bm25.score(built, asked).collect()}
+        assert {(r[0], r[1]): r[2] for r in bm25.score(store.index(), asked).collect()} == pytest.approx(want)
+    assert len(store.segments().paths) < 6  # merged on the way
+    store.compact()
+    assert store.refresh_index() and len(store.segments().paths) == 1
+
+
+def test_vectors_by_cells(spark, store):
+    ingest(store, docs(spark, [(f"o{i}", f"word{i} and text{i % 7}") for i in range(60)]), prepare(1))
+    with pytest.raises(ValueError, match="no vector index"):
+        store.retrieve_vss("word3", probes=2)
+    store.build_vectors()
+    found = lambda probes: [r["origin"] for r in store.retrieve_vss("word3 and text3", 5, probes=probes).collect()]
+    assert found(99) == found(None) and found(1)[0] == "o3"
+    ingest(store, docs(spark, [("o3", "something else"), ("new", "word3 and text3")]), prepare(1))
+    assert store.refresh_vectors() and not store.refresh_vectors()
+    assert found(1)[0] == "new" and "o3" not in found(99)[:1] and found(99) == found(None)
 
 
 def test_the_index_knows_its_age(spark, store):
