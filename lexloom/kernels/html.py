@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -11,6 +12,12 @@ _BLOCK = frozenset("p div section article main header footer nav aside ul ol tab
 _CLOSES_P = _BLOCK | frozenset("h1 h2 h3 h4 h5 h6 pre blockquote hr li".split())
 
 
+#: Containers that are nested deeper are passed over and what is in them belongs to the one at this depth, as browsers have it;
+#: elements with a text of their own are kept for a few levels more.
+DEPTH, MORE = 200, 20
+_OWN = frozenset("h1 h2 h3 h4 h5 h6 p pre a code".split())
+
+
 class Node:
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
@@ -26,21 +33,38 @@ class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.now = Node("", {}, None)
+        self.depth, self.deeper, self.of = 0, [], Counter()
 
     def handle_starttag(self, tag, attrs):
         if tag in _CLOSES_P and self.now.tag == "p" or tag == "li" and self.now.tag == "li":
-            self.now = self.now.parent
+            self.leave(self.now, 1)
+        if tag not in _VOID and self.depth >= DEPTH + MORE * (tag in _OWN):
+            self.deeper.append((tag, self.depth))
+            self.of[tag] += 1
+            return
         node = Node(tag, {k: v or "" for k, v in attrs}, self.now)
         self.now.children.append(node)
         if tag not in _VOID:
-            self.now = node
+            self.now, self.depth = node, self.depth + 1
 
     def handle_endtag(self, tag):
-        at = self.now
+        if self.of[tag] and self.now.tag != tag:
+            while True:
+                last, _ = self.deeper.pop()
+                self.of[last] -= 1
+                if last == tag:
+                    return
+        at, up = self.now, 1
         while at.parent and at.tag != tag:
-            at = at.parent
+            at, up = at.parent, up + 1
         if at.parent:
-            self.now = at.parent
+            self.leave(at, up)
+
+    def leave(self, node, up):
+        """Goes up to the parent of a node; what was passed over inside it is closed too."""
+        self.now, self.depth = node.parent, self.depth - up
+        while self.deeper and self.deeper[-1][1] > self.depth:
+            self.of[self.deeper.pop()[0]] -= 1
 
     def handle_data(self, data):
         self.now.children.append(data)

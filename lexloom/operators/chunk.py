@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from ..kernels import markdown
 from ..kernels.boundaries import packed, pieces, split
 from ..kernels.chunking import chunk
+from ..kernels.events import tag_texts
 
 DEFAULT_BOUNDARIES = ("paragraph", "sentence", "line_break", "word", "character")
 
@@ -96,6 +97,23 @@ def frame(segments: DataFrame, keys: Sequence[str], nodes: Sequence[str] = ("h1"
     return kept.select(*keys, pos, *[F.col(f"_n{i}").alias(n) for i, n in enumerate(nodes)], F.when(F.col("_leaf"), F.col(names)).alias(names), F.when(F.col("_leaf"), F.col(leaves)).alias(leaves))
 
 
+def html_segments(pages: DataFrame, tags: Sequence[str] = ("h1", "h2", "h3", "p"), html_col: str = "html") -> DataFrame:
+    """pages without their html, a row for each piece: pos, tag, text. Pieces are the elements of the tags and what is between
+    them, which has an empty tag; see kernels.events. Null html has no rows; elements may be nested to any depth."""
+    listed = list(tags)
+    rows = pages.drop(*[c for c in ("pos", "tag", "text") if c != html_col]).withColumnRenamed(html_col, "text")
+    return _exploded(rows, "text", "pos int, tag string, text string", lambda h: [(i, t, x) for i, (t, x) in enumerate(tag_texts(h, listed))])
+
+
+def html_frame(pages: DataFrame, keys: Sequence[str], frame_by: Sequence[str] = ("h1", "h2", "h3"), split_by: Sequence[str] | None = None, html_col: str = "html") -> DataFrame:
+    """The pieces of html_segments() as rows under the elements of frame_by, as frame() has them. Without further tags in split_by
+    there is no column for these."""
+    split_by = list(frame_by if split_by is None else split_by)
+    pieces_of = html_segments(pages.select(*keys, html_col), [*dict.fromkeys([*split_by, *frame_by])], html_col)
+    out = frame(pieces_of, keys, frame_by)
+    return out.drop("tag") if set(split_by) == set(frame_by) else out
+
+
 def chunk_targets(docs: DataFrame, length: Column, size: int, step: int) -> DataFrame:
     """Columns of docs and the evenly spaced (start, end) targets of a document of that length, without segments."""
     last = length - size + 1

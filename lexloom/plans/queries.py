@@ -546,7 +546,7 @@ def pack_lines(spark, sf_dir):
 
 @query()
 def html_to_markdown(spark, sf_dir):
-    return pages_as_markdown(table(spark, sf_dir, "pages"), extract=("article",))
+    return pages_as_markdown(table(spark, sf_dir, "pages"), extract=("article",)).drop("problem")
 
 
 @query()
@@ -558,3 +558,20 @@ def embed_hashing(spark, sf_dir):
 @query()
 def tool_json(spark, sf_dir):
     return _top(_scored(spark, sf_dir)).select(F.to_json(F.struct("query_id", "doc_id", "rank", "score"), {"ignoreNullFields": "false"}).alias("json"))
+
+
+_TAGS = ("h1", "h2", "h3", "p")
+
+
+@query(" UNION ALL ".join(
+    rf"""SELECT * FROM (SELECT page_id, '{t}' AS tag, CAST(len(regexp_extract_all(seen, '(?i)<{t}[\s/>]')) AS BIGINT) AS n FROM (SELECT page_id, {_SEEN} AS seen FROM pages)) WHERE n > 0"""
+    for t in _TAGS))
+def html_segments(spark, sf_dir):
+    """Elements of each page by tag; their texts are tested against a tree."""
+    found = chunk.html_segments(table(spark, sf_dir, "pages").select("page_id", "html"), _TAGS).where("tag <> ''")
+    return found.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+
+
+@query()
+def html_frame(spark, sf_dir):
+    return chunk.html_frame(table(spark, sf_dir, "pages").select("page_id", "html"), ["page_id"], ("h1", "h2"), ("h1", "h2", "p"))

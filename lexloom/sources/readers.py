@@ -10,7 +10,7 @@ import zipfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_markdown
@@ -71,18 +71,28 @@ def read_as_markdown(spark: SparkSession, path: str | Sequence[str], extract: Se
 
 
 def pages_as_markdown(pages: DataFrame, extract: Sequence[str] = ("main",), zap: Sequence[str] = ("nav",), url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(origin, text) of a table of pages."""
+    """(origin, text, problem) of a table of pages. A page that can't be converted has its problem and a null text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [to_markdown(h, tuple(extract), tuple(zap)) for h in b.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("origin"), pa.array(texts, pa.string())], ["origin", "text"])
+            texts, problems = [], []
+            for h in b.column("html").to_pylist():
+                try:
+                    texts.append(to_markdown(h, tuple(extract), tuple(zap)))
+                    problems.append(None)
+                except Exception as e:  # kept as a column
+                    texts.append(None)
+                    problems.append(f"{type(e).__name__}: {e}")
+            yield pa.RecordBatch.from_arrays([b.column("origin"), pa.array(texts, pa.string()), pa.array(problems, pa.string())], ["origin", "text", "problem"])
 
     rows = pages.select(F.col(url_col).alias("origin"), F.col(html_col).alias("html"))
-    return rows.mapInArrow(run, "origin string, text string").withColumn("text", normalize_markdown(F.col("text")))
+    return rows.mapInArrow(run, "origin string, text string, problem string").withColumn("text", normalize_markdown(F.col("text")))
 
 
-def transcript_text(df: DataFrame, snippets_col: str = "snippets") -> DataFrame:
-    """df with the text of transcripts array<struct<text, start, duration>>, by start; empty ones give empty texts."""
-    ordered = F.array_sort(F.transform(snippets_col, lambda s: F.struct(s["start"].alias("start"), s["text"].alias("text"))))
-    return df.withColumn("text", F.array_join(F.transform(ordered, lambda s: s["text"]), " "))
+def transcript_text(df: DataFrame, snippets_col: str = "snippets", formatter: Callable[[Column], Column] = lambda s: s["text"], glue: str = " ") -> DataFrame:
+    """df with the text of transcripts array<struct<text, start, duration>>, by start; empty ones give empty texts. The formatter
+    turns a snippet, a struct Column of these three, into its text."""
+    fields = df.schema[snippets_col].dataType.elementType.names
+    first = ["start", *(f for f in ("text", "duration") if f in fields)]
+    ordered = F.array_sort(F.transform(snippets_col, lambda s: F.struct(*[s[f].alias(f) for f in first])))
+    return df.withColumn("text", F.array_join(F.transform(ordered, formatter), glue))

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .cache import EmbeddingCache
 from .embedders import Embedder, Transport, embed_texts, with_embeddings
 from .functions.text import embed_input, slice_text
 from .log import CHANGE, MANIFEST, State, claimed, described, file_system, files_with, state
@@ -67,8 +68,8 @@ def cast_lossless(df: DataFrame, schema: T.StructType) -> DataFrame:
 class Store:
     """documents(doc_id, origin, text) and chunks(doc_id, chunk_id, start, end, context, extra columns, embedding)."""
 
-    def __init__(self, spark: SparkSession, path: str, transport: Transport | None = None):
-        self.spark, self.path, self.transport = spark, path.rstrip("/"), transport
+    def __init__(self, spark: SparkSession, path: str, transport: Transport | None = None, cache: EmbeddingCache | None = None):
+        self.spark, self.path, self.transport, self.cache = spark, path.rstrip("/"), transport, cache
         try:
             meta = spark.read.schema(_META).parquet(f"{self.path}/metadata").first()
         except AnalysisException:
@@ -80,7 +81,7 @@ class Store:
         self.extra, self.root = T.StructType.fromJson(json.loads(meta["extra"])), f"{self.path}/{meta['root']}"
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, embedder: Embedder | None = Embedder(), extra_cols: T.StructType | str = T.StructType(), name: str = "store", title: str | None = None, overwrite: bool = False, transport: Transport | None = None) -> Store:
+    def create(cls, spark: SparkSession, path: str, embedder: Embedder | None = Embedder(), extra_cols: T.StructType | str = T.StructType(), name: str = "store", title: str | None = None, overwrite: bool = False, transport: Transport | None = None, cache: EmbeddingCache | None = None) -> Store:
         """A new store. An existing one is an error unless overwrite. Reserved names among extra_cols are left out.
 
         Its tables are in a folder of their own, which the metadata name: one that is overwritten is never seen half.
@@ -100,7 +101,7 @@ class Store:
             if "PATH_ALREADY_EXISTS" in str(e):
                 raise ValueError(f"File already exists: {path}") from e
             raise
-        return cls(spark, path, transport)
+        return cls(spark, path, transport, cache)
 
     # tables
 
@@ -230,7 +231,8 @@ class Store:
     def _prepared(self, chunks: DataFrame) -> DataFrame:
         """Chunks of the store's columns, embedded unless they bring vectors."""
         if self.embedder and "embedding" not in chunks.columns:
-            chunks = with_embeddings(chunks.withColumn("_input", embed_input(F.col("context"), F.col("text"))), self.embedder, "_input", self.transport).drop("_input")
+            made = self.cache.with_embeddings if self.cache else with_embeddings
+            chunks = made(chunks.withColumn("_input", embed_input(F.col("context"), F.col("text"))), self.embedder, "_input", self.transport).drop("_input")
         return cast_lossless(chunks, self._chunks)
 
     def insert(self, documents: DataFrame, chunks: DataFrame) -> None:
@@ -483,6 +485,16 @@ class Store:
         return found.select("chunk_id", "text", F.col("_xy")[0].alias("x"), F.col("_xy")[1].alias("y"))
 
 
+def connect(spark: SparkSession, path: str, transport: Transport | None = None, **flat) -> Store | FlatStore:
+    """The store at a path, whichever format it has; `flat` are FlatStore's further settings. Anything else is a ValueError."""
+    there = lambda name: (lambda system, at: system.exists(at))(*file_system(spark, f"{path.rstrip('/')}/{name}"))
+    if there("metadata"):
+        return Store(spark, path, transport)
+    if there("changes"):
+        return FlatStore(spark, path, transport=transport, **flat)
+    raise ValueError(f"not a store: {path}")
+
+
 class FlatStore:
     """The first store format: one table chunks(chunk_id, origin, hash, text, extra columns[, embedding]) without documents.
 
