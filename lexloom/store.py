@@ -16,12 +16,13 @@ import json
 import re
 import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from .cache import EmbeddingCache
 from .embedders import Embedder, Transport, embed_texts, with_embeddings
@@ -151,6 +152,41 @@ class Store:
         """(number, base, last_doc, last_chunk) of all changes that were committed."""
         return self.spark.read.schema(CHANGE).parquet(f"{self.root}/changes").select("number", "base", "last_doc", "last_chunk")
 
+    def feed(self, after: int, to: int | None = None, kind: str = "embeddings") -> DataFrame:
+        """What changed in documents or embeddings after change `after` up to change `to` (the last one by default): rows with
+        `_kind`, insert or delete. Deleting and then inserting them turns the one state into the other.
+
+        Read are the folders that these changes wrote, and of the state before only files with a replaced document.
+        """
+        if kind not in ("documents", "embeddings"):
+            raise ValueError(f"no feed of {kind!r}")
+        own, now, then = "documents" if kind == "documents" else "chunks", self._now(to), self._now(after)
+        log = self.spark.read.schema(CHANGE).parquet(f"{self.root}/changes").where(F.col("number").between(after + 1, now["number"]) & (F.col("number") > F.col("base"))).collect()
+        gone = [f for r in log for f in r["gone"]]
+        new = State(now["number"], now["base"], [f for r in log for f in r["documents"]], [f for r in log for f in r["chunks"]], gone, [], 0, 0)
+        added = self._read(new, own).withColumn("_kind", F.lit("insert"))
+        if not gone:
+            return added
+        ids = self.spark.read.schema(_GONE).parquet(*gone).select("doc_id").distinct()
+        files = None
+        if own == "chunks":
+            files = self.files("chunks", ids.select(F.col("doc_id").alias("key")), then)
+        lost = self._read(then, own, files).join(ids, "doc_id", "left_semi")
+        return lost.withColumn("_kind", F.lit("delete")).unionByName(added)
+
+    def follow(self, apply: Callable[[DataFrame, int], None], checkpoint: str, kind: str = "embeddings", **trigger) -> StreamingQuery:
+        """Calls apply(feed, number) for what each micro-batch of new changes brings, from the store's beginning on; `number` is
+        that of the last change. The log of changes is the stream, so that a restart goes on where the last one ended; after
+        a failure a feed may come again, from the same number on. trigger: as in writeStream.trigger."""
+
+        def batch(changes_of: DataFrame, _: int) -> None:
+            found = changes_of.agg(F.min("number"), F.max("number")).first()
+            if found[1]:
+                apply(self.feed(max(found[0], 1) - 1, found[1], kind), found[1])
+
+        log = self.spark.readStream.schema(CHANGE).parquet(f"{self.root}/changes")
+        return log.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
     def _cut(self, chunks: DataFrame, documents: DataFrame) -> DataFrame:
         joined = chunks.join(documents.withColumnRenamed("text", "_text"), "doc_id")
         return joined.select("origin", *chunks.columns, slice_text(F.col("_text"), F.col("start"), F.col("end")).alias("text"))

@@ -343,6 +343,37 @@ def test_the_index_takes_changes_as_segments(spark, tmp_path):
     assert store.refresh_index() and len(store.segments().paths) == 1
 
 
+def test_the_feed_turns_one_state_into_another(spark, store, tmp_path):
+    insert(store, [("a", "one"), ("b", "two")])
+    ingest(store, docs(spark, [("a", "one anew"), ("c", "three")]), prepare(1), build_index=False)
+    store.compact()
+    ingest(store, docs(spark, [("c", "three anew"), ("a", "one again")]), prepare(1), build_index=False)
+    key = lambda df: sorted(tuple(map(str, r)) for r in df.collect())
+    for kind in ("documents", "embeddings"):
+        states = {n: key(store.table(kind, n)) for n in range(5)}
+        for after in range(5):
+            for to in range(after, 5):
+                feed = store.feed(after, to, kind)
+                rows = {k: key(feed.where(f"_kind = '{k}'").drop("_kind")) for k in ("insert", "delete")}
+                assert set(rows["delete"]) <= set(states[after])
+                assert sorted([*(set(states[after]) - set(rows["delete"])), *rows["insert"]]) == states[to], (kind, after, to)
+    replica, seen = {}, []
+
+    def apply(feed, number):
+        found = feed.collect()
+        for r in sorted(found, key=lambda r: r["_kind"]):
+            replica.pop(r["doc_id"], None) if r["_kind"] == "delete" else replica.__setitem__(r["doc_id"], r["text"])
+        seen.append(number)
+
+    store.follow(apply, str(tmp_path / "ck"), "documents").awaitTermination()
+    assert replica == {r["doc_id"]: r["text"] for r in store.table("documents").collect()} and seen == [4]
+    insert(store, [("d", "four")])
+    store.follow(apply, str(tmp_path / "ck"), "documents").awaitTermination()
+    assert seen == [4, 5] and "four" in replica.values()
+    with pytest.raises(ValueError):
+        store.feed(0, kind="chunks")
+
+
 def test_vectors_by_cells(spark, store):
     ingest(store, docs(spark, [(f"o{i}", f"word{i} and text{i % 7}") for i in range(60)]), prepare(1))
     with pytest.raises(ValueError, match="no vector index"):
