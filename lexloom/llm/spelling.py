@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, small, text_of, written
+from .common import ready, text_of, written
 
 #: Words of a block that is not divided, while more than one place is open.
 BLOCK = 512
@@ -82,13 +82,13 @@ def _blocks(words: DataFrame) -> Iterator[DataFrame]:
         same = [F.col(k) == F.col(f"k_{k}") for k in KEY]
         divided = sizes.where("hot")
         any_hot = not divided.isEmpty()
-        yield (rows.join(small(divided), same, "left_anti") if any_hot else rows).select(*KEY, "word", "n")
+        yield (rows.join(divided, same, "left_anti") if any_hot else rows).select(*KEY, "word", "n")
         if not any_hot:
             return
         open_half = F.floor((F.col("size") - F.col("a") - F.col("b")) / 2)
         longer_start = side(F.col("a") + open_half, F.col("b"))
         longer_end = side(F.col("a"), F.col("size") - F.col("a") - open_half)
-        rows = _halves(rows.join(small(divided), same, "left_semi").select("word", "n", "size", "a", "b"), F.array(longer_start, longer_end))
+        rows = _halves(rows.join(divided, same, "left_semi").select("word", "n", "size", "a", "b"), F.array(longer_start, longer_end))
 
 
 def block_pairs(size: int, a: int, b: int, own: list[tuple[str, int]], longer: list[tuple[str, int]]) -> Iterator[tuple[str, int, str, int]]:
@@ -155,7 +155,8 @@ def variants(words: DataFrame) -> DataFrame:
     """(word, form, root, n, n_near, form_n) of distinct words(word, n) without nulls; see the query's contract for the names.
 
     Words compare by code points, as bytes of UTF-8 do; very long words are words like others. A table without words gives
-    no rows; other columns are not looked at. Forms grow in n by TIMES, so that following them ends; each step is a join.
+    no rows; other columns are not looked at. Forms grow in n by TIMES, so that following them ends; each step is a join. Words may be
+    long, so that no side is broadcast by its rows.
     """
     words = written(words.select("word", "n"), "spelling-words")
     best = near_pairs(words).groupBy("word", "n").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("minus"), F.col("near").alias("form"))).alias("best"))
@@ -166,11 +167,11 @@ def variants(words: DataFrame) -> DataFrame:
     roots = step
     while True:  # after k rounds, roots are 2^k steps away or the last
         onward = roots.select(F.col("w").alias("v"), F.col("root").alias("further"))
-        joined = written(roots.join(small(onward), F.col("root") == F.col("v"), "left"), "spelling-roots")
+        joined = written(roots.join(onward, F.col("root") == F.col("v"), "left"), "spelling-roots")
         moved = joined.where("further is not null").isEmpty()
         roots = joined.select("w", F.coalesce("further", "root").alias("root"))
         if moved:
             break
     roots = roots.select(F.col("w").alias("r"), "root")
-    out = words.join(small(best), F.col("word") == F.col("w"), "left").join(small(roots), F.col("word") == F.col("r"), "left")
+    out = words.join(best, F.col("word") == F.col("w"), "left").join(roots, F.col("word") == F.col("r"), "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n")
