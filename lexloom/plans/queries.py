@@ -210,8 +210,9 @@ WITH t AS (SELECT doc_id, unnest([x for x in regexp_split_to_array(lower(coalesc
 p AS (SELECT term, doc_id, count(*) AS tf FROM t GROUP BY ALL)
 SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM p GROUP BY term""")
 def bm25_dictionary(spark, sf_dir):
-    index = bm25.build(table(spark, sf_dir, "documents"), "doc_id", ["text"])
-    return index.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    found = segments.blocks(table(spark, sf_dir, "documents"), "doc_id", ["text"], False, False).where("term is not null")
+    times = F.aggregate("tf", F.lit(0).cast("long"), lambda a, x: a + x)
+    return found.groupBy("term").agg(F.sum(F.size("ids")).cast("long").alias("df"), F.sum(times).cast("long").alias("total"))
 
 
 @query(f"""
