@@ -59,6 +59,7 @@ def request(spec: Embedder, texts: list[str]) -> tuple[str, dict]:
     url = s.get("base_url", "").rstrip("/") + path.format(**{"api_version": "", "project_id": "", "location": "", **s, "model": model})
     if spec.provider == "google_gemini":
         more = {"outputDimensionality": int(s["dims"])} if "dims" in s else {}
+        more |= {"taskType": s["task_type"]} if "task_type" in s else {}
         return url, {"requests": [{"model": f"models/{model}", "content": {"parts": [{"text": t}]}, **more} for t in texts]}
     if spec.provider == "google_vertex":
         return url, {"instances": [{"content": t, **({"task_type": s["task_type"]} if "task_type" in s else {})} for t in texts]}
@@ -69,9 +70,19 @@ def request(spec: Embedder, texts: list[str]) -> tuple[str, dict]:
     body = {"input": texts} if spec.provider in ("databricks", "azure_openai") else {"model": model, "input": texts}
     if "dims" in s:
         body["dimensions"] = int(s["dims"])
+    if "user" in s and spec.provider in ("openai", "azure_openai"):
+        body["user"] = s["user"]
     return url, body
 
 
+def texts_a_request(spec: Embedder) -> int:
+    """Texts of one request; some models take one only."""
+    model = spec.model or PROVIDERS[spec.provider][0]
+    if spec.provider == "bedrock" and "titan" in model or spec.provider == "google_vertex" and model.startswith("gemini"):
+        return 1
+    return int(spec.settings.get("batch_size", PROVIDERS[spec.provider][1]))
+
+
 def vectors(spec: Embedder, answer: dict) -> list[list[float]]:
     """The vectors of an answer, in the order of the texts."""
     if spec.provider == "google_gemini":
@@ -98,23 +109,25 @@ def hashed(text: str, dims: int) -> list[float]:
 
 
 def embed_texts(spec: Embedder, texts: list[str], transport: Transport | None = None, tries: int = 3) -> list[list[float]]:
-    """Vectors of texts, in requests of the provider's size; a failed request is tried again up to `tries` times."""
+    """Vectors of texts, in requests of the provider's size; a failed request (OSError, as HTTP errors and time-outs are) is tried
+    again up to `tries` times, unless the setting `max_seconds` have passed since its first try (10 by default)."""
     if spec.provider == "hashing":
         return [hashed(t, int(spec.settings.get("dims", 64))) for t in texts]
     if spec.provider not in PROVIDERS:
         raise ValueError(f"unknown provider {spec.provider!r}")
     if transport is None:
         raise ValueError(f"{spec.provider} needs a transport")
-    size = 1 if spec.provider == "bedrock" and "titan" in spec.model else int(spec.settings.get("batch_size", PROVIDERS[spec.provider][1]))
+    size, limit = texts_a_request(spec), float(spec.settings.get("max_seconds", 10))
     out: list[list[float]] = []
     for lo in range(0, len(texts), size):
         url, body = request(spec, texts[lo : lo + size])
+        began = time.monotonic()
         for n in range(tries):
             try:
                 out += vectors(spec, transport(url, dict(spec.settings.get("headers", {})), body))
                 break
             except OSError:
-                if n + 1 == tries:
+                if n + 1 == tries or time.monotonic() - began + 2**n > limit:
                     raise
                 time.sleep(min(10, 2**n))
     if len(out) != len(texts):

@@ -479,20 +479,23 @@ class Store:
         found = self.segments().top(query, top_k, k=k, b=b).select(F.col("id").alias("chunk_id"), "metric_value")
         return chunks.join(F.broadcast(found), "chunk_id").withColumn("metric_name", F.lit("bm25")).orderBy(F.desc_nulls_last("metric_value"), "chunk_id")  # top_k rows
 
-    def retrieve(self, texts: str | Sequence[str], top_k: int = 3, merge: bool = True, where: Column | str | None = None) -> DataFrame:
-        """What vectors and BM25 find for one text or several, each chunk once, with overlapping ranges merged."""
+    def retrieve(self, texts: str | Sequence[str], top_k: int = 3, merge: bool = True, where: Column | str | None = None, exclude: DataFrame | None = None) -> DataFrame:
+        """What vectors and BM25 find for one text or several, each chunk once, with overlapping ranges merged. The filter and
+        `exclude` (chunk_ids already seen) hold before the top_k are taken."""
         keys = ["origin", "doc_id", "chunk_id", "start", "end", "context", *self.extra.names]
         texts = [texts] if isinstance(texts, str) else list(texts)
         items = self.table("chunks").drop("embedding")
         items = items if where is None else items.where(where)
+        unseen = lambda rows: rows if exclude is None else rows.join(exclude.select("chunk_id"), "chunk_id", "left_anti")
+        items = unseen(items)
         asked = self.spark.createDataFrame(list(enumerate(texts)), "_query int, text string")
         scored = bm25.score(self.index(), asked, "_query")
-        if where is not None:
+        if where is not None or exclude is not None:
             scored = scored.join(items.select(F.col("chunk_id").alias("id")), "id", "left_semi")
         said = bm25.best(scored, top_k, "_query").withColumnRenamed("id", "chunk_id")
         near = said.where("false")
         if self.embedder and texts:
-            vectors = self.table("embeddings") if where is None else self.table("chunks").where(where)
+            vectors = unseen(self.table("embeddings") if where is None else self.table("chunks").where(where))
             of = self.spark.createDataFrame(list(enumerate(embed_texts(self.embedder, texts, self.transport))), "_query int, embedding array<float>")
             near = knn.nearest_many(vectors, of, top_k, id_col="chunk_id", query_col="_query").select("_query", "chunk_id", "metric_value")
         both = retrieve.hybrid(near.withColumn("metric_name", F.lit("cosine_distance")), said.withColumn("metric_name", F.lit("bm25")), ["_query", "chunk_id"], by=["_query"])

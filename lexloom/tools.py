@@ -21,8 +21,8 @@ class RetrievalTool:
         return {"name": self.name, "description": text, "input_schema": {"type": "object", "properties": {"texts": {"type": "array", "items": {"type": "string"}}}, "required": ["texts"]}}
 
     def __call__(self, texts: str | Sequence[str]) -> list[str]:
-        where = ~F.col("chunk_id").isin(list(self.seen)) if self.seen else None
-        found = self.store.retrieve(texts, self.top_k, where=where)
+        seen = self.store.spark.createDataFrame([(i,) for i in sorted(self.seen)], "chunk_id long") if self.seen else None
+        found = self.store.retrieve(texts, self.top_k, exclude=seen)
         rows = found.drop("cosine_distance", "bm25").select("chunk_id", F.to_json(F.struct(*[c for c in found.columns if c not in ("cosine_distance", "bm25")]), {"ignoreNullFields": "false"}).alias("json")).collect()
         self.seen |= {i for r in rows for i in r["chunk_id"]}
         return [r["json"] for r in rows]

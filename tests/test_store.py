@@ -168,6 +168,23 @@ def test_providers():
     assert embed_texts(Embedder(), ["a b"]) == embed_texts(Embedder(), ["b a"])
 
 
+def test_requests_have_the_settings():
+    from lexloom.embedders import texts_a_request
+
+    assert request(Embedder("openai", "m", {"user": "u"}), ["x"])[1]["user"] == "u" and "user" not in request(Embedder("ollama", "m", {"user": "u"}), ["x"])[1]
+    assert request(Embedder("google_gemini", "m", {"task_type": "RETRIEVAL_QUERY"}), ["x"])[1]["requests"][0]["taskType"] == "RETRIEVAL_QUERY"
+    assert [texts_a_request(Embedder("google_vertex", m)) for m in ("", "gemini-embedding-001")] == [20, 1]
+    calls = []
+
+    def slow(url, headers, body):
+        calls.append(url)
+        raise OSError("busy")
+
+    with pytest.raises(OSError):
+        embed_texts(Embedder("openai", "m", {"max_seconds": 0.5}), ["x"], slow)
+    assert len(calls) == 1
+
+
 def files(store):
     import os
 
