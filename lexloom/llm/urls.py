@@ -75,10 +75,10 @@ def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
     A null URL or one without ``://`` has an empty host and path and fits only an entry with an empty host.
     A URL that no entry fits is not listed: verdict allow. Entries with the same host and path: block wins; of
     fitting entries with equally long host + path, the one with the longer host. An empty list allows all.
-    Repeated rows are judged alike and kept; input columns named host, path, rule or verdict are replaced,
-    any others kept.
+    Repeated rows are judged alike and kept; input columns named host, path, rule or verdict, in any case, are
+    replaced, any others kept. Very long URLs are judged whole.
     """
-    kept = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
+    kept = [c for c in urls.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     rules = (
         rules.where(F.col("host").isNotNull() & F.col("path").isNotNull())
         .groupBy("host", "path").agg(F.max(F.coalesce("verdict", F.lit("block"))).alias("verdict"))

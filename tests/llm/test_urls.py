@@ -83,3 +83,11 @@ def test_the_query_against_its_sql(spark, sf):
     got = queries.QUERIES["op10_url_filter"](spark, sf)
     want = con.execute(f"select {', '.join(got.columns)} from ({queries.ORACLE_SQL['op10_url_filter']})").fetchall()
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_names_in_any_case_are_replaced(spark):
+    pages = spark.createDataFrame([("http://a.com/en/", "x", "y", "z", "v", 1)], "url string, Host string, PATH string, Rule string, verDict string, other int")
+    got = urls.judge(pages, urls.rule_table(spark))
+    assert sorted(got.columns) == ["host", "other", "path", "rule", "url", "verdict"] and got.first()["verdict"] == "block"
+    long = spark.createDataFrame([("http://a.com/en/" + "p" * 1_000_000,)], "url string")
+    assert urls.judge(long, urls.rule_table(spark)).first()["rule"] == "com/en/"
