@@ -29,7 +29,7 @@ def find_links(start: DataFrame, fetch: Callable[[DataFrame], DataFrame], depth:
     the stem of a start page, or those that begin with a given prefix; it and url_filter hold for redirected addresses too. Links
     whose page was asked for and not found are problems and no links. validate turns urls(url) into the ones(url) that
     answer; the others are problems and no links. Each level is one join of the frontier with the pages and one anti-join with what was
-    visited; its result is checkpointed in the shared folder, so the plan does not grow with depth.
+    visited; its result is checkpointed in the shared folder, so the plan grows by one scan of addresses a level.
     """
     stems = [children_only] if isinstance(children_only, str) else None
     if children_only is True:
@@ -42,7 +42,7 @@ def find_links(start: DataFrame, fetch: Callable[[DataFrame], DataFrame], depth:
             urls = urls.where(F.exists(F.array(*[F.lit(x) for x in stems]), lambda x: F.col("url").startswith(x)))
         return urls if url_filter is None else urls.where(url_filter(F.col("url")))
 
-    frontier = visited = start.select("url").distinct()
+    frontier = visited = checkpoint(start.select("url").distinct())
     collected = problems = moved = None
     for level in range(depth + 1):
         pages = fetch(frontier)
@@ -59,7 +59,7 @@ def find_links(start: DataFrame, fetch: Callable[[DataFrame], DataFrame], depth:
         problems = missing if problems is None else problems.union(missing)
         if level < depth:
             frontier = checkpoint(found.join(visited, "url", "left_anti"))
-            visited = checkpoint(visited.union(frontier))
+            visited = visited.union(frontier)  # each level was written once
             if frontier.isEmpty():
                 break
     collected = collected.distinct().join(problems.select(F.col("link").alias("url")).distinct(), "url", "left_anti")

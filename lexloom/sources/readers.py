@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_markdown
 from ..kernels.html import to_markdown
+from .fetch import Fetcher
 
 #: Converters of other formats (PDF, Office, ...): file ending -> function of the file's bytes.
 Plugins = dict[str, Callable[[bytes], str]]
@@ -89,6 +90,32 @@ def pages_as_markdown(pages: DataFrame, extract: Sequence[str] = ("main",), zap:
     return rows.mapInArrow(run, "origin string, text string, problem string").withColumn("text", normalize_markdown(F.col("text")))
 
 
+#: Media types -> file ending that convert() goes by; others go by their second part. Fixed values.
+_ENDINGS = {"text/html": "html", "application/xhtml+xml": "html", "text/csv": "csv", "application/json": "json", "application/xml": "xml", "text/xml": "xml", "application/zip": "zip", "text/plain": "txt", "text/markdown": "md"}
+
+
+def urls_as_markdown(fetcher: Fetcher, urls: DataFrame, extract: Sequence[str] = ("main",), zap: Sequence[str] = ("nav",), plugins: Plugins | None = None) -> DataFrame:
+    """(origin, text, problem) of urls(url): what they lead to, as normalised Markdown by media type. origin is the url that was given. A url without
+    a page and one that can't be converted have their problem and a null text; a zip has a row for each of its files."""
+    own = plugins or {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for url, media, html, content, problem in zip(*(b.column(c).to_pylist() for c in ("url", "media_type", "html", "content", "problem"))):
+                try:
+                    end = _ENDINGS.get(media or "", (media or "").partition("/")[2])
+                    data = content if html is None else html.encode()
+                    if problem is None and html is None and end != "zip" and end not in own:
+                        raise ValueError(f"no converter for {media}")
+                    rows = [(url, None, problem)] if problem else [(url + n.removeprefix(f"page.{end}"), t, None) for n, t in convert(f"page.{end}", data, extract, zap, own)]
+                except Exception as e:  # kept as a column
+                    rows = [(url, None, f"{type(e).__name__}: {e}")]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["origin", "text", "problem"])
+
+    got = fetcher.fetch(urls).select("url", "media_type", "html", "content", "problem")
+    return got.mapInArrow(run, "origin string, text string, problem string").withColumn("text", normalize_markdown(F.col("text")))
+
+
 def transcript_text(df: DataFrame, snippets_col: str = "snippets", formatter: Callable[[Column], Column] = lambda s: s["text"], glue: str = " ") -> DataFrame:
     """df with the text of transcripts array<struct<text, start, duration>>, by start; empty ones give empty texts. The formatter
     turns a snippet, a struct Column of these three, into its text."""
