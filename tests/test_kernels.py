@@ -71,3 +71,21 @@ def test_html():
     for s, n in (("main > p.c", 1), ("#a", 1), ("body b", 1), ("p.e", 0), ("ul li, pre", 3), ("[href=/x]", 1)):
         assert len(html.select(root, s)) == n, s
     assert html.to_markdown(None) == "" and "menu" in html.to_markdown(page, extract=(), zap=())
+
+
+def test_containers():
+    seen = lambda t: [(n.tag, t[n.start - 1 : n.end]) for n in markdown.nodes(t) if n.kind != "paragraph"]
+    assert seen("- a\n  - b\n\n- c\n") == [("ul", "- a\n  - b\n\n- c"), ("li", "- a\n  - b"), ("ul", "- b"), ("li", "- b"), ("li", "- c")]
+    table = "top\n| a | b \\| c |\n|---|:-:|\n| 1 | 2 |"
+    assert seen(table) == [("table", table[4:]), ("tr", "| a | b \\| c |"), ("th", "a"), ("th", "b \\| c"), ("tr", "| 1 | 2 |"), ("td", "1"), ("td", "2")]
+    assert [n.kind for n in markdown.nodes("[^n]: note\n    more\n\n[x]: http://y\n\n<div>\nz")] == ["footnote_definition", "paragraph", "html_block"]
+    assert [n.tag for n in markdown.nodes("- tight\n\n1. loose\n\n2. too") if n.kind == "paragraph"] == ["", "p", "p"]
+    text = "x\n\n- a\n- b\n\n| t |\n| - |\n| u |"
+    assert markdown.segments(text, ["ul", "li", "table"]) == [("", "x\n\n"), ("ul", "- a"), ("", "\n"), ("li", "- b"), ("", "\n\n"), ("table", text[-17:])]
+
+
+@given(st.lists(st.sampled_from(["- ", "1. ", "> ", "  ", "    ", "\t", "a", "|", "---", "\n", "\n\n", "```", "[^a]: ", "<div>", "# ", "é"]), max_size=40).map("".join))
+def test_nodes_are_ranges_of_the_text(text):
+    found = markdown.nodes(text)
+    assert all(1 <= n.start <= n.end <= len(text) for n in found) and [n.start for n in found] == sorted(n.start for n in found)
+    assert "".join(x for _, x in markdown.segments(text, ["ul", "ol", "li", "blockquote", "table", "p", "td"])) == text
