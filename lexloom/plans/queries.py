@@ -98,7 +98,7 @@ SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, round(m, 6) + 0.0 AS met
 def vss_batch(spark, sf_dir):
     items = table(spark, sf_dir, "embeddings")
     asked = items.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    found = knn.nearest_many(items, asked, 10)
+    found = knn.nearest_many(items, asked, 10, digits=9)
     return found.select("query_id", "vec_id", "rank", (F.round("metric_value", 6) + 0.0).alias("metric_value"))
 
 

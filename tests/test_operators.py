@@ -198,3 +198,32 @@ def test_dead_links_and_addresses_beyond_the_prefix_are_dropped(spark):
     links, problems = crawl.find_links(spark.createDataFrame([("http://a/s/",)], "url string"), lambda urls: pages.join(urls, "url", "left_semi"), depth=1, children_only="http://a/s/")
     assert sorted(r[0] for r in links.collect()) == ["http://a/s/deep", "http://a/s/ok"]
     assert [tuple(r) for r in problems.collect()] == [("http://a/s/dead", "not found")]
+
+
+def test_blocks_of_queries_and_items(spark, monkeypatch):
+    """Copies, zero vectors and text ids in blocks of any size, as one query after the other finds them."""
+    rows = [(f"i{i:03}", [float(i % 7), float(i % 5), 1.0] if i % 11 else [0.0, 0.0, 0.0]) for i in range(200)] + [("none", None)]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<double>").repartition(3)
+    asked = df.where("vec_id < 'i012'").withColumnRenamed("vec_id", "query_id")
+    for method in ("cosine_distance", "euclidean_distance", "negative_inner_product"):
+        want = {}
+        for q in asked.collect():
+            near = df.where("embedding is not null").select("vec_id", F.round(metric(method)(F.col("embedding"), F.array(*map(F.lit, q["embedding"]))), 9).alias("m"))
+            want[q["query_id"]] = [r["vec_id"] for r in near.orderBy(F.asc_nulls_last("m"), "vec_id").limit(40).collect()]
+        for sizes in ((7, 3), (2_048, 1_024)):
+            monkeypatch.setattr(knn, "ITEM_BLOCK", sizes[0])
+            monkeypatch.setattr(knn, "QUERY_BLOCK", sizes[1])
+            found = knn.nearest_many(df, asked, 40, method, digits=9).orderBy("query_id", "rank").collect()
+            got = {q: [r["vec_id"] for r in found if r["query_id"] == q] for q in want}
+            assert got == want, (method, sizes)
+
+
+def test_many_queries_meet_items_in_bounded_blocks(spark):
+    items = spark.range(5000).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.sin(i * (F.col("id") + 1)).cast("float")).alias("embedding"))
+    asked = items.where("vec_id < 2500").withColumnRenamed("vec_id", "query_id")
+    plan = PLAN(knn.nearest_many(items, asked, 3))
+    assert plan.count("CartesianProduct") >= 1 and "Union" not in plan and "Broadcast" not in plan
+    made = knn.blocks(items.toDF("id", "v"), knn.ITEM_BLOCK, "array<float>").select(F.size("ids").alias("n"), F.size("v").alias("w")).collect()
+    assert sum(r["n"] for r in made) == 5000 and max(r["n"] for r in made) <= knn.ITEM_BLOCK and all(r["w"] == 8 * r["n"] for r in made)
+    wide = spark.range(10).select("id", F.array_repeat(F.lit(1.0), knn.NUMBERS // 2).alias("v"))
+    assert {r["n"] for r in knn.blocks(wide, knn.ITEM_BLOCK, "array<double>").select(F.size("ids").alias("n")).collect()} <= {1, 2}
