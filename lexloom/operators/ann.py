@@ -11,14 +11,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.vector import literal, metric
 from ..shared import checkpointed
-from .knn import nearest
+from .knn import ITEM_BLOCK, NUMBERS, block_size, blocks, dealt, matched, nearest, nearest_many
 
 #: Rows for each cell that centroids are fitted on, rounds of k-means, bytes of all centroids at most.
 PER_CELL, ROUNDS, CENTROID_BYTES = 256, 8, 64 << 20
+#: Distances to centroids that a task has at once.
+DISTANCES = 1 << 20
 #: Share of the cells that is read unless a search says how many.
 PROBED = 0.1
 
@@ -36,9 +37,13 @@ def _space(x: np.ndarray, method: str, longest: float) -> np.ndarray:
 
 
 def _order(x: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
-    """Numbers of the n nearest centroids of each vector, nearest first."""
-    far = (centroids.astype(np.float64) ** 2).sum(1)[None, :] - 2 * x.astype(np.float64) @ centroids.astype(np.float64).T
-    return np.argmin(far, 1)[:, None] if n == 1 else np.argsort(far, 1, kind="stable")[:, :n]
+    """Numbers of the n nearest centroids of each vector, nearest first. Vectors are taken a few at a time, for memory."""
+    centroids = centroids.astype(np.float64)
+    square, out, step = (centroids**2).sum(1)[None, :], np.zeros((len(x), n), np.int64), max(1, DISTANCES // len(centroids))
+    for lo in range(0, len(x), step):
+        far = square - 2 * x[lo : lo + step].astype(np.float64) @ centroids.T
+        out[lo : lo + step] = np.argmin(far, 1)[:, None] if n == 1 else np.argsort(far, 1, kind="stable")[:, :n]
+    return out
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -128,35 +133,46 @@ class VectorIndex:
         near = self.rows.where(F.col("cell").isin(self.cells_of(vector, probes))).drop("cell")
         return nearest(near, vector, k, self.method, self.id_col, self.vector_col, where, exclude)
 
-    def nearest_many(self, queries: DataFrame, k: int, probes: int | None = None, query_col: str = "query_id") -> DataFrame:
+    def nearest_many(self, queries: DataFrame, k: int, probes: int | None = None, query_col: str = "query_id", digits: int | None = None) -> DataFrame:
         """(query, id, metric_value, rank): for each row of queries(query_col, vector_col) the k nearest of its cells.
 
-        Queries are sent to their cells and joined with the rows there; neither side passes the driver. Ties go to the
-        smaller id; queries without a usable vector take no part.
+        Queries and the rows of a cell meet in blocks, as in knn.nearest_many(), where a query takes part if it probes the
+        cell. Only the folders of the cells that some query probes are read; neither side passes the driver. Ties go to the
+        smaller id (`digits` as there); queries without a usable vector take no part.
         """
-        index, n = self, len(self.centroids) if probes is None else probes
-        n = max(1, math.ceil(PROBED * len(self.centroids))) if probes is None else min(n, len(self.centroids))
-        kind = queries.schema[query_col].dataType.simpleString()
-        centroids, method = self.centroids, self.method
-
-        def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                x = _matrix(b.column("v"))
+        index, centroids, method = self, self.centroids, self.method
+        n = max(1, math.ceil(PROBED * len(centroids))) if probes is None else min(probes, len(centroids))
+        asked = queries.where(_usable(queries, index.vector_col)).select(query_col, F.col(index.vector_col).cast("array<float>").alias(index.vector_col))
+        if n == len(centroids):
+            return nearest_many(self.rows.drop("cell"), asked, k, method, self.id_col, self.vector_col, query_col, digits)
+        kinds = queries.schema[query_col].dataType.simpleString(), self.rows.schema[self.id_col].dataType.simpleString()
+        asked = dealt(asked.toDF("id", "v"), k) if k > 0 and n > 0 else None
+        if asked is None:
+            return self.spark.createDataFrame([], f"{query_col} {kinds[0]}, {self.id_col} {kinds[1]}, metric_value double, rank int")
+
+        def probed(b: pa.RecordBatch):
+            def columns(lo: int, hi: int) -> list[pa.Array]:
+                x = _matrix(b.column("v").slice(lo, hi - lo))
                 x = np.hstack([x, np.zeros((len(x), 1), np.float32)]) if method == "negative_inner_product" else _space(x, method, 0.0)
-                cells = _order(x, centroids, n)
-                take = pa.array(np.repeat(np.arange(b.num_rows), cells.shape[1]))
-                yield pa.RecordBatch.from_arrays([b.column("q").take(take), b.column("v").take(take), pa.array(cells.reshape(-1).astype(np.int32))], ["q", "v", "at"])
-
-        asked = queries.where(_usable(queries, index.vector_col)).select(F.col(query_col).alias("q"), F.col(index.vector_col).cast("array<float>").alias("v"))
-        asked = asked.mapInArrow(probed, f"q {kind}, v array<float>, at int")
-        pairs = self.rows.join(asked, F.col("cell") == F.col("at"))
-        found = pairs.select(F.col("q").alias(query_col), self.id_col, metric(self.method)(F.col(self.vector_col), F.col("v")).alias("metric_value"))
-        order = (F.asc_nulls_last("metric_value"), self.id_col)
-        part = Window.partitionBy(query_col, F.pmod(F.xxhash64(self.id_col), F.lit(16))).orderBy(*order)
-        some = found.withColumn("_n", F.row_number().over(part)).where(F.col("_n") <= k).drop("_n")
-        return some.withColumn("rank", F.row_number().over(Window.partitionBy(query_col).orderBy(*order))).where(F.col("rank") <= k)
+                bits = np.zeros((len(x), len(centroids)), bool)
+                np.put_along_axis(bits, _order(x, centroids, n), True, 1)
+                return [pa.array([np.flatnonzero(bits.any(0)).astype(np.int32)], pa.list_(pa.int32())), pa.array([np.packbits(bits, axis=1).tobytes()], pa.binary())]
+
+            return None, [b.num_rows], columns
+
+        def by_cell(b: pa.RecordBatch):
+            cell = b.column("cell").to_numpy()
+            order = np.argsort(cell, kind="stable")
+            cell = cell[order]
+            return order, [*(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)], lambda lo, hi: [pa.array([cell[lo]], pa.int32())]
+
+        asked = checkpointed(blocks(asked, min(block_size(k), max(1, 8 * NUMBERS // len(centroids))), "array<float>", ", cells array<int>, probes binary", probed))
+        rows, read = self.rows, [r[0] for r in asked.select(F.explode("cells")).distinct().collect()]  # numbers of cells
+        if len(read) < len(centroids):
+            rows = rows.where(F.col("cell").isin(read))
+        rows = rows.select(F.col(self.id_col).alias("id"), F.col(self.vector_col).alias("v"), "cell")
+        items = blocks(rows, ITEM_BLOCK, "array<float>", ", cell int", by_cell)
+        return matched(items, asked, k, method, (query_col, self.id_col), kinds, digits, F.array_contains("cells", F.col("cell")))
 
     def write_description(self) -> None:
         row = (self.method, self.id_col, self.vector_col, self.longest, self.centroids.shape[1], [c.tolist() for c in self.centroids])

@@ -107,7 +107,7 @@ def _probed(spark, sf_dir, share: float):
     items = table(spark, sf_dir, "embeddings")
     index = ann.build(items, shared.new_folder(spark, "vectors"))
     asked = items.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    found = index.nearest_many(asked, 10, round(share * len(index.centroids)))
+    found = index.nearest_many(asked, 10, round(share * len(index.centroids)), digits=9)
     return found.select("query_id", "vec_id", "rank", (F.round("metric_value", 6) + 0.0).alias("metric_value"))
 
 

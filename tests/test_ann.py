@@ -92,3 +92,32 @@ def test_the_queries(spark):
     sf = "/root/testdata/sf0.01"
     found, exact = queries.QUERIES["vss_index_probed"](spark, sf), queries.QUERIES["vss_batch"](spark, sf)
     assert ann.recall(found, exact) >= 0.9
+
+
+def test_many_queries_join_blocks_and_not_pairs_of_rows(items, index):
+    few, whole = (index.nearest_many(asked(items), 10, n) for n in (9, len(index.centroids)))
+    for found in (few, whole):
+        plan = found._jdf.queryExecution().toString()
+        assert "CartesianProduct" in plan and "zip_with" not in plan and "SortMergeJoin" not in plan
+    near = {r["query_id"]: index.cells_of(r["embedding"], 9) for r in asked(items).where("query_id < 200").collect()}
+    got = few.where("query_id < 200").orderBy("query_id", "rank").collect()
+    for q, cells in near.items():
+        vector = items.where(f"vec_id = {q}").first()["embedding"]
+        want = knn.nearest(index.rows.where(F.col("cell").isin(cells)), vector, 10, index.method).collect()
+        assert [r["vec_id"] for r in got if r["query_id"] == q] == [r["vec_id"] for r in want]
+
+
+def test_cells_are_found_a_few_vectors_at_a_time(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x, centroids = rng.normal(size=(20_000, 8)).astype(np.float32), rng.normal(size=(1_000, 8)).astype(np.float32)
+    tracemalloc.start()
+    cells = ann._order(x, centroids, 1)[:, 0]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40e6  # 160 MB are a number for each vector and cell
+    some = x[::500].astype(np.float64)
+    assert (np.argmin(((some[:, None] - centroids[None].astype(np.float64)) ** 2).sum(2), 1) == cells[::500]).all()
