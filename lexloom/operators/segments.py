@@ -93,8 +93,9 @@ def blocks(chunks: DataFrame, id_col: str, fields: Sequence[str], stemmed: bool,
 
 
 def _write(found: DataFrame, path: str) -> None:
-    """Blocks in order of term, so that look-ups of terms skip the rest; a hot term has many blocks and many tasks."""
-    found.repartitionByRange("term", "part").sortWithinPartitions("term", "part").write.parquet(f"{path}/blocks")
+    """Blocks in order of term in each file, so that look-ups of terms skip the rest. They stay with the task that made them:
+    blocks are most of the index, and a hot term has them in all files."""
+    found.sortWithinPartitions("term", "part").write.parquet(f"{path}/blocks")
 
 
 @dataclass
@@ -143,8 +144,8 @@ class SegmentIndex:
         """As an index that bm25.score() reads whole."""
         return Index(self._postings(self._read("blocks").where("term is not null")), self.totals, self.stemmed, self.stop_words, self.frequencies)
 
-    def top(self, queries: DataFrame, top_k: int, query_col: str = "query_id", text_col: str = "text", k: float = K, b: float = B, counts: dict | None = None) -> DataFrame:
-        """(query, id, metric_value): the top_k documents of each query, as bm25.best() of all scores gives them.
+    def top(self, queries: DataFrame, top_k: int, query_col: str = "query_id", text_col: str = "text", k: float = K, b: float = B, counts: dict | None = None, digits: int | None = None) -> DataFrame:
+        """(query, id, metric_value): the top_k documents of each query, as bm25.best() of all scores gives them (`digits` as there).
 
         Blocks tell what one of their postings scores at most, so the sum of what a query's terms can score at most in a part is
         known from these alone. The FIRST parts by that are scored; their top_k-th score is the threshold that the
@@ -174,14 +175,14 @@ class SegmentIndex:
             rows = self._postings(rows.drop("segment"))
             return rows.groupBy(query_col, "id").agg(F.sum(F.col("weight") * part_of(F.col("tf"), F.col("len"))).alias("metric_value"))
 
-        head = checkpointed(best(scores(first), top_k, query_col))
+        head = checkpointed(best(scores(first), top_k, query_col, digits))
         limit = head.groupBy(query_col).agg(F.count("*").alias("have"), F.min("metric_value").alias("least")).where(F.col("have") >= top_k)
         # sums of floats may differ in their last digits
-        rest = heads.join(first.select(query_col, *place), [query_col, *place], "left_anti").join(limit, query_col, "left").where("least is null or most >= least * (1 - 1e-9)")
+        rest = heads.join(first.select(query_col, *place), [query_col, *place], "left_anti").join(limit, query_col, "left").where(F.col("least").isNull() | (F.col("most") >= F.col("least") * (1 - 1e-9) - (0.0 if digits is None else 10.0**-digits)))
         if counts is not None:
             rest = checkpointed(rest)
             counts["blocks"], counts["scored"] = (x.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0] for x in (heads, first.select("blocks").union(rest.select("blocks"))))
-        return best(head.unionByName(scores(rest)), top_k, query_col)
+        return best(head.unionByName(scores(rest)), top_k, query_col, digits)
 
     def add(self, path: str, chunks: DataFrame, removed: DataFrame, id_col: str, fields: Sequence[str]) -> SegmentIndex:
         """The index with a segment at path for chunks that are new and those that were removed (with their texts)."""

@@ -178,7 +178,7 @@ def bm25_blocks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     index = segments.write_segment(docs.where("doc_id % 3 > 0"), shared.new_folder(spark, "segment"), "doc_id", ["text"])
     index = index.add(shared.new_folder(spark, "segment"), docs.where("doc_id % 3 = 0"), docs.where("false"), "doc_id", ["text"])
-    return _top(index.top(_asked(spark, sf_dir), 10).withColumnRenamed("id", "doc_id"))
+    return _top(index.top(_asked(spark, sf_dir), 10, digits=9).withColumnRenamed("id", "doc_id"))
 
 
 @query(_bm25_sql(_ITEMS, 2.0, 0.3))

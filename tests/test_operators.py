@@ -227,3 +227,9 @@ def test_many_queries_meet_items_in_bounded_blocks(spark):
     assert sum(r["n"] for r in made) == 5000 and max(r["n"] for r in made) <= knn.ITEM_BLOCK and all(r["w"] == 8 * r["n"] for r in made)
     wide = spark.range(10).select("id", F.array_repeat(F.lit(1.0), knn.NUMBERS // 2).alias("v"))
     assert {r["n"] for r in knn.blocks(wide, knn.ITEM_BLOCK, "array<double>").select(F.size("ids").alias("n")).collect()} <= {1, 2}
+
+
+def test_scores_that_differ_in_their_last_digits_are_ties(spark):
+    scored = spark.createDataFrame([(0, i, 1.5 + i * 1e-14) for i in range(100)] + [(0, 200, 2.0)], "query_id int, id long, metric_value double")
+    assert sorted(r["id"] for r in bm25.best(scored, 3, digits=9).collect()) == [0, 1, 200]
+    assert sorted(r["id"] for r in bm25.best(scored, 3).collect()) == [98, 99, 200]

@@ -80,3 +80,23 @@ def test_stems_and_odd_rows(spark, tmp_path):
     assert rows(grown.top(asked, 3)) == rows(bm25.best(bm25.score(bm25.build(docs, "id", FIELDS), asked), 3))
     text_ids = docs.withColumn("id", F.concat(F.lit("k"), "id"))
     assert segments.write_segment(text_ids, str(tmp_path / "t"), "id", FIELDS).top(asked.withColumn("text", F.lit("run")), 3).first()["id"] == "k5"
+
+
+def test_blocks_are_written_by_the_task_that_cuts_them(spark, tmp_path):
+    """Texts are cut once and blocks are not shuffled; each file is in order of term, nulls first."""
+    once = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            once.add(b.num_rows)
+            yield b
+
+    docs = chunks(spark, 3000).repartition(3).localCheckpoint().mapInArrow(seen, "id long, text string")
+    segments._write(segments.blocks(docs, "id", FIELDS, False, False), str(tmp_path / "b"))
+    assert once.value == 3000
+    each = spark.read.parquet(str(tmp_path / "b" / "blocks")).select(F.col("_metadata.file_path").alias("file"), "term", "part")
+    files = {}
+    for r in each.collect():
+        files.setdefault(r["file"], []).append((r["term"] or "", r["part"]))
+    assert len(files) == 3 and all(x == sorted(x) for x in files.values())
+    assert sum(("waa" in {t for t, _ in x}) for x in files.values()) == 3
