@@ -224,7 +224,7 @@ def hybrid_wide(spark, sf_dir):
     near = knn.nearest(items, _of_zero(items), 10).select(F.col("vec_id").alias("doc_id"), "metric_name", "metric_value")
     asked = table(spark, sf_dir, "benchmark").where("item_id = 0").select(F.col("item_id").alias("query_id"), "text")
     scored = bm25.score(bm25.build(docs, "doc_id", ["text"]), asked)
-    said = bm25.best(scored, 10).select(F.col("id").alias("doc_id"), F.lit("bm25").alias("metric_name"), "metric_value")
+    said = bm25.best(scored, 10, digits=9).select(F.col("id").alias("doc_id"), F.lit("bm25").alias("metric_name"), "metric_value")
     return retrieve.hybrid(near, said, ["doc_id"]).select("doc_id", F.round("cosine_distance", 6).alias("cosine_distance"), F.round("bm25", 5).alias("bm25"))
 
 
