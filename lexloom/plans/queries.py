@@ -156,6 +156,10 @@ def _asked(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), "text")
 
 
+def _all_asked(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
 def _top(found: DataFrame, k: int = 10) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("metric_value", 9)), "doc_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "doc_id", "rank", F.round("metric_value", 5).alias("score"))
@@ -202,7 +206,7 @@ def bm25_filtered(spark, sf_dir):
 def bm25_porter(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     index = bm25.build(docs, "doc_id", ["text"], stemmed=True, stop_words=True)
-    return _top(bm25.score(index, _asked(spark, sf_dir)).withColumnRenamed("id", "doc_id"))
+    return _top(bm25.top(index, _all_asked(spark, sf_dir), 10, digits=9).withColumnRenamed("id", "doc_id"))
 
 
 @query("""

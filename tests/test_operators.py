@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -262,3 +263,22 @@ def test_texts_are_counted_once_where_they_are_read(spark, monkeypatch):
     assert {(r["query_id"], r["id"]): r["metric_value"] for r in bm25.score(index, asked).collect()} == pytest.approx(want)
     none = bm25.build(df.where("false"), "id", ["text"])
     assert none.totals.first()["n"] == 0 and bm25.score(none, asked).count() == 0
+
+
+def test_the_top_of_many_queries_is_that_of_all_scores(spark, tmp_path, monkeypatch):
+    """From an index of texts and from a written one, with queries sent or not, in any blocks; equal scores go to the smaller id."""
+    rng, words = random.Random(7), [f"w{chr(97 + i)}" for i in range(26)]
+    texts = [" ".join(rng.choices(words, [1 / (k + 1) for k in range(26)], k=rng.randint(0, 9))) for _ in range(150)]
+    docs = spark.createDataFrame([(f"c{i}", texts[i % 150]) for i in range(600)] + [(None, "wa wb")], "id string, text string").repartition(3).localCheckpoint()
+    items = [(i, " ".join(rng.choices(words, k=5))) for i in range(30)] + [(None, "wa wc"), (None, "wc wd"), (31, None), (32, "nothing")]
+    asked = spark.createDataFrame(items, "query_id int, text string")
+    read = lambda df: {(r["query_id"], r["id"]): round(r["metric_value"], 9) for r in df.collect()}
+    index = bm25.build(docs, "id", ["text"])
+    want = read(bm25.best(bm25.score(index, asked).where("id is not null"), 7, digits=9))
+    assert len(want) == 31 * 7 and sum(q is None for q, _ in want) == 7
+    assert read(bm25.top(index, asked, 7, digits=9)) == want
+    for name, size in (("DEALT", 100), ("ASKED", 20), ("SIDE", 50), ("SENT", 0)):
+        monkeypatch.setattr(bm25, name, size)
+    assert read(bm25.top(index, asked, 7, digits=9)) == want
+    assert read(bm25.top(index.write(str(tmp_path / "i")), asked, 7, digits=9)) == want
+    assert bm25.top(bm25.build(docs.where("false"), "id", ["text"]), asked, 7).count() == 0

@@ -1,5 +1,7 @@
 import math
 import os
+import random
+import re
 import shutil
 import subprocess
 import sys
@@ -7,6 +9,8 @@ import sys
 import duckdb
 import pytest
 
+from lexloom.functions.text import STOP_WORDS
+from lexloom.kernels.porter import stem
 from lexloom.plans import queries as plans
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -39,6 +43,35 @@ def test_query(spark, db, name):
     assert rows == comparable(cur.fetchall(), columns)
 
 
+@pytest.fixture
+def odd_items(spark, tmp_path):
+    """A folder with few documents, and with items of any id, some null, of several texts or without words; its rows."""
+    rng = random.Random(3)
+    words = [*(f"run{chr(97 + i)}ing" for i in range(20)), "running", "runs", "dogs", "the", "of", "x"]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randint(0, 12)))) for i in range(-20, 60)] + [(60, None), (61, ""), (62, "the of")]
+    items = [(i, " ".join(rng.choices(words, k=4))) for i in (*range(7), 50, 77, -3, None, None, 5)] + [(8, None), (9, ""), (10, "nothing")]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path), docs, items
+
+
+def test_bm25_porter_asks_every_item(spark, odd_items):
+    folder, docs, items = odd_items
+    cut = lambda text: [stem(w) for w in re.findall("[a-z]+", (text or "").lower()) if w not in STOP_WORDS]
+    texts, asked = {i: cut(t) for i, t in docs}, {}
+    for i, t in items:
+        asked.setdefault(i, set()).update(cut(t))
+    average = sum(map(len, texts.values())) / len(texts)
+    df = {t: sum(t in x for x in texts.values()) for x in texts.values() for t in x}
+    want = set()
+    for q, terms in asked.items():
+        weight = lambda t, x: math.log10((len(texts) - df[t] + 0.5) / (df[t] + 0.5) + 1) * x.count(t) * 2.2 / (x.count(t) + 1.2 * (0.25 + 0.75 * len(x) / average))
+        found = sorted((-round(sum(weight(t, x) for t in terms if t in x), 9), i) for i, x in texts.items() if terms & {*x})
+        want |= {(q, i, n + 1, round(-m, 5)) for n, (m, i) in enumerate(found[:10])}
+    assert {q for q, *_ in want} == {*range(7), 50, 77, -3, None}
+    assert {tuple(r) for r in plans.QUERIES["bm25_porter"](spark, folder).collect()} == want
+
+
 def test_the_rest_works_without_the_training_data_operators(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     skip = shutil.ignore_patterns("llm", ".git", "corpus_pipeline.py", "__pycache__", "tests")
