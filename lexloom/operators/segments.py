@@ -16,12 +16,14 @@ from pyspark.sql.window import Window
 from ..functions.text import terms
 from ..kernels.porter import stem
 from ..shared import checkpointed
-from .bm25 import B, K, Index, asked_terms, best, idf
+from .bm25 import B, K, Index, asked_terms, best, in_blocks, sendable, top_of_parts, weighted
 
 #: Documents of a part: a block has the postings of a term in a part.
 PART = 512
 #: Parts of each query that are scored first, for the threshold.
 FIRST = 8
+#: Parts up to which their numbers are sent to the blocks, so that others are not moved.
+PLACES = 1 << 16
 #: Segments of about one size (a factor of TIER) that are merged into one.
 MERGED, TIER = 4, 8
 #: Segments that an index must not exceed, whatever their sizes.
@@ -153,32 +155,48 @@ class SegmentIndex:
         are scored go there.
         """
         asked = asked_terms(queries, query_col, text_col, self.stemmed, self.stop_words)
-        weights = asked.join(self.frequencies, "term").withColumn("totals", self.totals.select(F.struct("n", "average")).scalar())
-        weights = checkpointed(weights.select(query_col, "term", (idf(F.col("totals.n"), F.col("df")) * (k + 1)).alias("weight"), F.col("totals.average").alias("average")))
+        sent = sendable(asked)
+        weights = weighted(asked, self.frequencies, self.totals, k, sent)
+
+        def sendable_side(df: DataFrame) -> DataFrame:
+            return F.broadcast(df) if sent else df
+
         def part_of(tf: Column, length: Column) -> Column:
             return tf / (tf + k * (1 - b + b * length / F.col("average")))
 
-        all_blocks = self._read("blocks").where("term is not null")
         # which segment a part is of is told by its path, since numbers of parts repeat
-        all_blocks = all_blocks.withColumn("segment", F.substring_index(F.col("_metadata.file_path"), "/blocks/", 1))
+        all_blocks = self._read("blocks").withColumn("segment", F.substring_index(F.col("_metadata.file_path"), "/blocks/", 1))
         place = ["segment", "part"]
-        heads = all_blocks.select("term", *place, "top_tf", "top_len").join(weights, "term")
+        heads = all_blocks.select("term", *place, "top_tf", "top_len").join(sendable_side(weights), "term")
         most = F.array_max(F.transform(F.arrays_zip("top_tf", "top_len"), lambda x: part_of(x["top_tf"], x["top_len"])))
         heads = heads.groupBy(query_col, *place).agg(F.sum(F.col("weight") * most).alias("most"), F.count("*").alias("blocks"))
         heads = checkpointed(heads)
         order = Window.partitionBy(query_col).orderBy(F.desc("most"), *place)
         some = Window.partitionBy(query_col, F.pmod(F.xxhash64(*place), F.lit(32))).orderBy(F.desc("most"), *place)
         first = heads.withColumn("_n", F.row_number().over(some)).where(F.col("_n") <= FIRST).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= FIRST).drop("_n")
+        hit = all_blocks.select(*place, "term", "ids", "tf", "len").join(sendable_side(weights.select("term").distinct()), "term", "left_semi")
+        many = in_blocks(weights)
 
         def scores(wanted: DataFrame) -> DataFrame:
-            rows = all_blocks.join(weights, "term").join(wanted.select(query_col, *place), [query_col, *place])
-            rows = self._postings(rows.drop("segment"))
-            return rows.groupBy(query_col, "id").agg(F.sum(F.col("weight") * part_of(F.col("tf"), F.col("len"))).alias("metric_value"))
+            """The top_k of each query in each of its parts. Blocks meet what their part's queries ask for, and a task leaves no
+            more than that."""
+            wanted = checkpointed(wanted.select(query_col, *place))
+            places = wanted.select(*place).distinct()
+            blocks = hit.join(F.broadcast(places), place, "left_semi") if places.count() <= PLACES else hit
+            each = wanted.withColumnRenamed(query_col, "_asked").join(sendable_side(weights), F.col("_asked").eqNullSafe(F.col(query_col))).drop("_asked")
+            lost = None
+            if self._any_gone():
+                lost = all_blocks.where("term is null").join(places, place, "left_semi").select(*place, F.explode("ids").alias("lost"))
+                lost = lost.join(self.gone.withColumnRenamed("id", "lost"), "lost", "left_semi")
+            return top_of_parts(blocks, each, place, top_k, query_col, many, k, b, digits, lost)
 
         head = checkpointed(best(scores(first), top_k, query_col, digits))
-        limit = head.groupBy(query_col).agg(F.count("*").alias("have"), F.min("metric_value").alias("least")).where(F.col("have") >= top_k)
+        limit = head.groupBy(F.col(query_col).alias("_asked")).agg(F.count("*").alias("have"), F.min("metric_value").alias("least")).where(F.col("have") >= top_k)
         # sums of floats may differ in their last digits
-        rest = heads.join(first.select(query_col, *place), [query_col, *place], "left_anti").join(limit, query_col, "left").where(F.col("least").isNull() | (F.col("most") >= F.col("least") * (1 - 1e-9) - (0.0 if digits is None else 10.0**-digits)))
+        done = first.select(F.col(query_col).alias("_asked"), *(F.col(c).alias(f"_{c}") for c in place))
+        same = F.col(query_col).eqNullSafe(F.col("_asked"))
+        rest = heads.join(done, same & (F.col("segment") == F.col("_segment")) & (F.col("part") == F.col("_part")), "left_anti")
+        rest = rest.join(limit, same, "left").where(F.col("least").isNull() | (F.col("most") >= F.col("least") * (1 - 1e-9) - (0.0 if digits is None else 10.0**-digits)))
         if counts is not None:
             rest = checkpointed(rest)
             counts["blocks"], counts["scored"] = (x.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0] for x in (heads, first.select("blocks").union(rest.select("blocks"))))

@@ -72,6 +72,16 @@ def test_bm25_porter_asks_every_item(spark, odd_items):
     assert {tuple(r) for r in plans.QUERIES["bm25_porter"](spark, folder).collect()} == want
 
 
+def test_bm25_blocks_asks_every_item_and_reads_every_document(spark, odd_items):
+    folder, docs, items = odd_items
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    want = con.execute(plans.ORACLE["bm25_blocks"]).fetchall()
+    assert {r[0] for r in want} == {*range(7), 50, 77, -3, None} and min(r[1] for r in want) < 0
+    assert {tuple(r) for r in plans.QUERIES["bm25_blocks"](spark, folder).collect()} == {*want}
+
+
 def test_the_rest_works_without_the_training_data_operators(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     skip = shutil.ignore_patterns("llm", ".git", "corpus_pipeline.py", "__pycache__", "tests")
